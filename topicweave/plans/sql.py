@@ -74,7 +74,11 @@ quotas AS (
   FROM q2)"""
 
 
-LOSS_LOG = """loss_log AS (
+def loss_log_cte(name: str = "loss_log") -> str:
+    return LOSS_LOG_BODY.replace("@NAME@", name)
+
+
+LOSS_LOG_BODY = """@NAME@ AS (
   SELECT CAST(floor(event_id / 32) + 1 AS BIGINT) AS step,
          CAST(event_id AS BIGINT) AS sample_id,
          CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 = 0 THEN CAST([] AS VARCHAR[])
@@ -84,6 +88,8 @@ LOSS_LOG = """loss_log AS (
          value / 100.0 AS loss
   FROM events)"""
 
+LOSS_LOG = LOSS_LOG_BODY.replace("@NAME@", "loss_log")
+
 VOCAB = """vocab AS (
   SELECT DISTINCT label FROM (SELECT unnest(labels) AS label FROM loss_log UNION ALL SELECT 'never'))"""
 
