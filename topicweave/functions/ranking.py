@@ -43,3 +43,58 @@ def global_row_number(
         .withColumn(name, F.col("_offset") + F.row_number().over(w))
         .drop("_bucket", "_offset")
     )
+
+
+def running_totals(
+    df: DataFrame,
+    order_cols: list[Column],
+    bucket: Column,
+    value_cols: list[str],
+    partition_cols: tuple[str, ...] = (),
+) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` (plus a running row count ``_rows``) in global order.
+
+    Same bucket scheme as ``global_row_number``: per-bucket totals -> offsets over the small
+    bucket table -> a window inside each bucket.
+    """
+    b = df.withColumn("_bucket", bucket).withColumn("_one", F.lit(1))
+    vals = [*value_cols, "_one"]
+    tot = b.groupBy(*partition_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in vals])
+    w_off = Window.partitionBy(*partition_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*partition_cols, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in vals])
+    w_in = Window.partitionBy(*partition_cols, "_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    j = b.join(offs, [*partition_cols, "_bucket"])
+    out = j
+    for c in vals:
+        name = "_rows" if c == "_one" else f"cum_{c}"
+        out = out.withColumn(name, F.col(f"_o_{c}") + F.sum(c).over(w_in))
+    return out.drop("_bucket", "_one", *[f"_o_{c}" for c in vals])
+
+
+def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 1024) -> DataFrame:
+    """Average (1-based) rank of ``col`` with ties sharing the mean rank, without a global sort task.
+
+    Values are first reduced to (value, count) - a hot value becomes one row - then bucketed
+    by approximate quantile boundaries (a scalar array of at most ``n_buckets`` values),
+    and ranked with bucket offsets. Rows get their value's rank through an equi-join.
+    """
+    vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    # one row holding at most n_buckets boundaries: a proven-size broadcast
+    bounds = vc.agg(F.array_distinct(F.percentile_approx(col, probs, 10000)).alias("_b")).withColumn("_k", F.lit(0))
+    vcb = vc.withColumn("_k", F.lit(0)).join(F.broadcast(bounds), "_k").drop("_k")
+    bucket = F.size(F.filter("_b", lambda x: x < F.col(col)))
+    rt = running_totals(vcb, [F.col(col)], bucket, ["_cnt"]).drop("_b")
+    ranks = rt.select(col, (F.col("cum__cnt") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
+    return df.join(ranks, col)
+
+
+def with_line_index(df: DataFrame, name: str = "line_no") -> DataFrame:
+    """0-based consecutive position in the frame's current order (e.g. lines of a file).
+
+    ``monotonically_increasing_id`` keeps file order but is not consecutive; its upper bits
+    are the partition index, which serves as the bucket for consecutive numbering.
+    """
+    m = df.withColumn("_mono", F.monotonically_increasing_id())
+    g = global_row_number(m, [F.col("_mono")], F.shiftright("_mono", 33), "_rn")
+    return g.withColumn(name, F.col("_rn") - 1).drop("_mono", "_rn")
