@@ -189,7 +189,8 @@ def map_label_ids(df: DataFrame, ids: DataFrame, config_map: dict[str, int] | No
         ids = ids.join(F.broadcast(cfg), F.lower(ids["label"]) == cfg["lk"], "left").select(
             "label", F.coalesce("cfg_id", "label_id").alias("label_id"), "num_labels"
         )
-    j = df.join(F.broadcast(ids.select("label", "label_id")), F.col(label_col).cast("string") == F.col("label"), "left")
+    lk = ids.select(F.col("label").alias("_lbl"), "label_id")
+    j = df.join(F.broadcast(lk), F.col(label_col).cast("string") == F.col("_lbl"), "left").drop("_lbl")
     return j.withColumn("label_id", F.when(F.col(label_col).cast("string") == "-1", -1).otherwise(F.col("label_id")))
 
 
