@@ -99,9 +99,21 @@ def window_stats(
 
     Output: group..., label, window_id, sample_count, loss_avg, global_avg, n_labels, stage.
     """
-    eval_every = eval_every or every
     grid = window_grid(loss_log, vocab, every, group_cols)
     agg = topic_loss_window(loss_log, every, group_cols)
+    return stats_from_aggregates(grid, agg, every, switch_after, eval_every, group_cols)
+
+
+def stats_from_aggregates(
+    grid: DataFrame,
+    agg: DataFrame,
+    every: int,
+    switch_after: int,
+    eval_every: int | None = None,
+    group_cols: Sequence[str] = (),
+) -> DataFrame:
+    """Window stats from a (group, window, label) grid and the per-label sums/counts (batch or stream)."""
+    eval_every = eval_every or every
     keys = [*group_cols, "window_id", "label"]
     s = grid.join(agg, keys, "left").select(
         *keys,
