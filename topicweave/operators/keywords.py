@@ -63,18 +63,27 @@ def normalise_keywords(df: DataFrame, stops: Sequence[str] | None = None, text_c
 
 
 def cluster_tfidf(clustered: DataFrame, stops: Sequence[str] | None = None) -> DataFrame:
-    """ST5 + AG4: (cluster, term, score) with per-cluster smooth idf and L2-normalised documents."""
-    docs = normalise_keywords(clustered.select("cluster", "doc_id", "text"), stops).where(F.col("contents").rlike("[^ ]"))
-    n_docs = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
-    terms = docs.select("cluster", "doc_id", F.explode(F.split("contents", " ")).alias("term")).where(F.length("term") >= 2)
-    tf = terms.groupBy("cluster", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """ST5 + AG4: (cluster, term, score) with per-cluster smooth idf and L2-normalised documents.
+
+    Words are exploded first and filtered with column predicates (stop words as a hash-set
+    IN), which stays in whole-stage codegen. One (cluster, doc, word) aggregate feeds both
+    the document count n (documents with any non-stop word, even a one-letter one) and the
+    term frequencies of words with two or more characters; its exchange is reused.
+    """
+    w = F.explode(F.split(normalise_words(F.col("text")), " ")).alias("term")
+    rows = clustered.select("cluster", "doc_id", w).where(F.col("term") != "")
+    if stops:
+        rows = rows.where(~F.col("term").isin(*stops))
+    tf_all = rows.groupBy("cluster", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n_docs = tf_all.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
+    tf = tf_all.where(F.length("term") >= 2)
     dfreq = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.join(n_docs, "cluster").select(
         "cluster", "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
-    w = tf.join(idf, ["cluster", "term"]).select("cluster", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    wt = tf.join(idf, ["cluster", "term"]).select("cluster", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cluster", "doc_id")))
-    return w.withColumn("_norm", norm).groupBy("cluster", "term").agg(F.sum(F.col("w") / F.col("_norm")).alias("score"))
+    return wt.withColumn("_norm", norm).groupBy("cluster", "term").agg(F.sum(F.col("w") / F.col("_norm")).alias("score"))
 
 
 def top_keywords(scores: DataFrame, top_n: int = 100) -> DataFrame:

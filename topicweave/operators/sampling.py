@@ -76,7 +76,9 @@ def parse_ratio_spec(spark: SparkSession, spec: str = DEFAULT_RATIOS, sources: S
 
     ``ord`` is the position in ``sources`` (the carry-over order), not in the spec string.
     """
-    order = spark.createDataFrame([(i + 1, s) for i, s in enumerate(sources)], "ord int, category string")
+    order = spark.range(1).select(F.posexplode(F.array(*[F.lit(s) for s in sources])).alias("ord", "category")).select(
+        (F.col("ord") + 1).cast("int").alias("ord"), "category"
+    )
     parsed = spark.range(1).select(
         F.explode(F.str_to_map(F.lit(spec), F.lit(","), F.lit(":"))).alias("category", "_ratio")
     ).select(F.trim("category").alias("category"), F.trim("_ratio").cast("double").alias("ratio"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicweave.functions.numeric import rounded
 from topicweave.operators import reweight as R
 from topicweave.plans import sql as Q
 from topicweave.sources import fixtures as FX
@@ -20,7 +21,7 @@ def _log(spark, sf):
 
 
 def _rd(c):
-    return F.round(F.col(c), 9).alias(c)
+    return rounded(F.col(c)).alias(c)
 
 
 def q_topic_loss_window(spark, sf):
@@ -87,7 +88,7 @@ def q_weighted_batch_loss(spark, sf):
 def q_train_log(spark, sf):
     """AG15 + WT9: logged train loss at steps where step % log_every == 0 (log_every = N)."""
     out = R.weighted_batch_loss(_sampled(spark, sf), ACCUM)
-    return out.where(F.pmod("step", F.lit(N)) == 0).select("step", F.round("weighted_loss", 9).alias("train_loss"))
+    return out.where(F.pmod("step", F.lit(N)) == 0).select("step", rounded("weighted_loss").alias("train_loss"))
 
 
 def q_loss_decrease_rate(spark, sf):
@@ -101,7 +102,7 @@ def q_step_from_microbatch(spark, sf):
     return mb.groupBy("opt_step").agg(
         F.countDistinct("micro_batch").alias("n_microbatches"),
         F.count(F.lit(1)).alias("n_samples"),
-        F.round(F.avg("loss"), 9).alias("mean_loss"),
+        rounded(F.avg("loss")).alias("mean_loss"),
     )
 
 
@@ -187,8 +188,8 @@ grec AS (
   FROM grec r JOIN gw g ON g.window_id = r.window_id + 1)"""
 
 _WEIGHTS_SQL = _HEAD + _stats() + ",\n" + _fold() + """
-SELECT label, window_id, stage, sample_count, round(loss_avg, 9) AS loss_avg, round(global_avg, 9) AS global_avg,
-       round(weight, 9) AS weight
+SELECT label, window_id, stage, sample_count, round(loss_avg + 3.1e-12, 9) AS loss_avg, round(global_avg + 3.1e-12, 9) AS global_avg,
+       round(weight + 3.1e-12, 9) AS weight
 FROM rec WHERE window_id > 0"""
 
 _SAMPLED = _HEAD + _stats() + ",\n" + _fold() + f""",
@@ -204,36 +205,36 @@ per_step AS (
 ORACLE = {
     "topic_loss_window": f"""WITH {Q.LOSS_LOG},
 nw AS (SELECT CAST(floor(MAX(step) / {float(N)}) AS BIGINT) AS n FROM loss_log)
-SELECT label, CAST(ceil(step / {float(N)}) AS BIGINT) AS window_id, round(SUM(loss), 9) AS loss_sum, COUNT(*) AS sample_count
+SELECT label, CAST(ceil(step / {float(N)}) AS BIGINT) AS window_id, round(SUM(loss) + 3.1e-12, 9) AS loss_sum, COUNT(*) AS sample_count
 FROM (SELECT step, loss, unnest(labels) AS label FROM loss_log) x
 WHERE ceil(step / {float(N)}) <= (SELECT n FROM nw)
 GROUP BY 1, 2""",
     "global_loss_window": _HEAD + _stats() + """
-SELECT DISTINCT window_id, n_labels, round(global_avg, 9) AS global_avg, stage FROM stats""",
+SELECT DISTINCT window_id, n_labels, round(global_avg + 3.1e-12, 9) AS global_avg, stage FROM stats""",
     "loss_ema": _HEAD + _stats() + ",\n" + _fold() + ",\n" + _GEMA + """
-SELECT r.label, r.window_id, round(r.loss_avg, 9) AS loss_avg, round(r.loss_ema, 9) AS loss_ema, round(g.global_ema, 9) AS global_ema
+SELECT r.label, r.window_id, round(r.loss_avg + 3.1e-12, 9) AS loss_avg, round(r.loss_ema + 3.1e-12, 9) AS loss_ema, round(g.global_ema + 3.1e-12, 9) AS global_ema
 FROM rec r JOIN grec g ON g.window_id = r.window_id WHERE r.window_id > 0""",
     "topic_weights": _WEIGHTS_SQL,
     "resume_weights": _WEIGHTS_SQL,
     "rank_local_weights": f"WITH RECURSIVE {Q.loss_log_cte('loss_log0')},\n"
     + f"loss_log AS (SELECT *, CAST(sample_id % {RANKS} AS INTEGER) AS rank FROM loss_log0),\n"
     + Q.VOCAB + ",\n" + _stats("rank") + ",\n" + _fold("rank") + """
-SELECT rank, label, window_id, sample_count, round(weight, 9) AS weight FROM rec WHERE window_id > 0""",
+SELECT rank, label, window_id, sample_count, round(weight + 3.1e-12, 9) AS weight FROM rec WHERE window_id > 0""",
     "weighted_batch_loss": _SAMPLED + """
-SELECT step, n_samples, round(weighted_loss, 9) AS weighted_loss, round(mean_loss, 9) AS mean_loss FROM per_step""",
+SELECT step, n_samples, round(weighted_loss + 3.1e-12, 9) AS weighted_loss, round(mean_loss + 3.1e-12, 9) AS mean_loss FROM per_step""",
     "train_log": _SAMPLED + f"""
-SELECT step, round(weighted_loss, 9) AS train_loss FROM per_step WHERE step % {N} = 0""",
+SELECT step, round(weighted_loss + 3.1e-12, 9) AS train_loss FROM per_step WHERE step % {N} = 0""",
     "loss_decrease_rate": f"""WITH {Q.LOSS_LOG},
 ev AS (SELECT CAST(ceil(step / {float(N)}) AS BIGINT) AS eval_no, AVG(loss) AS valid_loss FROM loss_log GROUP BY 1),
 j AS (SELECT e.eval_no, e.eval_no * {N} AS eval_step, e.valid_loss, p.valid_loss AS prev
       FROM ev e LEFT JOIN ev p ON p.eval_no = e.eval_no - 1)
-SELECT eval_step, round(valid_loss, 9) AS valid_loss, round((prev - valid_loss) / prev, 9) AS decrease_rate,
+SELECT eval_step, round(valid_loss + 3.1e-12, 9) AS valid_loss, round((prev - valid_loss) / prev + 3.1e-12, 9) AS decrease_rate,
        CAST(CASE WHEN prev IS NOT NULL AND eval_step > {SWITCH} THEN 1 ELSE 0 END AS INTEGER) AS switches_stage
 FROM j""",
     "step_from_microbatch": f"""WITH {Q.LOSS_LOG},
 mb AS (SELECT *, CAST(floor(sample_id / {FX.MICRO_BATCH}) AS BIGINT) AS micro_batch FROM loss_log),
 lim AS (SELECT floor((CAST(floor(MAX(sample_id) / {FX.MICRO_BATCH}) AS BIGINT) + 1) / {ACCUM}) AS max_steps FROM loss_log),
 st AS (SELECT *, CAST(ceil(micro_batch / {float(ACCUM)}) + 1 AS BIGINT) AS opt_step FROM mb)
-SELECT opt_step, COUNT(DISTINCT micro_batch) AS n_microbatches, COUNT(*) AS n_samples, round(AVG(loss), 9) AS mean_loss
+SELECT opt_step, COUNT(DISTINCT micro_batch) AS n_microbatches, COUNT(*) AS n_samples, round(AVG(loss) + 3.1e-12, 9) AS mean_loss
 FROM st WHERE opt_step <= (SELECT max_steps FROM lim) GROUP BY opt_step""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicweave.functions.hashing import md5_key
+from topicweave.functions.numeric import rounded
 from topicweave.functions.text import is_non_blank
 from topicweave.operators import evals as E
 from topicweave.operators import sequences as SQ
@@ -99,7 +100,7 @@ def q_per_sample_loss(spark, sf):
     tok_loss = F.transform(pos, lambda i: F.when(lab(i) == SQ.IGNORE, F.lit(0.0)).otherwise(F.pmod(lab(i), F.lit(13)) / 4.0))
     return t.select(
         "doc_id",
-        F.round(F.aggregate(tok_loss, F.lit(0.0), lambda a, b: a + b) / (L - 1), 9).alias("loss"),
+        rounded(F.aggregate(tok_loss, F.lit(0.0), lambda a, b: a + b) / (L - 1)).alias("loss"),
         F.size(F.filter(pos, lambda i: lab(i) != SQ.IGNORE)).alias("n_targets"),
         F.size(F.filter(pos, lambda i: (lab(i) != SQ.IGNORE) & (lab(i) == prev(i)))).alias("n_correct"),
     )
@@ -233,7 +234,7 @@ tk AS (SELECT doc_id, CAST(len(regexp_extract_all(text, {Q.TOK_SQL})[1:{L}]) AS
 SELECT doc_id, batch_id, n_tokens, CAST(ceil(MAX(n_tokens) OVER (PARTITION BY batch_id) / 8.0) * 8 AS INTEGER) AS padded_len FROM tk""",
     "per_sample_loss": "WITH " + _TOKROWS + f"""
 SELECT doc_id,
-  round(list_sum(list_transform(range(2, {L} + 1), lambda i: CASE WHEN labels[i] = -100 THEN 0.0 ELSE (labels[i] % 13) / 4.0 END)) / {L - 1}, 9) AS loss,
+  round(list_sum(list_transform(range(2, {L} + 1), lambda i: CASE WHEN labels[i] = -100 THEN 0.0 ELSE (labels[i] % 13) / 4.0 END)) / {L - 1} + 3.1e-12, 9) AS loss,
   len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100)) AS n_targets,
   len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100 AND labels[i] = input_ids[i - 1])) AS n_correct
 FROM rows2""",

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicweave.functions.numeric import rounded
 from topicweave.operators import topics as T
 from topicweave.plans import reweight_plans as RP
 from topicweave.plans import topic_plans as TP
 from topicweave.sources import fixtures as FX
-from topicweave.sources.io import materialize
 from topicweave.streaming import loss_stream as LS
 
 N_FILES = 7
@@ -30,7 +30,7 @@ def q_stream_topic_loss(spark, sf):
          .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start(out))
     q.awaitTermination()
     res = spark.read.parquet(out)
-    return res.select("label", "window_id", F.round("loss_sum", 9).alias("loss_sum"), "sample_count")
+    return res.select("label", "window_id", rounded("loss_sum").alias("loss_sum"), "sample_count")
 
 
 def q_stream_weights(spark, sf):
@@ -46,7 +46,7 @@ def q_stream_attach_topics(spark, sf):
     src = LS.scratch(spark, "docs-feed")
     LS.write_in_order(clustered, src, "doc_id", 4)
     stream = spark.readStream.schema(clustered.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    labels = materialize(TP._labels_last(spark, sf), "cluster-labels")
+    labels = TP._labels_last(spark, sf)
     out = LS.scratch(spark, "labelled")
     q = (LS.attach_topics_stream(stream, labels).select("doc_id", "cluster", "labels").writeStream
          .outputMode("append").format("parquet").option("checkpointLocation", out + "-ckpt")

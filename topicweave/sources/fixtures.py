@@ -24,8 +24,19 @@ GRAD_ACCUM = 4               # micro-batches per optimiser step
 EVAL_BATCH = 16              # docs per evaluation batch
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Row key of each given table, used to spread single-file scans over the task slots.
+TABLE_KEYS = {
+    "documents": "doc_id", "events": "event_id", "embeddings": "vec_id", "labels": "doc_id",
+    "benchmark": "item_id", "conversations": "conv_id", "pages": "page_id",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    """A given table. ``spread_rows=False`` keeps the file's row order (positional reads)."""
+    from topicweave.sources.io import spread
+
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TABLE_KEYS.get(name)) if spread_rows else df
 
 
 def corpus(documents: DataFrame) -> DataFrame:
@@ -63,7 +74,7 @@ def loss_log(events: DataFrame) -> DataFrame:
 def loss_vocabulary(log: DataFrame) -> DataFrame:
     """D12 for the loss log: distinct labels plus 'never' (a label no window sees)."""
     seen = log.select(F.explode("labels").alias("label"))
-    never = log.sparkSession.createDataFrame([("never",)], "label string")
+    never = log.sparkSession.range(1).select(F.lit("never").alias("label"))
     return seen.unionByName(never).distinct()
 
 
