@@ -75,16 +75,19 @@ def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 1024) -> D
     """Average (1-based) rank of ``col`` with ties sharing the mean rank, without a global sort task.
 
     Values are first reduced to (value, count) - a hot value becomes one row - then bucketed
-    by approximate quantile boundaries (a scalar array of at most ``n_buckets`` values),
-    and ranked with bucket offsets. Rows get their value's rank through an equi-join.
+    by approximate quantile boundaries (at most ``n_buckets`` - 1 numbers, like a model's
+    parameters) with a binary-search ``Bucketizer``, and ranked with bucket offsets. Rows get
+    their value's rank through an equi-join on the value.
     """
+    from pyspark.ml.feature import Bucketizer
+
     vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    # one row holding at most n_buckets boundaries: a proven-size broadcast
-    bounds = vc.agg(F.array_distinct(F.percentile_approx(col, probs, 10000)).alias("_b")).withColumn("_k", F.lit(0))
-    vcb = vc.withColumn("_k", F.lit(0)).join(F.broadcast(bounds), "_k").drop("_k")
-    bucket = F.size(F.filter("_b", lambda x: x < F.col(col)))
-    rt = running_totals(vcb, [F.col(col)], bucket, ["_cnt"]).drop("_b")
+    vd = vc.select(F.col(col).cast("double").alias("_v"), col, "_cnt")
+    bounds = sorted({b for b in vd.approxQuantile("_v", probs, 1.0 / (4 * n_buckets)) if b == b})
+    splits = [float("-inf"), *bounds, float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(vd)
+    rt = running_totals(bucketed, [F.col(col)], F.col("_b"), ["_cnt"])
     ranks = rt.select(col, (F.col("cum__cnt") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return df.join(ranks, col)
 

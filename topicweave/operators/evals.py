@@ -222,7 +222,10 @@ def classification_metrics(pred: DataFrame, suffix: str = "") -> DataFrame:
 
 def regression_metrics(pairs: DataFrame, n_buckets: int = 1024) -> DataFrame:
     """AG13: Pearson, Spearman (Pearson of average ranks), MSE; combined_score = mean(pearson, spearman)."""
-    rx = average_ranks(pairs.select("doc_id", "label", "prediction"), "label", "rank_label", n_buckets)
+    # one exchange of the three numeric columns, reused by every branch below, so the
+    # (possibly expensive) derivation of label/prediction runs once
+    base = pairs.select("doc_id", "label", "prediction").repartition(F.xxhash64("doc_id"))
+    rx = average_ranks(base, "label", "rank_label", n_buckets)
     rxy = average_ranks(rx, "prediction", "rank_prediction", n_buckets)
     r = rxy.agg(
         F.corr("label", "prediction").alias("pearson"),

@@ -35,6 +35,13 @@ def q_source_token_totals(spark, sf):
     return S.source_token_totals(S.chunk_keys(_corpus(spark, sf), L))
 
 
+def q_parse_ratio_spec(spark, sf):
+    """PF7: the parsed spec in carry-over order with each source's chunk count."""
+    spec = S.parse_ratio_spec(spark, FX.FIXTURE_RATIOS)
+    totals = S.source_token_totals(S.chunk_keys(_corpus(spark, sf), L))
+    return spec.join(totals, "category", "left").select("ord", "category", "ratio", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
 def q_sampling_quota_carry(spark, sf):
     spec = S.parse_ratio_spec(spark, FX.FIXTURE_RATIOS)
     totals = S.source_token_totals(S.chunk_keys(_corpus(spark, sf), L))
@@ -89,6 +96,7 @@ QUERIES = {
     "chunk_tokens": q_chunk_tokens,
     "token_recount": q_token_recount,
     "source_token_totals": q_source_token_totals,
+    "parse_ratio_spec": q_parse_ratio_spec,
     "sampling_quota_carry": q_sampling_quota_carry,
     "sample_by_budget": q_sample_by_budget,
     "sample_nested_targets": q_sample_nested_targets,
@@ -115,6 +123,9 @@ FROM chunks GROUP BY category""",
     "source_token_totals": _BASE + """
 SELECT category, CAST(SUM(effective_tokens) AS BIGINT) AS total_tokens, COUNT(*) AS n_chunks FROM chunks GROUP BY category""",
     "sampling_quota_carry": _BASE + f",\n{_SPEC},\n{Q.quotas_cte(FX.FIXTURE_TARGETS)}\nSELECT * FROM quotas",
+    "parse_ratio_spec": _BASE + f",\n{_SPEC}" + """,
+tot AS (SELECT category, COUNT(*) AS n_chunks FROM chunks GROUP BY category)
+SELECT s.ord, s.category, s.ratio, coalesce(t.n_chunks, 0) AS n_chunks FROM spec s LEFT JOIN tot t ON t.category = s.category""",
     "sample_by_budget": _BASE + f",\n{_SPEC},\n{Q.quotas_cte([BUDGET])},\n{_RANKED}" + """
 SELECT q.target, r.category, r.doc_id, r.chunk_no, r.effective_tokens
 FROM ranked r JOIN quotas q ON r.category = q.category WHERE r.rn <= q.take""",

@@ -70,6 +70,17 @@ def q_topic_prompts(spark, sf):
     return T.topic_prompts(_keyword_lists(spark, sf)).select("cluster", "prompt")
 
 
+def q_keyword_map_roundtrip(spark, sf):
+    """SK3 -> SC4 -> JN5: keyword lists written as JSON rows, read back, looked up per prompt cluster."""
+    from topicweave.sources.io import read_keyword_map, scratch_path, write_keyword_map
+
+    path = scratch_path(spark, "keywords-json")
+    write_keyword_map(_keyword_lists(spark, sf), path)
+    kw = read_keyword_map(spark, path)
+    clusters = _clustered(spark, sf).select("cluster").distinct()
+    return clusters.join(kw, "cluster").select("cluster", "rank", "keyword")
+
+
 def q_parse_responses(spark, sf):
     att = T.parse_attempts(_clusters(spark, sf), _responder("1"))
     return att.select("cluster", "attempt", F.array_join("labels", "|").alias("labels_str"), F.col("is_valid").cast("int").alias("is_valid"))
@@ -124,6 +135,7 @@ QUERIES = {
     "cluster_keywords": q_cluster_keywords,
     "keyword_lists": q_keyword_lists,
     "topic_prompts": q_topic_prompts,
+    "keyword_map_roundtrip": q_keyword_map_roundtrip,
     "parse_responses": q_parse_responses,
     "topic_dead_letters": q_topic_dead_letters,
     "cluster_labels_last": q_cluster_labels_last,
@@ -219,6 +231,7 @@ ORACLE = {
     "cluster_keywords": _KW + "\nSELECT cluster, rank, keyword, round(score + 3.1e-12, 9) AS score FROM top",
     "keyword_lists": _KW + "\nSELECT cluster, len(keywords) AS n_keywords, CAST(to_json(keywords) AS VARCHAR) AS keywords_json FROM kl",
     "topic_prompts": _KW + f"\nSELECT cluster, {_PROMPT} AS prompt FROM kl",
+    "keyword_map_roundtrip": _KW + "\nSELECT cluster, CAST(rank AS INTEGER) AS rank, keyword FROM top",
     "parse_responses": f"""WITH {Q.clustered_cte()},
 att AS (SELECT cluster, attempt, {_parsed(_response('1'))} AS labels
         FROM (SELECT DISTINCT cluster FROM clustered), (SELECT unnest(range(1, {T.MAX_RETRY + 1})) AS attempt))

@@ -25,11 +25,21 @@ _LOCAL_DEFAULTS = {
 
 
 def get_spark(master: str | None = None, app: str = "topicweave", **conf: str) -> SparkSession:
-    """Return the active session or build one with local-friendly defaults."""
+    """The active session untouched (a cluster's own settings win), or a new one.
+
+    Local-run defaults (8 shuffle partitions, driver memory, no UI) apply only to ``local[...]``
+    masters; on a cluster the partition count is left to the cluster config and AQE.
+    """
+    active = SparkSession.getActiveSession()
+    if active is not None and not conf:
+        return active
     builder = SparkSession.builder.appName(app)
+    settings = dict(conf)
     if master:
         builder = builder.master(master)
-    for key, value in {**_LOCAL_DEFAULTS, **conf}.items():
+        if master.startswith("local"):
+            settings = {**_LOCAL_DEFAULTS, **conf}
+    for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -22,10 +22,15 @@ TEXT_SCHEMA = T.StructType([T.StructField("text", T.StringType())])
 KEYWORD_MAP = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table under the shared checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
