@@ -102,14 +102,18 @@ def read_keyword_map(spark: SparkSession, path: str, whole_object: bool = False)
 
 def write_label_lines(classified: DataFrame, path: str, errors_path: str) -> None:
     """SK4: valid (cluster_id, keywords, labels) rows appended as JSON lines; failures to a dead-letter sink."""
-    classified.where("is_valid").select("cluster_id", "keywords", "labels").write.mode("append").json(path)
-    classified.where(~F.col("is_valid")).select("cluster_id", "keywords").write.mode("append").json(errors_path)
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("written_at")
+    classified.where("is_valid").select("cluster_id", "keywords", "labels", stamp).write.mode("append").json(path)
+    classified.where(~F.col("is_valid")).select("cluster_id", "keywords", stamp).write.mode("append").json(errors_path)
 
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
-    """SC5: raw JSON lines with a line order (file, then position) for last-wins resolution."""
+    """SC5: raw JSON lines with an append order for last-wins resolution: the batch's write
+    time (stamped by ``write_label_lines``), then the file, then the position in the file."""
     raw = spark.read.text(path).withColumn("_file", F.input_file_name())
-    return with_line_index(raw.orderBy("_file")).select(F.col("line_no"), "value")
+    pos = with_line_index(raw)
+    order = F.struct(F.coalesce(F.get_json_object("value", "$.written_at"), F.lit("")).alias("t"), "_file", "line_no")
+    return pos.select(order.alias("line_no"), "value")
 
 
 def read_pair_file(spark: SparkSession, jsonl: str, labels_txt: str) -> DataFrame:
