@@ -169,9 +169,15 @@ def sample_by_budget(
 ) -> DataFrame:
     """The sampling job: chunk, total per source, quotas with carry-over, exact nested sample.
 
-    Returns (target, category, doc_id, chunk_no, text, effective_tokens).
+    Returns (target, category, doc_id, chunk_no, text, effective_tokens). Runs the key pass
+    eagerly (it writes the chunk-key table); the returned frame is the lazy second pass.
     """
-    keys = chunk_keys(corpus, chunk_len)
+    from topicweave.sources.io import materialize
+
+    # Pass 1 over the text: chunk identities and sizes only (one small row per chunk), written
+    # once to the shared folder; totals, quotas, bucket counts and the cut-bucket ranking all
+    # read this table. Pass 2 chunks the text and filters it against the thresholds.
+    keys = materialize(chunk_keys(corpus, chunk_len), "chunk-keys")
     quotas = sampling_quotas(source_token_totals(keys), spec, targets)
     th = sample_thresholds(keys, quotas, seed, bucket_digits)
     chunks = chunk_tokens(corpus, chunk_len)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from topicweave.functions.hashing import md5_key
 from topicweave.functions.numeric import rounded
 from topicweave.functions.text import is_non_blank
+from topicweave.functions.tokens import token_pieces
 from topicweave.operators import evals as E
 from topicweave.operators import sequences as SQ
 from topicweave.plans import sql as Q
@@ -36,7 +37,7 @@ def _token_rows(spark, sf):
 
 
 def _sentence_rows(spark, sf):
-    return SQ.pad_sequences(SQ.sentence_ids(_docs(spark, sf), _vocab(spark, sf)), L)
+    return SQ.pad_sequences(SQ.sentence_ids(_docs(spark, sf), _vocab(spark, sf), max_len=L), L)
 
 
 def _j(c):
@@ -51,10 +52,11 @@ def q_token_sequences(spark, sf):
 
 def q_pair_sequences(spark, sf):
     bench = FX.table(spark, sf, "benchmark")
-    pairs = FX.pair_items(bench).join(FX.pair_labels(bench), "item_id")
+    pairs = FX.pair_items(bench)
     vocab = _vocab(spark, sf)
-    a = SQ.piece_ids(pairs, vocab, ["item_id"], F.regexp_extract_all("goal", F.lit(r"[ \t\n\r\f]*[^ \t\n\r\f]+|[ \t\n\r\f]+"), 0), "ids_a")
-    ab = SQ.piece_ids(a, vocab, ["item_id"], F.regexp_extract_all("sol1", F.lit(r"[ \t\n\r\f]*[^ \t\n\r\f]+|[ \t\n\r\f]+"), 0), "ids_b")
+    a = SQ.piece_ids(pairs, vocab, ["item_id"], token_pieces(F.col("goal")), "ids_a")
+    b = SQ.piece_ids(pairs, vocab, ["item_id"], token_pieces(F.col("sol1")), "ids_b")
+    ab = FX.pair_labels(bench).join(a, "item_id").join(b, "item_id")
     ids = E.label_ids(FX.pair_labels(bench))
     mapped = E.map_label_ids(ab, ids)
     return mapped.select(
