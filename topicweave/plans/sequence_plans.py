@@ -210,7 +210,7 @@ mo AS (SELECT doc_id,
   list_transform(t, lambda s: CASE WHEN s.ch AND s.rep THEN 3 WHEN s.ch AND s.rnd THEN s.rid ELSE s.x END) AS ids,
   list_transform(t, lambda s: CASE WHEN s.ch THEN s.x ELSE -100 END) AS labs FROM mm)
 SELECT doc_id, array_to_string(ids, ',') AS ids_str, array_to_string(labs, ',') AS labels_str,
-       len(list_filter(labs, lambda v: v <> -100)) AS n_masked FROM mo""",
+       CAST(len(list_filter(labs, lambda v: v <> -100)) AS INTEGER) AS n_masked FROM mo""",
     "shift_right": "WITH " + _SENTROWS + f""",
 r1 AS (SELECT doc_id, list_concat([2], input_ids[1:{L - 1}]) AS s FROM srows),
 r2 AS (SELECT doc_id, list_transform(s, lambda x, i: CASE WHEN i = {L} AND x = 2 THEN 0 ELSE x END) AS s FROM r1),
@@ -237,11 +237,11 @@ SELECT doc_id, batch_id, n_tokens, CAST(ceil(MAX(n_tokens) OVER (PARTITION BY ba
     "per_sample_loss": "WITH " + _TOKROWS + f"""
 SELECT doc_id,
   round(list_sum(list_transform(range(2, {L} + 1), lambda i: CASE WHEN labels[i] = -100 THEN 0.0 ELSE (labels[i] % 13) / 4.0 END)) / {L - 1} + 3.1e-12, 9) AS loss,
-  len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100)) AS n_targets,
-  len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100 AND labels[i] = input_ids[i - 1])) AS n_correct
+  CAST(len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100)) AS INTEGER) AS n_targets,
+  CAST(len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100 AND labels[i] = input_ids[i - 1])) AS INTEGER) AS n_correct
 FROM rows2""",
     "batch_plan": f"""WITH docs AS (SELECT doc_id FROM documents WHERE {_NB}),
-e AS (SELECT doc_id, unnest(range(0, {EPOCHS})) AS epoch FROM docs)
+e AS (SELECT doc_id, CAST(unnest(range(0, {EPOCHS})) AS INTEGER) AS epoch FROM docs)
 SELECT epoch, doc_id,
        CAST(floor((ROW_NUMBER() OVER (PARTITION BY epoch ORDER BY md5(concat_ws(':', 'batch', epoch, doc_id)), doc_id) - 1) / {BATCH}) AS BIGINT) AS batch_no
 FROM e""",

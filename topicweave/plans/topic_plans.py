@@ -228,16 +228,16 @@ asg AS (SELECT vec_id, cluster, distance FROM (SELECT *, ROW_NUMBER() OVER (PART
 
 ORACLE = {
     "keyword_normalise": f"WITH {Q.clustered_cte()}\nSELECT doc_id, cluster, {_CONTENTS} AS contents FROM clustered",
-    "cluster_keywords": _KW + "\nSELECT cluster, rank, keyword, round(score + 3.1e-12, 9) AS score FROM top",
-    "keyword_lists": _KW + "\nSELECT cluster, len(keywords) AS n_keywords, CAST(to_json(keywords) AS VARCHAR) AS keywords_json FROM kl",
+    "cluster_keywords": _KW + "\nSELECT cluster, CAST(rank AS INTEGER) AS rank, keyword, round(score + 3.1e-12, 9) AS score FROM top",
+    "keyword_lists": _KW + "\nSELECT cluster, CAST(len(keywords) AS INTEGER) AS n_keywords, CAST(to_json(keywords) AS VARCHAR) AS keywords_json FROM kl",
     "topic_prompts": _KW + f"\nSELECT cluster, {_PROMPT} AS prompt FROM kl",
     "keyword_map_roundtrip": _KW + "\nSELECT cluster, CAST(rank AS INTEGER) AS rank, keyword FROM top",
     "parse_responses": f"""WITH {Q.clustered_cte()},
 att AS (SELECT cluster, attempt, {_parsed(_response('1'))} AS labels
         FROM (SELECT DISTINCT cluster FROM clustered), (SELECT unnest(range(1, {T.MAX_RETRY + 1})) AS attempt))
-SELECT cluster, attempt, array_to_string(labels, '|') AS labels_str, CAST({_valid('labels')} AS INTEGER) AS is_valid FROM att""",
+SELECT cluster, CAST(attempt AS INTEGER) AS attempt, array_to_string(labels, '|') AS labels_str, CAST({_valid('labels')} AS INTEGER) AS is_valid FROM att""",
     "topic_dead_letters": _KW + ",\n" + _classified("1") + """
-SELECT CAST(cluster AS VARCHAR) AS cluster_id, len(keywords) AS n_keywords FROM cls_1 WHERE labels IS NULL""",
+SELECT CAST(cluster AS VARCHAR) AS cluster_id, CAST(len(keywords) AS INTEGER) AS n_keywords FROM cls_1 WHERE labels IS NULL""",
     "cluster_labels_last": _LAST + "\nSELECT cluster, array_to_string(labels, '|') AS labels_str FROM lab",
     "attach_topics": _LAST + "\nSELECT doc_id, cluster, array_to_string(labels, '|') AS labels_str FROM labelled",
     "label_vocabulary": _LAST + "\nSELECT label, COUNT(*) AS n_rows FROM (SELECT unnest(labels) AS label FROM labelled) GROUP BY label",
