@@ -1,0 +1,21 @@
+"""Join-side helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a lookup side may have and still be broadcast (cluster labels, label ids, shard lists).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its row count is within ``max_rows``, else ``df`` unchanged.
+
+    The count is checked, not assumed: above the bound the join stays a shuffle join that
+    AQE may still turn into a broadcast from runtime sizes, or split when a key is skewed.
+    Callers pass stage outputs (written tables) or small distinct sets, so the count is cheap.
+    """
+    if df.count() <= max_rows:
+        return F.broadcast(df)
+    return df

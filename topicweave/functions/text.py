@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _NON_SPACE = r"[^\s\p{Z}\x1c-\x1f\x85]"
 
 # Python's \W (Unicode) is anything outside letters, digits and underscore.
-_NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
+NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
 
 
 def is_non_blank(text: Column) -> Column:
@@ -29,7 +29,7 @@ def py_strip(text: Column) -> Column:
 
 def normalise_words(text: Column) -> Column:
     """lower-case, replace each run of non-word characters with one space."""
-    return F.regexp_replace(F.lower(text), _NON_WORD_RUN, " ")
+    return F.regexp_replace(F.lower(text), NON_WORD_RUN, " ")
 
 
 def words(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.hashing import md5_key
+from topicweave.functions.joins import small_side
 from topicweave.functions.ranking import average_ranks, running_totals
 
 OPTION_LETTERS = ("A", "B", "C", "D")
@@ -190,7 +191,7 @@ def map_label_ids(df: DataFrame, ids: DataFrame, config_map: dict[str, int] | No
             "label", F.coalesce("cfg_id", "label_id").alias("label_id"), "num_labels"
         )
     lk = ids.select(F.col("label").alias("_lbl"), "label_id")
-    j = df.join(F.broadcast(lk), F.col(label_col).cast("string") == F.col("_lbl"), "left").drop("_lbl")
+    j = df.join(small_side(lk), F.col(label_col).cast("string") == F.col("_lbl"), "left").drop("_lbl")
     return j.withColumn("label_id", F.when(F.col(label_col).cast("string") == "-1", -1).otherwise(F.col("label_id")))
 
 

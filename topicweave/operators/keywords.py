@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicweave.functions.text import normalise_words, words
+from topicweave.functions.text import NON_WORD_RUN, normalise_words, words
 
 # The English stop-word list the keyword step filters with (179 words).
 ENGLISH_STOP_WORDS = (
@@ -65,16 +65,22 @@ def normalise_keywords(df: DataFrame, stops: Sequence[str] | None = None, text_c
 def cluster_tfidf(clustered: DataFrame, stops: Sequence[str] | None = None) -> DataFrame:
     """ST5 + AG4: (cluster, term, score) with per-cluster smooth idf and L2-normalised documents.
 
-    Words are exploded first and filtered with column predicates (stop words as a hash-set
-    IN), which stays in whole-stage codegen. One (cluster, doc, word) aggregate feeds both
-    the document count n (documents with any non-stop word, even a one-letter one) and the
-    term frequencies of words with two or more characters; its exchange is reused.
+    Words are split on the non-word regex, exploded and filtered with column predicates (stop
+    words as a hash-set IN), which stays in whole-stage codegen. One (cluster, doc, word)
+    aggregate feeds the document count n (documents with any non-stop word, even a one-letter
+    one), the document frequencies and the term frequencies of words with two or more
+    characters. Catalyst prunes and filters each of those three branches differently, so
+    their exchanges would not be reused and the text would be tokenised three times; the
+    (cluster, doc, word, tf) table is therefore written once to the shared folder and read
+    by all three (no text in it, and a lineage cut before the joins).
     """
-    w = F.explode(F.split(normalise_words(F.col("text")), " ")).alias("term")
+    from topicweave.sources.io import materialize
+
+    w = F.explode(F.split(F.lower(F.col("text")), NON_WORD_RUN)).alias("term")
     rows = clustered.select("cluster", "doc_id", w).where(F.col("term") != "")
     if stops:
         rows = rows.where(~F.col("term").isin(*stops))
-    tf_all = rows.groupBy("cluster", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf_all = materialize(rows.groupBy("cluster", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     n_docs = tf_all.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
     tf = tf_all.where(F.length("term") >= 2)
     dfreq = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"))

@@ -12,6 +12,7 @@ from topicweave.operators import evals as E
 from topicweave.operators import sequences as SQ
 from topicweave.plans import sql as Q
 from topicweave.sources import fixtures as FX
+from topicweave.sources.io import materialize
 
 VOCAB = 5000
 L = 64
@@ -29,7 +30,8 @@ def _docs(spark, sf):
 
 
 def _vocab(spark, sf):
-    return SQ.build_vocabulary(_docs(spark, sf), VOCAB)
+    """Stage output, written once like a tokenizer's vocabulary file (one full-corpus count)."""
+    return materialize(SQ.build_vocabulary(_docs(spark, sf), VOCAB), "vocabulary")
 
 
 def _token_rows(spark, sf):
