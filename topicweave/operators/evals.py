@@ -223,9 +223,12 @@ def classification_metrics(pred: DataFrame, suffix: str = "") -> DataFrame:
 
 def regression_metrics(pairs: DataFrame, n_buckets: int = 1024) -> DataFrame:
     """AG13: Pearson, Spearman (Pearson of average ranks), MSE; combined_score = mean(pearson, spearman)."""
-    # one exchange of the three numeric columns, reused by every branch below, so the
-    # (possibly expensive) derivation of label/prediction runs once
-    base = pairs.select("doc_id", "label", "prediction").repartition(F.xxhash64("doc_id"))
+    # the two quantile sketches are eager jobs and the final aggregate is a third one; the three
+    # numeric columns are written once to the shared folder so the (possibly expensive)
+    # derivation of label/prediction runs once, not three times
+    from topicweave.sources.io import materialize
+
+    base = materialize(pairs.select("doc_id", "label", "prediction"), "regression-pairs")
     rx = average_ranks(base, "label", "rank_label", n_buckets)
     rxy = average_ranks(rx, "prediction", "rank_prediction", n_buckets)
     r = rxy.agg(
