@@ -49,13 +49,17 @@ def get_spark(master: str | None = None, app: str = "topicweave", **conf: str) -
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and small state tables.
 
-    Uses ``spark.checkpoint.dir`` as the cluster names it; only when it is unset
-    (local runs, tests) a fresh scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` as the cluster names it; only when it is unset on a
+    ``local[...]`` master (local runs, tests) a fresh scratch folder is created and registered.
+    On a cluster a machine-local folder would not be shared by the executors, so an unset
+    setting is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's file system)")
         configured = tempfile.mkdtemp(prefix="topicweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     if not spark.sparkContext.getCheckpointDir():
