@@ -184,18 +184,28 @@ def sample_by_budget(
     return sample_chunks(chunks, th, seed).select("target", "category", "doc_id", "chunk_no", "text", "effective_tokens")
 
 
-def sampled_token_totals(sample: DataFrame) -> DataFrame:
-    """AG2: tokens per target after sampling, recounted from the chunk text."""
-    return sample.groupBy("target").agg(
+def sampled_token_totals(sample: DataFrame, distinct_docs: bool = False) -> DataFrame:
+    """AG2: tokens per target after sampling, recounted from the chunk text.
+
+    With ``distinct_docs`` the same aggregate also counts distinct source documents (n_docs),
+    so the sample (and the chunk pass over the text under it) is computed once.
+    """
+    aggs = [
         F.sum(F.size(token_pieces(F.col("text")))).cast("long").alias("tokens"),
         F.sum("effective_tokens").cast("long").alias("effective_tokens"),
         F.count(F.lit(1)).alias("n_chunks"),
-    )
+    ]
+    if distinct_docs:
+        aggs.append(F.countDistinct("doc_id").alias("n_docs"))
+    return sample.groupBy("target").agg(*aggs)
 
 
-def write_sample(sample: DataFrame, path: str) -> None:
+def write_sample(sample: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> None:
     """SK2: one output directory per target in a single pass."""
-    (sample.repartition("target", "category").write.mode("overwrite").partitionBy("target").parquet(path))
+    # No repartition by (target, category) first: that would leave a handful of tasks (one per
+    # pair, the largest source holding most rows) writing the whole sample. Each task writes its
+    # own file per target instead; maxRecordsPerFile bounds file sizes.
+    sample.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).partitionBy("target").parquet(path)
 
 
 def peek_rows(df: DataFrame, key_cols: Sequence[str], k: int = 5, seed: str = DEFAULT_SEED) -> DataFrame:

@@ -57,9 +57,7 @@ def q_sample_by_budget(spark, sf):
 def q_sample_nested_targets(spark, sf):
     spec = S.parse_ratio_spec(spark, FX.FIXTURE_RATIOS)
     out = S.sample_by_budget(_corpus(spark, sf), spec, FX.FIXTURE_TARGETS, L)
-    return S.sampled_token_totals(out).join(
-        out.groupBy("target").agg(F.countDistinct("doc_id").alias("n_docs")), "target"
-    )
+    return S.sampled_token_totals(out, distinct_docs=True)
 
 
 def q_peek_rows(spark, sf):
