@@ -8,6 +8,7 @@ from topicweave.functions.numeric import rounded
 from topicweave.operators import reweight as R
 from topicweave.plans import sql as Q
 from topicweave.sources import fixtures as FX
+from topicweave.sources.io import materialize
 
 N = FX.LOSS_ADJUST_EVERY
 SWITCH = FX.LOSS_SWITCH_AFTER
@@ -17,7 +18,9 @@ RANKS = 6
 
 
 def _log(spark, sf):
-    return FX.loss_log(FX.table(spark, sf, "events"))
+    """The loss log as the trainer would hand it over: a written table (derived from events once),
+    which the grid, scalar subqueries and aggregates below each read."""
+    return materialize(FX.loss_log(FX.table(spark, sf, "events")), "loss-log")
 
 
 def _rd(c):
