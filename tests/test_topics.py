@@ -127,3 +127,15 @@ def test_assign_nearest_matches_bruteforce(spark, sf_small):
     for r in v.limit(50).collect():
         d = {c: sum((a - b) ** 2 for a, b in zip(r["embedding"], m)) for c, m in cm.items()}
         assert got[r["vec_id"]] == min(d, key=lambda c: (d[c], c))
+
+
+def test_fit_kmeans_assigns_every_row_to_its_nearest_center(spark, sf_small):
+    v = FX.table(spark, sf_small, "embeddings")
+    model, out = C.fit_kmeans(v, k=4, seed=0, max_iter=5)
+    centers = [list(c) for c in model.clusterCenters()]
+    assert len(centers) == 4
+    rows = out.select("vec_id", "embedding", "cluster").collect()
+    assert len(rows) == v.count() and len({r["vec_id"] for r in rows}) == len(rows)
+    for r in rows[:50]:
+        d = [sum((a - b) ** 2 for a, b in zip(r["embedding"], c)) for c in centers]
+        assert d[r["cluster"]] <= min(d) + 1e-6

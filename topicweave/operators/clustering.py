@@ -83,14 +83,27 @@ def lloyd_step(vectors: DataFrame, centroids: DataFrame, key_cols: tuple[str, ..
     return ex.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
 
 
-def fit_kmeans(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 20, vec_col: str = "embedding", sample_fraction: float | None = None):
-    """CL2: MLlib k-means (fit on a sample when given), then assign every row with the model."""
+def fit_kmeans(
+    vectors: DataFrame,
+    k: int,
+    seed: int = 0,
+    max_iter: int = 20,
+    vec_col: str = "embedding",
+    sample_fraction: float | None = None,
+    init_mode: str = "random",
+):
+    """CL2: MLlib k-means (fit on a sample when given), then assign every row with the model.
+
+    ``init_mode="random"`` draws the k starting centroids from the data; MLlib's default
+    ``"k-means||"`` runs k-means++ over about 2k x steps candidates on the driver, which for
+    k = 10,000 and 1,024 dimensions is a large single-machine job.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     feats = vectors.withColumn("_features", array_to_vector(F.col(vec_col).cast("array<double>")))
     train = feats.sample(fraction=sample_fraction, seed=seed) if sample_fraction else feats
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(train)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode=init_mode, featuresCol="_features", predictionCol="cluster").fit(train)
     return model, model.transform(feats).drop("_features")
 
 
