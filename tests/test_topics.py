@@ -139,3 +139,11 @@ def test_fit_kmeans_assigns_every_row_to_its_nearest_center(spark, sf_small):
     for r in rows[:50]:
         d = [sum((a - b) ** 2 for a, b in zip(r["embedding"], c)) for c in centers]
         assert d[r["cluster"]] <= min(d) + 1e-6
+
+
+def test_assign_nearest_block_size_does_not_change_result(spark, sf_small):
+    v = FX.table(spark, sf_small, "embeddings")
+    cents = C.centroids_by_label(v)
+    a = sorted(tuple(r) for r in C.assign_nearest(v, cents).select("vec_id", "cluster").collect())
+    b = sorted(tuple(r) for r in C.assign_nearest(v, cents, block=7).select("vec_id", "cluster").collect())
+    assert a == b and len(a) == v.count()

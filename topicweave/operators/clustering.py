@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_CENTROID_BYTES = 512 * 1024 * 1024
+# Bytes of one (rows x k) distance block in a Python worker; rows per block follow from k.
+BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def centroids_by_label(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -45,8 +47,13 @@ def assign_nearest(
     vec_col: str = "embedding",
     block: int = 4096,
 ) -> DataFrame:
-    """CL3 / JN6: (key..., cluster, distance) of the nearest centroid (squared Euclidean; ties -> lowest id)."""
+    """CL3 / JN6: (key..., cluster, distance) of the nearest centroid (squared Euclidean; ties -> lowest id).
+
+    Rows go through in blocks of at most ``block`` rows, fewer when k is large, so that a
+    (rows x k) distance block stays within BLOCK_BYTES (k = 10,000 -> about 800 rows).
+    """
     ids, mat = _centroid_matrix(centroids)
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, len(ids)))))
     bc = vectors.sparkSession.sparkContext.broadcast((ids, mat))
     keys = list(key_cols)
 
