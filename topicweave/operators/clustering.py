@@ -20,14 +20,26 @@ BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def centroids_by_label(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
-    """(cluster, centroid ARRAY<DOUBLE>): the per-label mean vector (partial aggregates per dimension)."""
-    ex = vectors.select(F.col(label_col).cast("int").alias("cluster"), F.posexplode(vec_col).alias("dim", "x"))
-    per_dim = ex.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return per_dim.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_c")).select(
-        "cluster", F.transform("_c", lambda s: s["x"]).alias("centroid")
+    """(cluster, centroid ARRAY<DOUBLE>): the per-label mean vector.
+
+    Whole vectors are averaged by MLlib's ``Summarizer`` (a partial + final aggregate of one
+    vector per group), so rows are not exploded into one row per dimension.
+    """
+    return _group_means(vectors.select(F.col(label_col).cast("int").alias("cluster"), vec_col), "cluster", vec_col).withColumnRenamed(
+        "_mean", "centroid"
     )
 
 
+def _group_means(df: DataFrame, key: str, vec_col: str) -> DataFrame:
+    """(key, _mean ARRAY<DOUBLE>): per-group mean of an array column."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    feats = df.select(key, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    means = feats.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return means.select(key, vector_to_array("_m").alias("_mean"))
+
+
 def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Collect the (bounded) centroid table after checking its size."""
     stats = centroids.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
@@ -86,8 +98,7 @@ def lloyd_step(vectors: DataFrame, centroids: DataFrame, key_cols: tuple[str, ..
     """CL2 (one Lloyd iteration): assign, then the mean of each cluster's vectors per dimension."""
     assigned = assign_nearest(vectors, centroids, key_cols, vec_col)
     j = vectors.select(*key_cols, vec_col).join(assigned.select(*key_cols, "cluster"), list(key_cols))
-    ex = j.select("cluster", F.posexplode(vec_col).alias("dim", "x"))
-    return ex.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
+    return _group_means(j, "cluster", vec_col).select("cluster", F.posexplode("_mean").alias("dim", "value"))
 
 
 def fit_kmeans(
