@@ -133,6 +133,13 @@ def pairs_within(ids: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(ids[: len(ids) - width + 1] == ids[width - 1 :])
 
 
+def triple_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the three consecutive values that begin at each place, in order."""
+    if not len(at):
+        return h[:0]
+    return mix(mix(mix(h[at]) + h[at + 1]) + h[at + 2])
+
+
 def worker_state(name: str, make):
     """One object per Python worker, kept between its tasks (a tokenizer, an opened dictionary)."""
     import sys
