@@ -15,8 +15,8 @@ corpus too. The work goes in four steps:
    run end the longest match with a neighbour in suffix order is computed; at every other position
    it is the match of the position before, less one, so streaming through the text from sample to
    sample gives each position's matching statistic. Starts that match ``length`` bytes are marked.
-   An anchor with more than ``GROUP`` classes is never gathered: its window starts are counted by
-   the 128-bit hash of their windows, as rows of an ordinary aggregate.
+   An anchor with more than ``GROUP`` classes is never gathered: blocks of its window starts are counted
+   by 128-bit hashes, as rows of an ordinary aggregate, and cut finer only where that can matter.
 4. Marks return to the documents that hold the segments, and removed runs are their union.
 
 Defined results: null and empty texts lose nothing; texts shorter than ``length`` bytes lose nothing;
@@ -239,27 +239,66 @@ def _indexed_marks(pieces: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, MARKS)
 
 
-def _counted_marks(pieces: DataFrame, length: int) -> DataFrame:
-    """Marks of the crowded anchors: every window start is a row, counted by its window's hashes."""
+def _blocks(rows: DataFrame, width: int, length: int) -> DataFrame:
+    """Each row's starts in blocks of ``width`` places, counted from the anchor, so that equal windows fall
+    in blocks of one number. ``whole`` is the hash of a block's bytes; ``core`` that of the bytes all windows
+    of a full block share, so equal windows have equal cores."""
+    names = ["anchor", "content", "first", "offset", "bytes", "whole", "core"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            strings = b.column(2).to_pylist()
-            lens = np.array([len(s) for s in strings])
-            data = np.frombuffer(b"".join(strings), np.uint8)
-            n = lens - length + 1
-            row = np.repeat(np.arange(len(lens)), n)
-            rel = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = rel + np.repeat(np.cumsum(lens) - lens, n)
-            w1 = tb.span_hash(tb.prefix_hash(data), at, at + length).view(np.int64)
-            w2 = tb.span_hash(tb.prefix_hash(data, BASE2), at, at + length, BASE2).view(np.int64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(rel.astype(np.int32)), pa.array(w1), pa.array(w2)], names=["anchor", "content", "first", "w1", "w2"])
-
-    crowded = pieces.where("crowded").select("anchor", "content", "bytes")
-    windows = crowded.mapInArrow(run, "anchor bigint, content bigint, first int, w1 bigint, w2 bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"]).select("anchor", "content", "first", F.col("first").alias("last"))
+            out: dict[str, list] = {n: [] for n in names}
+            for a, c, first, offset, raw in zip(*(col.to_pylist() for col in b.columns)):
+                last = len(raw) - length  # of the row's starts; start k stands offset - k bytes before the anchor
+                k = 0
+                while k <= last:
+                    number = (offset - k) // width
+                    end = min(last, offset - number * width)
+                    part = raw[k : end + length]
+                    inner = offset - number * width  # the block's last place, even where the row lacks it
+                    core = raw[inner : inner - width + 1 + length]
+                    key = number.to_bytes(4, "big")
+                    for n, v in zip(names, (a, c, first + k, offset - k, part, hashlib.blake2b(key + part, digest_size=16).digest(), hashlib.blake2b(key + core, digest_size=16).digest())):
+                        out[n].append(v)
+                    k = end + 1
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, kinds)], names=names)
+
+    return rows.mapInArrow(run, "anchor bigint, content bigint, first int, offset int, bytes binary, whole binary, core binary")
+
+
+def _anchored(pieces: DataFrame, length: int, seed: int) -> DataFrame:
+    """Crowded segments with the place of their anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = []
+            for anchor, raw in zip(b.column(0).to_numpy().view(np.uint64), b.column(2).to_pylist()):
+                data = np.frombuffer(raw, np.uint8)
+                at = np.arange(len(raw) - length, length - seed + 1)  # places that every window of the segment has
+                h = tb.span_hash(tb.prefix_hash(data), at, at + seed)
+                place.append(int(at[np.argmax(h == anchor)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.zeros(len(place), np.int32)), pa.array(place, pa.int32()), b.column(2)], names=["anchor", "content", "first", "offset", "bytes"])
+
+    return pieces.where("crowded").select("anchor", "content", "bytes").mapInArrow(run, "anchor bigint, content bigint, first int, offset int, bytes binary")
+
+
+def _counted_marks(pieces: DataFrame, length: int, seed: int) -> DataFrame:
+    """Marks of the crowded anchors, by counting: blocks of starts met twice are marked whole; a block that
+    is not, but whose core is met twice, is cut finer, down to single starts. A group's size
+    matters to nothing but the number of rows, a few for each segment and level."""
+    marks = pieces.select("anchor", "content").limit(0).withColumns({"first": F.lit(0), "last": F.lit(0)})
+    rows = written(_anchored(pieces, length, seed), "crowded-segments")
+    for width in (64, 16, 4, 1):
+        if rows.isEmpty():
+            break
+        blocks = written(_blocks(rows, width, length), f"crowded-blocks-{width}")
+        twice = {c: blocks.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c, F.lit(True).alias(f"{c}_twice")) for c in ("whole", "core")}
+        judged = written(blocks.join(twice["whole"], "whole", "left").join(twice["core"], "core", "left").select(
+            "anchor", "content", "first", "offset", "bytes", F.col("whole_twice").isNotNull().alias("met"), F.col("core_twice").isNotNull().alias("finer")), f"crowded-judged-{width}")
+        marks = marks.unionByName(judged.where("met").select("anchor", "content", "first", (F.col("first") + F.length("bytes") - length).alias("last")))
+        rows = judged.where("finer and not met").select("anchor", "content", "first", "offset", "bytes")
+    return marks
 
 
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED_BYTES, group: int = GROUP) -> DataFrame:
@@ -275,7 +314,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = classes.join(crowd, "anchor").select("where.*", "anchor", "content", (F.col("k") > group).alias("crowded"))
     pieces = written(_fetch(keyed, wanted, length), "segment-bytes")
     whole = classes.where("n > 1").select("anchor", "content", F.lit(0).alias("first"), (F.col("where.count") - 1).alias("last"))
-    marks = written(whole.unionByName(_indexed_marks(pieces, length)).unionByName(_counted_marks(pieces, length)), "segment-marks")
+    marks = written(whole.unionByName(_indexed_marks(pieces, length)).unionByName(_counted_marks(pieces, length, seed)), "segment-marks")
     spans = held.join(marks, ["anchor", "content"]).select("id", "content_key", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b")).alias("span"))
     return spans.groupBy("id", "content_key").agg(F.collect_list("span").alias("spans"))
 
