@@ -256,7 +256,7 @@ def _blocks(rows: DataFrame, width: int, length: int) -> DataFrame:
                     end = min(last, offset - number * width)
                     part = raw[k : end + length]
                     inner = offset - number * width  # the block's last place, even where the row lacks it
-                    core = raw[inner : inner - width + 1 + length]
+                    core = raw[inner : max(inner, inner - width + 1 + length)]
                     key = number.to_bytes(4, "big")
                     for n, v in zip(names, (a, c, first + k, offset - k, part, hashlib.blake2b(key + part, digest_size=16).digest(), hashlib.blake2b(key + core, digest_size=16).digest())):
                         out[n].append(v)
