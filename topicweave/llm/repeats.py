@@ -295,9 +295,12 @@ def _counted_marks(pieces: DataFrame, length: int, seed: int) -> DataFrame:
         blocks = written(_blocks(rows, width, length), f"crowded-blocks-{width}")
         twice = {c: blocks.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c, F.lit(True).alias(f"{c}_twice")) for c in ("whole", "core")}
         judged = written(blocks.join(twice["whole"], "whole", "left").join(twice["core"], "core", "left").select(
-            "anchor", "content", "first", "offset", "bytes", F.col("whole_twice").isNotNull().alias("met"), F.col("core_twice").isNotNull().alias("finer")), f"crowded-judged-{width}")
+            "anchor", "content", "first", "offset", "bytes", "whole", F.col("whole_twice").isNotNull().alias("met"), F.col("core_twice").isNotNull().alias("finer")), f"crowded-judged-{width}")
         marks = marks.unionByName(judged.where("met").select("anchor", "content", "first", (F.col("first") + F.length("bytes") - length).alias("last")))
-        rows = judged.where("finer and not met").select("anchor", "content", "first", "offset", "bytes")
+        # one of the blocks that are marked stays to be met by blocks that share a part of it
+        kept = ["anchor", "content", "first", "offset", "bytes"]
+        partners = judged.where("finer and met").groupBy("whole").agg(F.min(F.struct(*kept)).alias("x")).select("x.*")
+        rows = judged.where("finer and not met").select(*kept).unionByName(partners)
     return marks
 
 
