@@ -87,15 +87,32 @@ def _item_grams(items: DataFrame, n: int) -> DataFrame:
     return items.mapInArrow(run, f"item_id {kind}, item_pos int, n_words int, gram bigint")
 
 
-def _bitmap(item_grams: DataFrame) -> np.ndarray:
-    """A bit for each n-gram hash, gathered as at most 2**(BITS - 6) words of 64 bits."""
-    place = F.shiftrightunsigned("gram", 64 - BITS)
-    words = item_grams.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - BITS}) & 63 as int))")).alias("bits")).toArrow()
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hash in ``column``, gathered as at most 2**(BITS - 6) words of 64 bits."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITS}) & 63 as int))")
+    words = rows.groupBy(F.shiftrightunsigned(column, 64 - BITS + 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def _has_bit(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - BITS)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _only_marked(keyed: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose content key has its bit set, dropped before their texts are shuffled."""
+    shipped = keyed.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
+        for b in batches:
+            yield b.filter(pa.array(_has_bit(bits, b.column(1).to_numpy().view(np.uint64))))
+
+    return keyed.mapInArrow(run, keyed.schema)
+
+
 def _hits(keyed: DataFrame, bitmap: np.ndarray, n: int) -> DataFrame:
     """(id, content_key, pos, gram) of the corpus n-grams whose bit is set."""
     kind = keyed.schema["id"].dataType.simpleString()
@@ -107,8 +124,7 @@ def _hits(keyed: DataFrame, bitmap: np.ndarray, n: int) -> DataFrame:
             for row, data, offs in tb.text_slices(b.column(2)):
                 doc, words = word_hashes(data, offs)
                 at, h = grams(doc, words, n)
-                place = h >> np.uint64(64 - BITS)
-                hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+                hit = _has_bit(bits, h)
                 at, h = at[hit], h[hit]
                 first = np.searchsorted(doc, np.arange(len(offs) - 1))
                 take = pa.array(row + doc[at])
@@ -152,7 +168,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     keyed = _keyed(docs, id_col, text_col)
     items = written(_items(benchmark, item_col, item_text, n), "benchmark-items")
     item_grams = written(_item_grams(items, n), "benchmark-grams")
-    hits = _hits(keyed, _bitmap(item_grams), n)
+    hits = _hits(keyed, _bitmap(item_grams, "gram"), n)
     hits = written(hits.join(item_grams.select("gram").distinct(), "gram"), "benchmark-hits")
     often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     known = item_grams.join(often, "gram")  # an n-gram that the corpus lacks cannot be a seed
@@ -164,7 +180,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     start = F.col("pos") - F.col("item_pos")
     places = hits.join(seeds, "gram").groupBy("id", "content_key", "item_id", F.floor(start / F.col("n_words")).alias("place")).agg(F.min(start).alias("lo"), F.max(start).alias("hi"))
     wanted = places.join(items, "item_id").groupBy(F.col("id").alias("id_"), F.col("content_key").alias("key_")).agg(F.collect_list(F.struct("item_id", "lo", "hi", "words")).alias("places"))
-    rows = keyed.join(written(wanted, "benchmark-places"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("content_key") == F.col("key_")))
+    wanted = written(wanted, "benchmark-places")
+    rows = _only_marked(keyed, _bitmap(wanted, "key_")).join(wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("content_key") == F.col("key_")))
     rows = rows.dropDuplicates(["id", "content_key"]).select("id", "content_key", "text", "places")
     kinds = keyed.schema["id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
