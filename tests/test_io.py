@@ -100,28 +100,3 @@ def test_state_snapshot(spark):
     IO.write_state(w, d)
     got = {r["label"]: (r["window_id"], r["weight"]) for r in IO.read_state(spark, d).collect()}
     assert got == {"a": (2, 2.0), "b": (2, 0.5)}
-
-
-def test_small_side_checks_size(spark):
-    import io
-    from contextlib import redirect_stdout
-
-    from topicweave.functions.joins import small_side
-
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        big = spark.range(1000).withColumnRenamed("id", "k")
-        look = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k long, v string")
-
-        def plan(side):
-            buf = io.StringIO()
-            with redirect_stdout(buf):
-                big.join(side, "k", "left").explain()
-            return buf.getvalue()
-
-        assert "BroadcastHashJoin" in plan(small_side(look))
-        over = small_side(look, max_rows=4)
-        assert over is look and "BroadcastHashJoin" not in plan(over)
-        assert big.join(small_side(look), "k", "left").where("v IS NOT NULL").count() == 5
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,3 +1,5 @@
+import hashlib
+import math
 """Token sequences, masking rules, truncation and the distributed ranking helpers."""
 
 import random
@@ -58,16 +60,39 @@ def test_sentence_permute_keeps_tokens(spark):
     assert all(r["permuted_ids"] == ids for r in same)
 
 
-def test_span_infill_invariants(spark):
-    ids = list(range(10, 40)) + [0] * 10
-    df = spark.createDataFrame([(i, ids, [0] * 30 + [1] * 10) for i in range(10)], "doc_id long, input_ids array<int>, special_tokens_mask array<int>")
-    for r in SQ.span_infill(df).collect():
-        labs = r["infill_labels"]
-        masked = [i for i, x in enumerate(labs) if x != SQ.IGNORE]
-        assert 1 <= len(masked) and all(labs[i] == ids[i] for i in masked)
-        assert all(i < 30 for i in masked)
-        assert SQ.MASK in r["infill_input_ids"]
-        assert len(r["infill_input_ids"]) == len(ids)
+def _infill_model(key, ids, special, ratio=0.3, lam=3.0):
+    """The rule in plain Python: masked places from md5 draws."""
+    plain = [i for i, x in enumerate(ids) if not special[i] and x not in (SQ.PAD, SQ.SEP)]
+    budget, used, masked = math.ceil(len(plain) * ratio), 0, set()
+    for h, i in sorted((hashlib.md5(f"infill:{key}:{i}".encode()).hexdigest(), i) for i in plain):
+        u, n, share, total = int(h[:8], 16) / 2**32, 0, math.exp(-lam), 0.0
+        while (total := total + share) <= u:
+            n += 1
+            share *= lam / n
+        n = min(n, budget - used)
+        used += n
+        masked |= {j for j in plain if i <= j < i + n}
+    out = [SQ.MASK if i in masked else x for i, x in enumerate(ids) if not (i in masked and i - 1 in masked)]
+    return out + [SQ.PAD] * (len(ids) - len(out)), [x if i in masked else SQ.IGNORE for i, x in enumerate(ids)]
+
+
+def test_span_infill_equals_the_rule(spark):
+    ids = [SQ.SEP if i % 7 == 6 else 10 + i for i in range(30)] + [SQ.PAD] * 10
+    rows = [(i, ids, [0] * 30 + [1] * 10) for i in range(12)] + [(100, [], []), (101, [5], [0]), (102, [SQ.SEP, SQ.PAD], [0, 1]), (103, list(range(10, 74)), [0] * 64)]
+    df = spark.createDataFrame(rows, "doc_id long, input_ids array<int>, special_tokens_mask array<int>")
+    got = {r.doc_id: (r.infill_input_ids, r.infill_labels) for r in SQ.span_infill(df).collect()}
+    assert got == {k: _infill_model(k, x, sp) for k, x, sp in rows}
+    assert all(ids[i] not in (SQ.SEP, SQ.PAD) for k in range(12) for i, y in enumerate(got[k][1]) if y != SQ.IGNORE)
+
+
+def test_shards_are_overwritten_one_by_one_without_touching_the_session(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    assert SQ.written_shards(spark, path).count() == 0
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    SQ.write_shards(spark.createDataFrame([(1, "train", 0), (2, "train", 1)], "doc_id long, split string, shard int"), path)
+    SQ.write_shards(spark.createDataFrame([(3, "train", 1)], "doc_id long, split string, shard int"), path)
+    assert sorted(r.doc_id for r in spark.read.parquet(path).collect()) == [1, 3]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
 
 
 def test_global_row_number_equals_window(spark):

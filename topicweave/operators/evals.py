@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.hashing import md5_key
-from topicweave.functions.joins import small_side
 from topicweave.functions.ranking import average_ranks, running_totals
 
 OPTION_LETTERS = ("A", "B", "C", "D")
@@ -52,7 +51,7 @@ def perplexity_by_subset(batches: DataFrame) -> DataFrame:
     """AG10 + AG11 + FN1: per batch acc = correct/targets and ppl = exp(loss); means per subset
     and over all batches (subset '__all__'). Overall ppl is the mean of batch ppl, not exp(mean loss)."""
     b = batches.select(
-        "subset", "loss", (F.col("correct") / F.col("targets")).alias("acc"), F.exp("loss").alias("ppl")
+        "subset", "loss", F.try_divide("correct", "targets").alias("acc"), F.exp("loss").alias("ppl")
     )
     r = b.rollup("subset").agg(
         F.count(F.lit(1)).alias("n_batches"),
@@ -183,15 +182,17 @@ def label_ids(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def map_label_ids(df: DataFrame, ids: DataFrame, config_map: dict[str, int] | None = None, label_col: str = "label") -> DataFrame:
     """FN9: label -> id by the model config when every label matches it case-insensitively,
-    else by sorted order; label -1 stays -1."""
+    else (any label or config key without a partner) by sorted order; label -1 stays -1."""
     if config_map:
         lower = {k.lower(): v for k, v in config_map.items()}
+        seen = ids.agg(F.count_distinct(F.lower("label")).alias("n"), F.count_if(~F.lower("label").isin(*lower)).alias("other")).first()
+    if config_map and seen.n == len(lower) and not seen.other:
         cfg = ids.sparkSession.createDataFrame([(k, v) for k, v in lower.items()], "lk string, cfg_id int")
         ids = ids.join(F.broadcast(cfg), F.lower(ids["label"]) == cfg["lk"], "left").select(
             "label", F.coalesce("cfg_id", "label_id").alias("label_id"), "num_labels"
         )
     lk = ids.select(F.col("label").alias("_lbl"), "label_id")
-    j = df.join(small_side(lk), F.col(label_col).cast("string") == F.col("_lbl"), "left").drop("_lbl")
+    j = df.join(lk, F.col(label_col).cast("string") == F.col("_lbl"), "left").drop("_lbl")
     return j.withColumn("label_id", F.when(F.col(label_col).cast("string") == "-1", -1).otherwise(F.col("label_id")))
 
 
@@ -204,9 +205,10 @@ def classification_metrics(pred: DataFrame, suffix: str = "") -> DataFrame:
         F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
         F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn"),
         F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"),
+        F.avg((y == p).cast("int")).alias("acc"),
     )
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
-    acc = (tp + tn) / (tp + tn + fp + fn)
+    acc = F.col("acc")  # of any number of classes; the other metrics are those of class 1 against class 0
     f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0))
     den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     mcc = F.when(den > 0, (tp * tn - fp * fn) / den).otherwise(F.lit(0.0))

@@ -280,18 +280,20 @@ def loss_decrease_rate(evals: DataFrame, switch_after: int) -> DataFrame:
     """
     prev = evals.select((F.col("eval_no") + 1).alias("eval_no"), F.col("valid_loss").alias("_prev"))
     j = evals.join(prev, "eval_no", "left")
-    rate = (F.col("_prev") - F.col("valid_loss")) / F.col("_prev")
-    switched = F.col("_prev").isNotNull() & (F.col("eval_step") > switch_after)
+    # a previous loss of 0 counts as not yet set
+    prev_loss = F.nullif(F.col("_prev"), F.lit(0.0))
+    rate = (prev_loss - F.col("valid_loss")) / prev_loss
+    switched = prev_loss.isNotNull() & (F.col("eval_step") > switch_after)
     return j.select("eval_no", "eval_step", "valid_loss", rate.alias("decrease_rate"), switched.cast("int").alias("switches_stage"))
 
 
 def microbatch_steps(log: DataFrame, micro_batch: int, grad_accum: int) -> DataFrame:
     """WT10: micro-batch m (0-based) belongs to optimiser step ceil(m / accum) + 1.
 
-    The first step has one micro-batch; the last accum - 1 micro-batches never reach a step.
+    The first step has one micro-batch; micro-batches after the last one that fires never reach a step.
     """
     m = F.floor(F.col("sample_id") / micro_batch).cast("long")
     n_micro = log.agg((F.max("sample_id") / micro_batch).cast("long") + 1).scalar()
-    max_steps = F.floor(n_micro / F.lit(grad_accum))
+    max_steps = F.floor((n_micro - 1) / F.lit(grad_accum)) + 1  # micro-batch m fires a step when m % accum == 0
     step = (F.ceil(m / F.lit(float(grad_accum))) + 1).cast("long")
     return log.withColumn("micro_batch", m).withColumn("opt_step", step).where(F.col("opt_step") <= max_steps)

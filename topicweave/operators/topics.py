@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicweave.functions.hashing import hex_int, md5_key
-from topicweave.functions.joins import small_side
 from topicweave.functions.text import py_strip
 
 # The 41 topic categories, in their given order.
@@ -199,7 +198,7 @@ def attach_topics(clustered: DataFrame, cluster_labels: DataFrame) -> DataFrame:
     The label table has one row per cluster (k rows); it is broadcast after its row count is
     checked, otherwise the join is a shuffle join.
     """
-    return clustered.join(small_side(cluster_labels), "cluster", "left").withColumn(
+    return clustered.join(cluster_labels, "cluster", "left").withColumn(
         "labels", F.coalesce("labels", F.array().cast("array<string>"))
     )
 

@@ -43,7 +43,7 @@ def q_running_accuracy(spark, sf):
 
 
 def _pair_choices(spark, sf):
-    bench = FX.table(spark, sf, "benchmark", spread_rows=False)  # line positions come from the file
+    bench = FX.table(spark, sf, "benchmark")  # line positions come from the file
     pairs = with_line_index(FX.pair_scores(FX.pair_items(bench)))
     labels = with_line_index(FX.pair_labels(bench).select("label"))
     return E.pair_choice(pairs, labels)

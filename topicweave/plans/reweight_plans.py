@@ -236,7 +236,7 @@ SELECT eval_step, round(valid_loss + 3.1e-12, 9) AS valid_loss, round((prev - va
 FROM j""",
     "step_from_microbatch": f"""WITH {Q.LOSS_LOG},
 mb AS (SELECT *, CAST(floor(sample_id / {FX.MICRO_BATCH}) AS BIGINT) AS micro_batch FROM loss_log),
-lim AS (SELECT floor((CAST(floor(MAX(sample_id) / {FX.MICRO_BATCH}) AS BIGINT) + 1) / {ACCUM}) AS max_steps FROM loss_log),
+lim AS (SELECT floor(CAST(floor(MAX(sample_id) / {FX.MICRO_BATCH}) AS BIGINT) / {ACCUM}) + 1 AS max_steps FROM loss_log),
 st AS (SELECT *, CAST(ceil(micro_batch / {float(ACCUM)}) + 1 AS BIGINT) AS opt_step FROM mb)
 SELECT opt_step, COUNT(DISTINCT micro_batch) AS n_microbatches, COUNT(*) AS n_samples, round(AVG(loss) + 3.1e-12, 9) AS mean_loss
 FROM st WHERE opt_step <= (SELECT max_steps FROM lim) GROUP BY opt_step""",

@@ -24,19 +24,9 @@ GRAD_ACCUM = 4               # micro-batches per optimiser step
 EVAL_BATCH = 16              # docs per evaluation batch
 
 
-# Row key of each given table, used to spread single-file scans over the task slots.
-TABLE_KEYS = {
-    "documents": "doc_id", "events": "event_id", "embeddings": "vec_id", "labels": "doc_id",
-    "benchmark": "item_id", "conversations": "conv_id", "pages": "page_id",
-}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    """A given table. ``spread_rows=False`` keeps the file's row order (positional reads)."""
-    from topicweave.sources.io import spread
-
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, TABLE_KEYS.get(name)) if spread_rows else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, as scanned."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def corpus(documents: DataFrame) -> DataFrame:

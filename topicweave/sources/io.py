@@ -35,23 +35,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Hash-repartition a scan by ``key`` only when it has fewer input files than task slots.
-
-    A single small file (one row group) is scanned by one task, which would serialise every
-    narrow stage after it. A large table made of many files is left as scanned (no extra
-    shuffle). Partitioning by a key column keeps row placement deterministic under retries.
-    """
-    if key is None:
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= slots:
-        return df
-    # partition by a hash expression, not the bare key, so later aggregates keep their own
-    # (reusable) exchanges instead of recomputing everything after this one
-    return df.repartition(slots, F.xxhash64(key))
-
-
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """SC2: columnar directory scan (pruned to ``columns``)."""
     df = spark.read.parquet(path)
