@@ -122,3 +122,23 @@ def test_line_index_is_consecutive(spark):
     df = spark.range(0, 500, numPartitions=7).select((F.col("id") * 3).alias("v"))
     got = sorted((r["line_no"], r["v"]) for r in with_line_index(df).collect())
     assert got == [(i, 3 * i) for i in range(500)]
+
+
+def test_chunk_rows_hold_whole_texts(spark):
+    words = [f"w{i}{'.' if i % 3 == 0 else ''}" for i in range(150)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "one"), (3, ""), (4, None)], "doc_id long, text string")
+    pieces = [w if i == 0 else f" {w}" for i, w in enumerate(words)]
+    ids = [SQ.FIRST_ID + int(hashlib.md5(p.encode()).hexdigest()[:15], 16) for p in pieces]
+    got = {(r.doc_id, r.chunk_no): r.ids for r in SQ.hashed_chunks(df, 64).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert got[1, 0] + got[1, 1] + got[1, 2] == ids and len(got[1, 2]) == 22
+    with_sep = {(r.doc_id, r.chunk_no): r.ids for r in SQ.hashed_chunks(df, 64, sep_after_sentence=True).collect()}
+    flat = with_sep[1, 0] + with_sep[1, 1] + with_sep[1, 2]
+    assert [x for x in flat if x != SQ.SEP] == ids
+    assert flat.count(SQ.SEP) == 50 and max(map(len, with_sep.values())) <= 128
+
+
+def test_dynamic_pad_fills_to_the_longest_of_its_batch(spark):
+    df = spark.createDataFrame([(0, [5] * 3), (0, [6] * 9), (1, [7])], "batch long, ids array<bigint>")
+    got = sorted((r.batch, r.padded_len, r.padded_ids) for r in SQ.dynamic_pad(df, "batch").collect())
+    assert got == [(0, 16, [5] * 3 + [0] * 13), (0, 16, [6] * 9 + [0] * 7), (1, 8, [7] + [0] * 7)]

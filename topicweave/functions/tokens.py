@@ -2,7 +2,7 @@
 
 The default piece pattern is lossless: concatenating the pieces of a text gives the text
 back, so a chunk's text is the join of its pieces. A real sub-word vocabulary can replace
-it through ``vocab_token_ids`` in ``operators.sequences``.
+it through ``piece_ids`` in ``operators.sequences``.
 """
 
 from __future__ import annotations

@@ -12,10 +12,10 @@ from topicweave.operators import evals as E
 from topicweave.operators import sequences as SQ
 from topicweave.plans import sql as Q
 from topicweave.sources import fixtures as FX
-from topicweave.sources.io import materialize
 
-VOCAB = 5000
-L = 64
+L = 64          # pieces of a chunk row
+W = 2 * L       # width of a row with separators: nothing is cut
+ROW = ("doc_id", "chunk_no")
 PAIR_LEN = 32
 BATCH = 32
 EPOCHS = 2
@@ -29,17 +29,13 @@ def _docs(spark, sf):
     return d.where(is_non_blank(F.col("text")))
 
 
-def _vocab(spark, sf):
-    """Stage output, written once like a tokenizer's vocabulary file (one full-corpus count)."""
-    return materialize(SQ.build_vocabulary(_docs(spark, sf), VOCAB), "vocabulary")
-
-
 def _token_rows(spark, sf):
-    return SQ.pad_sequences(SQ.token_ids(_docs(spark, sf), _vocab(spark, sf), max_len=L), L)
+    """Whole texts as rows of L ids."""
+    return SQ.pad_sequences(SQ.hashed_chunks(_docs(spark, sf), L), L)
 
 
 def _sentence_rows(spark, sf):
-    return SQ.pad_sequences(SQ.sentence_ids(_docs(spark, sf), _vocab(spark, sf), max_len=L), L)
+    return SQ.pad_sequences(SQ.hashed_chunks(_docs(spark, sf), L, sep_after_sentence=True), W)
 
 
 def _j(c):
@@ -48,17 +44,15 @@ def _j(c):
 
 def q_token_sequences(spark, sf):
     t = _token_rows(spark, sf)
-    return t.select("doc_id", "n_tokens", _j("input_ids").alias("ids_str"),
+    return t.select(*ROW, "n_tokens", _j("input_ids").alias("ids_str"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("attn_sum"), _j("labels").alias("labels_str"))
 
 
 def q_pair_sequences(spark, sf):
     bench = FX.table(spark, sf, "benchmark")
     pairs = FX.pair_items(bench)
-    vocab = _vocab(spark, sf)
-    a = SQ.piece_ids(pairs, vocab, ["item_id"], token_pieces(F.col("goal")), "ids_a")
-    b = SQ.piece_ids(pairs, vocab, ["item_id"], token_pieces(F.col("sol1")), "ids_b")
-    ab = FX.pair_labels(bench).join(a, "item_id").join(b, "item_id")
+    ids_of = lambda c: F.transform(token_pieces(F.col(c)), SQ.hashed_id)
+    ab = FX.pair_labels(bench).join(pairs.select("item_id", ids_of("goal").alias("ids_a"), ids_of("sol1").alias("ids_b")), "item_id")
     ids = E.label_ids(FX.pair_labels(bench))
     mapped = E.map_label_ids(ab, ids)
     return mapped.select(
@@ -68,31 +62,30 @@ def q_pair_sequences(spark, sf):
 
 
 def q_mlm_mask(spark, sf):
-    m = SQ.mlm_mask(_token_rows(spark, sf), VOCAB + SQ.FIRST_ID)
-    return m.select("doc_id", _j("mlm_input_ids").alias("ids_str"), _j("mlm_labels").alias("labels_str"),
+    m = SQ.mlm_mask(_token_rows(spark, sf), SQ.HASHED_IDS, key=ROW)
+    return m.select(*ROW, _j("mlm_input_ids").alias("ids_str"), _j("mlm_labels").alias("labels_str"),
                     F.size(F.filter("mlm_labels", lambda x: x != SQ.IGNORE)).alias("n_masked"))
 
 
 def q_shift_right(spark, sf):
     t = _sentence_rows(spark, sf)
-    return t.select("doc_id", F.array_join(SQ.shift_right(F.col("input_ids"), L), ",").alias("decoder_ids_str"))
+    return t.select(*ROW, F.array_join(SQ.shift_right(F.col("input_ids"), W), ",").alias("decoder_ids_str"))
 
 
 def q_sentence_permute(spark, sf):
-    t = SQ.permute_sentences(_sentence_rows(spark, sf), PERMUTE_RATIO)
-    return t.select("doc_id", _j("permuted_ids").alias("ids_str"))
+    t = SQ.permute_sentences(_sentence_rows(spark, sf), PERMUTE_RATIO, key=ROW)
+    return t.select(*ROW, _j("permuted_ids").alias("ids_str"))
 
 
 def q_span_infill(spark, sf):
-    t = SQ.span_infill(_sentence_rows(spark, sf))
-    return t.select("doc_id", F.size(F.filter("infill_labels", lambda x: x != SQ.IGNORE)).alias("n_masked"),
+    t = SQ.span_infill(_sentence_rows(spark, sf), key=ROW)
+    return t.select(*ROW, F.size(F.filter("infill_labels", lambda x: x != SQ.IGNORE)).alias("n_masked"),
                     F.size(F.filter("infill_input_ids", lambda x: x == SQ.MASK)).alias("n_spans"))
 
 
 def q_dynamic_pad(spark, sf):
-    t = SQ.token_ids(_docs(spark, sf), _vocab(spark, sf), max_len=L)
-    t = t.withColumn("n_tokens", F.size("ids")).withColumn("batch_id", F.floor(F.col("doc_id") / 16).cast("long"))
-    return SQ.dynamic_pad(t, "batch_id").select("doc_id", "batch_id", "n_tokens", "padded_len")
+    t = SQ.hashed_chunks(_docs(spark, sf), L).withColumn("batch_id", F.floor(F.col("doc_id") / 16).cast("long"))
+    return SQ.dynamic_pad(t, ("batch_id", "chunk_no")).select(*ROW, "batch_id", F.size("ids").alias("n_tokens"), "padded_len", _j("padded_ids").alias("ids_str"))
 
 
 def q_per_sample_loss(spark, sf):
@@ -103,7 +96,7 @@ def q_per_sample_loss(spark, sf):
     prev = lambda i: F.element_at("input_ids", i - 1)
     tok_loss = F.transform(pos, lambda i: F.when(lab(i) == SQ.IGNORE, F.lit(0.0)).otherwise(F.pmod(lab(i), F.lit(13)) / 4.0))
     return t.select(
-        "doc_id",
+        *ROW,
         rounded(F.aggregate(tok_loss, F.lit(0.0), lambda a, b: a + b) / (L - 1)).alias("loss"),
         F.size(F.filter(pos, lambda i: lab(i) != SQ.IGNORE)).alias("n_targets"),
         F.size(F.filter(pos, lambda i: (lab(i) != SQ.IGNORE) & (lab(i) == prev(i)))).alias("n_correct"),
@@ -153,49 +146,53 @@ QUERIES = {
 # ---------------------------------------------------------------- oracle SQL
 
 _NB = r"text IS NOT NULL AND regexp_matches(text, '[^\s\p{Z}\x{1c}-\x{1f}\x{85}]')"
-_BASE = f"""docs AS (SELECT doc_id, text, n_chars FROM documents WHERE {_NB}),
-cnt AS (SELECT piece, COUNT(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {Q.TOK_SQL})) AS piece FROM docs) GROUP BY piece),
-vocab AS (SELECT piece, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, piece) - 1 + 4 AS INTEGER) AS id FROM cnt ORDER BY n DESC, piece LIMIT {VOCAB}),
-vm AS (SELECT map(list(piece), list(id)) AS m FROM vocab)"""
+_BASE = f"""docs AS (SELECT doc_id, text FROM documents WHERE {_NB})"""
+
+
+def _id(x: str) -> str:
+    return f"(4 + {Q.hexint(f'md5({x})', 1, 15)})"
+
 
-_IDS = "list_transform({p}, lambda x: coalesce(m[x], 1))"
+def _zeros(n: str) -> str:
+    return f"list_transform(range({n}), lambda z: CAST(0 AS BIGINT))"
 
 
-def _pad(ids: str) -> str:
-    return f"list_concat({ids}[1:{L}], list_transform(range(greatest({L} - len({ids}[1:{L}]), 0)), lambda z: 0))"
+_CHUNKS = _BASE + f""",
+tk AS (SELECT doc_id, regexp_extract_all(text, {Q.TOK_SQL}) AS pc FROM docs),
+ck AS (SELECT doc_id, pc, unnest(range(0, len(pc), {L})) AS s FROM tk),
+ch AS (SELECT doc_id, CAST(s // {L} AS INTEGER) AS chunk_no, pc[s + 1 : s + {L}] AS pc FROM ck)"""
 
+_IDROWS = _CHUNKS + f""",
+ir AS (SELECT doc_id, chunk_no, list_transform(pc, lambda x: {_id('x')}) AS ids FROM ch)"""
 
-_TOKROWS = _BASE + f""",
-tk AS (SELECT doc_id, {_IDS.format(p=f"regexp_extract_all(text, {Q.TOK_SQL})[1:{L}]")} AS ids FROM docs, vm),
-rows AS (SELECT doc_id, CAST(least(len(ids), {L}) AS INTEGER) AS n_tokens, {_pad('ids')} AS input_ids FROM tk),
+_TOKROWS = _IDROWS + f""",
+rows AS (SELECT doc_id, chunk_no, CAST(len(ids) AS INTEGER) AS n_tokens, list_concat(ids, {_zeros(f'{L} - len(ids)')}) AS input_ids FROM ir),
 rows2 AS (SELECT *, list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels,
                  list_transform(range(1, {L} + 1), lambda i: CASE WHEN i <= n_tokens THEN 0 ELSE 1 END) AS special FROM rows)"""
 
-_SENTROWS = _BASE + f""",
-sp AS (SELECT doc_id, regexp_extract_all(text, {Q.TOK_SQL}) AS pc FROM docs),
-si AS (SELECT doc_id, flatten(list_transform(pc, lambda x: CASE WHEN regexp_matches(x, '[.!?]$') THEN [coalesce(m[x], 1), 2]
-                                                           ELSE [coalesce(m[x], 1)] END)) AS ids FROM sp, vm),
-srows AS (SELECT doc_id, {_pad('ids')} AS input_ids FROM si)"""
+_SENTROWS = _CHUNKS + f""",
+si AS (SELECT doc_id, chunk_no, flatten(list_transform(pc, lambda x: CASE WHEN regexp_matches(x, '[.!?]$') THEN [{_id('x')}, 2]
+                                                                     ELSE [{_id('x')}] END)) AS ids FROM ch),
+srows AS (SELECT doc_id, chunk_no, list_concat(ids, {_zeros(f'{W} - len(ids)')}) AS input_ids FROM si)"""
 
 
 def _u(h: str, start: int) -> str:
     return Q.u01(h, start, 8)
 
 
-_MH = "md5(concat_ws(':', 'mlm', doc_id, i - 1))"
+_MH = "md5(concat_ws(':', 'mlm', doc_id, chunk_no, i - 1))"
 
 ORACLE = {
     "token_sequences": "WITH " + _TOKROWS + """
-SELECT doc_id, n_tokens, array_to_string(input_ids, ',') AS ids_str, n_tokens AS attn_sum, array_to_string(labels, ',') AS labels_str FROM rows2""",
-    "pair_sequences": "WITH " + _BASE + f""",
-pw AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS ws FROM benchmark),
+SELECT doc_id, chunk_no, n_tokens, array_to_string(input_ids, ',') AS ids_str, n_tokens AS attn_sum, array_to_string(labels, ',') AS labels_str FROM rows2""",
+    "pair_sequences": f"""WITH pw AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS ws FROM benchmark),
 pairs AS (SELECT item_id, array_to_string(ws[1:CAST(floor(len(ws) / 2) AS INTEGER)], ' ') AS goal,
                  array_to_string(ws[CAST(floor(len(ws) / 2) AS INTEGER) + 1:len(ws)], ' ') AS sol1,
                  CAST(item_id % 2 AS INTEGER) AS label FROM pw),
 lids AS (SELECT label, CAST(ROW_NUMBER() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id
          FROM (SELECT DISTINCT CAST(label AS VARCHAR) AS label FROM pairs)),
-pi AS (SELECT item_id, label, {_IDS.format(p=f"regexp_extract_all(goal, {Q.TOK_SQL})")} AS a,
-              {_IDS.format(p=f"regexp_extract_all(sol1, {Q.TOK_SQL})")} AS b FROM pairs, vm),
+pi AS (SELECT item_id, label, list_transform(regexp_extract_all(goal, {Q.TOK_SQL}), lambda x: {_id('x')}) AS a,
+              list_transform(regexp_extract_all(sol1, {Q.TOK_SQL}), lambda x: {_id('x')}) AS b FROM pairs),
 tr AS (SELECT *, len(a) AS la, len(b) AS lb, greatest(len(a) + len(b) - {PAIR_LEN}, 0) AS r FROM pi),
 tr2 AS (SELECT *, least(abs(la - lb), r) AS f, r - least(abs(la - lb), r) AS s FROM tr),
 tr3 AS (SELECT *, CASE WHEN la > lb THEN f + s // 2 ELSE s // 2 END AS ca,
@@ -204,40 +201,41 @@ SELECT item_id, CAST(la AS INTEGER) AS len_a, CAST(lb AS INTEGER) AS len_b,
        array_to_string(list_concat(a[1:la - ca], b[1:lb - cb]), ',') AS ids_str, l.label_id
 FROM tr3 JOIN lids l ON l.label = CAST(tr3.label AS VARCHAR)""",
     "mlm_mask": "WITH " + _TOKROWS + f""",
-mm AS (SELECT doc_id, list_transform(input_ids, lambda x, i: {{
+mm AS (SELECT doc_id, chunk_no, list_transform(input_ids, lambda x, i: {{
   'ch': special[i] = 0 AND {_u(_MH, 1)} < 0.15,
   'rep': {_u(_MH, 9)} < 0.8, 'rnd': {_u(_MH, 17)} < 0.5,
-  'rid': CAST(floor({_u(_MH, 25)} * {VOCAB + 4}) AS INTEGER), 'x': x}}) AS t FROM rows2),
-mo AS (SELECT doc_id,
+  'rid': CAST(floor({_u(_MH, 25)} * {SQ.HASHED_IDS}) AS BIGINT), 'x': x}}) AS t FROM rows2),
+mo AS (SELECT doc_id, chunk_no,
   list_transform(t, lambda s: CASE WHEN s.ch AND s.rep THEN 3 WHEN s.ch AND s.rnd THEN s.rid ELSE s.x END) AS ids,
   list_transform(t, lambda s: CASE WHEN s.ch THEN s.x ELSE -100 END) AS labs FROM mm)
-SELECT doc_id, array_to_string(ids, ',') AS ids_str, array_to_string(labs, ',') AS labels_str,
+SELECT doc_id, chunk_no, array_to_string(ids, ',') AS ids_str, array_to_string(labs, ',') AS labels_str,
        CAST(len(list_filter(labs, lambda v: v <> -100)) AS INTEGER) AS n_masked FROM mo""",
     "shift_right": "WITH " + _SENTROWS + f""",
-r1 AS (SELECT doc_id, list_concat([2], input_ids[1:{L - 1}]) AS s FROM srows),
-r2 AS (SELECT doc_id, list_transform(s, lambda x, i: CASE WHEN i = {L} AND x = 2 THEN 0 ELSE x END) AS s FROM r1),
-r3 AS (SELECT doc_id, list_transform(s, lambda x, i: CASE WHEN i < {L} AND x = 2 AND s[i + 1] = 0 THEN 0 ELSE x END) AS s FROM r2)
-SELECT doc_id, array_to_string(s, ',') AS decoder_ids_str FROM r3""",
+r1 AS (SELECT doc_id, chunk_no, list_concat([CAST(2 AS BIGINT)], input_ids[1:{W - 1}]) AS s FROM srows),
+r2 AS (SELECT doc_id, chunk_no, list_transform(s, lambda x, i: CASE WHEN i = {W} AND x = 2 THEN 0 ELSE x END) AS s FROM r1),
+r3 AS (SELECT doc_id, chunk_no, list_transform(s, lambda x, i: CASE WHEN i < {W} AND x = 2 AND s[i + 1] = 0 THEN 0 ELSE x END) AS s FROM r2)
+SELECT doc_id, chunk_no, array_to_string(s, ',') AS decoder_ids_str FROM r3""",
     "sentence_permute": "WITH " + _SENTROWS + f""",
-e1 AS (SELECT doc_id, input_ids AS ids,
-              list_transform(list_filter(range(0, {L} - 1), lambda j: input_ids[j + 2] = 2 AND input_ids[j + 1] <> 2), lambda j: j + 2) AS ends
+e1 AS (SELECT doc_id, chunk_no, input_ids AS ids,
+              list_transform(list_filter(range(0, {W} - 1), lambda j: input_ids[j + 2] = 2 AND input_ids[j + 1] <> 2), lambda j: j + 2) AS ends
        FROM srows),
 e2 AS (SELECT *, len(ends) AS ns, CAST(ceil(len(ends) * {PERMUTE_RATIO}) AS INTEGER) AS k FROM e1),
-e3 AS (SELECT *, list_transform(list_sort(list_transform(range(0, ns), lambda j: {{'h': md5(concat_ws(':', 'perm', doc_id, 's', j)), 'j': j}})), lambda q: q.j)[1:k] AS subs,
-              list_transform(list_sort(list_transform(range(0, k), lambda i: {{'h': md5(concat_ws(':', 'perm', doc_id, 'o', i)), 'i': i}})), lambda q: q.i) AS ord
+e3 AS (SELECT *, list_transform(list_sort(list_transform(range(0, ns), lambda j: {{'h': md5(concat_ws(':', 'perm', doc_id, chunk_no, 's', j)), 'j': j}})), lambda q: q.j)[1:k] AS subs,
+              list_transform(list_sort(list_transform(range(0, k), lambda i: {{'h': md5(concat_ws(':', 'perm', doc_id, chunk_no, 'o', i)), 'i': i}})), lambda q: q.i) AS ord
        FROM e2),
 e4 AS (SELECT *, list_transform(range(0, ns), lambda j: CASE WHEN list_contains(subs, j) THEN subs[ord[list_position(subs, j)] + 1] ELSE j END) AS ordering FROM e3),
 e5 AS (SELECT *, CASE WHEN ns > 0 THEN list_concat(
           flatten(list_transform(ordering, lambda j: ids[(CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1 : ends[j + 1]])),
-          CASE WHEN {L} > ends[ns] THEN ids[ends[ns] + 1 : {L}] ELSE [] END)
+          CASE WHEN {W} > ends[ns] THEN ids[ends[ns] + 1 : {W}] ELSE [] END)
         ELSE ids END AS permuted FROM e4)
-SELECT doc_id, array_to_string(permuted, ',') AS ids_str FROM e5""",
-    "dynamic_pad": "WITH " + _BASE + f""",
-tk AS (SELECT doc_id, CAST(len(regexp_extract_all(text, {Q.TOK_SQL})[1:{L}]) AS INTEGER) AS n_tokens,
-              CAST(floor(doc_id / 16) AS BIGINT) AS batch_id FROM docs)
-SELECT doc_id, batch_id, n_tokens, CAST(ceil(MAX(n_tokens) OVER (PARTITION BY batch_id) / 8.0) * 8 AS INTEGER) AS padded_len FROM tk""",
+SELECT doc_id, chunk_no, array_to_string(permuted, ',') AS ids_str FROM e5""",
+    "dynamic_pad": "WITH " + _IDROWS + f""",
+pl AS (SELECT *, CAST(floor(doc_id / 16) AS BIGINT) AS batch_id,
+              CAST(ceil(MAX(len(ids)) OVER (PARTITION BY CAST(floor(doc_id / 16) AS BIGINT), chunk_no) / 8.0) * 8 AS INTEGER) AS padded_len FROM ir)
+SELECT doc_id, chunk_no, batch_id, CAST(len(ids) AS INTEGER) AS n_tokens, padded_len,
+       array_to_string(list_concat(ids, {_zeros('padded_len - len(ids)')}), ',') AS ids_str FROM pl""",
     "per_sample_loss": "WITH " + _TOKROWS + f"""
-SELECT doc_id,
+SELECT doc_id, chunk_no,
   round(list_sum(list_transform(range(2, {L} + 1), lambda i: CASE WHEN labels[i] = -100 THEN 0.0 ELSE (labels[i] % 13) / 4.0 END)) / {L - 1} + 3.1e-12, 9) AS loss,
   CAST(len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100)) AS INTEGER) AS n_targets,
   CAST(len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100 AND labels[i] = input_ids[i - 1])) AS INTEGER) AS n_correct
