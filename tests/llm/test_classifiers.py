@@ -88,6 +88,14 @@ def test_held_out_labels_are_not_learned(make_docs, spark):
         assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
 
 
+def test_training_sample_is_the_lowest_hashes_of_each_class(spark):
+    labels = spark.range(60_000).selectExpr("id as doc_id", "cast(id % 20 = 0 as int) as toxic")
+    picked, _ = toxicity.training_sample(labels, "toxic", 100)
+    got = {c: {r.doc_id for r in picked.collect() if r.label == c} for c in (0, 1)}
+    rows = toxicity.labelled(labels, "toxic").selectExpr("doc_id", "label", "xxhash64(doc_id) as h").collect()
+    assert got == {c: {r.doc_id for r in sorted((r for r in rows if r.label == c), key=lambda r: (r.h, r.doc_id))[:100]} for c in (0, 1)}
+
+
 def test_statistics_of_edge_texts():
     from topicweave.llm import textbytes as tb
     import pyarrow as pa

@@ -116,8 +116,12 @@ def training_sample(labels: DataFrame, column: str, sample: int) -> tuple[DataFr
     if len(n) < 2:
         return None, prior
     size = min(sample, *n.values())
+    # the lowest hashes of a class lie below about size / n of their range: only rows below twice that,
+    # and a thousand more, are ranked, so that no task gathers a class
+    bound = {c: min((2 * size + 1000) * 2**64 // k, 2**64 - 1) - 2**63 for c, k in n.items()}
+    low = rows.where(F.xxhash64("doc_id") <= F.when(F.col("label") == 0, F.lit(bound[0])).otherwise(F.lit(bound[1])))
     order = "row_number() over (partition by label order by xxhash64(doc_id), doc_id)"
-    picked = rows.selectExpr("*", f"{order} as nth").where(f"nth <= {size}")
+    picked = low.selectExpr("*", f"{order} as nth").where(f"nth <= {size}")
     return written(picked.selectExpr("doc_id", "label", "case when nth % 4 = 0 then 1 else 0 end as part"), "training-sample"), prior
 
 
