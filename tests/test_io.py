@@ -100,3 +100,53 @@ def test_state_snapshot(spark):
     IO.write_state(w, d)
     got = {r["label"]: (r["window_id"], r["weight"]) for r in IO.read_state(spark, d).collect()}
     assert got == {"a": (2, 2.0), "b": (2, 0.5)}
+
+
+def test_state_replay_and_all_columns(spark):
+    d = os.path.join(_tmp(), "state")
+    schema = "label string, window_id long, weight double, loss_ema double, stage int, sample_count long"
+    one = spark.createDataFrame([("a", 1, 1.5, 0.2, 0, 4), ("b", 1, 1.0, 0.1, 0, 2)], schema)
+    two = spark.createDataFrame([("a", 2, 2.0, 0.3, 1, 7), ("b", 2, 0.5, 0.1, 1, 1)], schema)
+    for part in (one, two, two):  # the last window is written again
+        IO.write_state(part, d)
+    assert spark.read.parquet(d).count() == 4
+    got = {r["label"]: r.asDict() for r in IO.read_state(spark, d).collect()}
+    assert got["a"] == {"label": "a", "window_id": 2, "weight": 2.0, "loss_ema": 0.3, "stage": 1, "sample_count": 7}
+
+
+def test_vocabulary_round_trip(spark):
+    d = os.path.join(_tmp(), "vocab")
+    IO.write_vocabulary(spark.createDataFrame([(["Law", "Time"],), (["Law"],), ([],)], "labels array<string>"), d)
+    assert sorted(r["label"] for r in IO.read_vocabulary(spark, d).collect()) == ["Law", "Time"]
+
+
+def test_pair_files_of_several_parts(spark):
+    d = _tmp()
+    n, items, labels = 0, os.path.join(d, "items"), os.path.join(d, "labels")
+    os.mkdir(items)
+    os.mkdir(labels)
+    for k, rows in enumerate((5, 40, 8)):  # the largest part is not the first one
+        with open(os.path.join(items, f"part-{k}.jsonl"), "w") as f:
+            for i in range(n, n + rows):
+                f.write(json.dumps({"goal": f"g{i}", "sol1": "a", "sol2": "b"}) + "\n")
+        n += rows
+    for k, (a, b) in enumerate(((0, 30), (30, n))):
+        with open(os.path.join(labels, f"part-{k}.txt"), "w") as f:
+            f.write("".join(f"{i}\n" for i in range(a, b)))
+    got = sorted((r["line_no"], r["goal"], r["label"]) for r in IO.read_pair_file(spark, items, labels).collect())
+    assert got == [(i, f"g{i}", i) for i in range(n)]
+    with open(os.path.join(labels, "part-2.txt"), "w") as f:
+        f.write("1\n")
+    try:
+        IO.read_pair_file(spark, items, labels).collect()
+        raise AssertionError("unequal numbers of lines must fail")
+    except Exception as e:  # noqa: BLE001 - the job's own error, whatever class carries it
+        assert "no partner for line" in str(e)
+
+
+def test_bad_label_lines(spark):
+    lines = spark.createDataFrame(
+        [(1, '{"cluster_id": "3", "labels": ["Law"]}'), (2, "{broken"), (3, '{"cluster_id": "x", "labels": ["Law"]}'), (4, " "), (5, "[]")],
+        "line_no long, value string")
+    assert [(r["cluster"], r["labels"]) for r in T.cluster_labels_last(lines).collect()] == [(3, ["Law"])]
+    assert sorted(r["line_no"] for r in T.bad_label_lines(lines).collect()) == [2, 3, 5]

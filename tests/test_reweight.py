@@ -112,3 +112,21 @@ def test_zero_mean_window_carries_counts(spark):
     assert st[("a", 1)]["global_avg"] == 0.0
     assert st[("a", 2)]["sample_count"] == 4  # two carried + two new
     assert math.isclose(st[("a", 2)]["loss_avg"], 0.5)
+
+
+def test_stream_folds_windows_without_labels(spark, tmp_path):
+    from topicweave.streaming import loss_stream as LS
+
+    rows = [(s, 10 * s, ["a"] if s not in (5, 6, 7, 8) else [], 1.0 + s % 3) for s in range(1, 18)]
+    log = spark.createDataFrame(rows, "step long, sample_id long, labels array<string>, loss double")
+    vocab = spark.createDataFrame([("a",), ("b",)], "label string")
+    src, out = str(tmp_path / "feed"), str(tmp_path / "weights")
+    LS.write_in_order(log, src, "step", 5)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    LS.run_weight_stream(stream, vocab, out, out + "-ckpt", 4, 8).awaitTermination()
+    keys = ["label", "window_id", "stage", "sample_count", "loss_avg", "global_avg", "loss_ema", "weight"]
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select(*keys).collect())
+    want = sorted(tuple(r) for r in R.topic_weights(log, vocab, 4, 8).select(*keys).collect())
+    assert [w[:2] for w in want] == [(x, w) for x in "ab" for w in (1, 2, 3, 4)]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(x - y) < 1e-12 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))

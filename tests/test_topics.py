@@ -147,3 +147,12 @@ def test_assign_nearest_block_size_does_not_change_result(spark, sf_small):
     a = sorted(tuple(r) for r in C.assign_nearest(v, cents).select("vec_id", "cluster").collect())
     b = sorted(tuple(r) for r in C.assign_nearest(v, cents, block=7).select("vec_id", "cluster").collect())
     assert a == b and len(a) == v.count()
+
+
+def test_assignment_in_parts_of_the_centroids(spark):
+    v = spark.createDataFrame([(i, [float(i % 17), float(i % 5)]) for i in range(200)], "vec_id long, embedding array<double>")
+    cents = spark.createDataFrame([(c, [float(c // 2), 1.0]) for c in range(30)], "cluster int, centroid array<double>")  # equal ones in pairs
+    whole = sorted(tuple(r) for r in C.assign_nearest(v, cents).collect())
+    assert whole == sorted(tuple(r) for r in C.assign_nearest(v, cents, centroid_bytes=7 * 16).collect())
+    assert all(c % 2 == 0 for _, c, _ in whole)
+    assert C.assign_nearest(v, cents.limit(0)).count() == 0

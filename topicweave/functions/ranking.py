@@ -92,12 +92,19 @@ def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 1024) -> D
     return df.join(ranks, col)
 
 
-def with_line_index(df: DataFrame, name: str = "line_no") -> DataFrame:
+def with_line_index(df: DataFrame, name: str = "line_no", files: bool = False) -> DataFrame:
     """0-based consecutive position in the frame's current order (e.g. lines of a file).
 
-    ``monotonically_increasing_id`` keeps file order but is not consecutive; its upper bits
-    are the partition index, which serves as the bucket for consecutive numbering.
+    ``monotonically_increasing_id`` keeps the order inside a scan partition but is not consecutive;
+    its upper bits are the partition index, which serves as the bucket for consecutive numbering.
+    Scan partitions are packed by size, not by name: for a frame read straight from files,
+    ``files`` orders by (file path, place of the split in the file, position in the split), so that
+    the lines of part-00000 come before those of part-00001.
     """
     m = df.withColumn("_mono", F.monotonically_increasing_id())
-    g = global_row_number(m, [F.col("_mono")], F.shiftright("_mono", 33), "_rn")
-    return g.withColumn(name, F.col("_rn") - 1).drop("_mono", "_rn")
+    bucket = F.shiftright("_mono", 33)
+    if files:
+        m = m.withColumn("_split", F.struct("_metadata.file_path", "_metadata.file_block_start"))
+        bucket = F.col("_split")
+    g = global_row_number(m, [F.col("_mono")], bucket, "_rn")
+    return g.withColumn(name, F.col("_rn") - 1).drop("_mono", "_rn", "_split")

@@ -1,9 +1,9 @@
 """Embedding clustering (CL1-CL3, JN6, JN3).
 
 Nearest-centroid assignment is the hot loop at scale (rows x k x dim). It runs in
-``mapInArrow`` as a block matrix product against the centroid matrix, which is broadcast
-once: its size is k x dim and is checked before it is collected. No cross join of rows with
-centroids is ever materialised.
+``mapInArrow`` as a block matrix product against the centroid matrix, which is broadcast in
+parts of at most ``CENTROID_BYTES``: one narrow pass per part keeps the nearest centroid so
+far. No cross join of rows with centroids is ever materialised.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CENTROID_BYTES = 512 * 1024 * 1024
+# Bytes of the centroids that one pass broadcasts.
+CENTROID_BYTES = 256 * 1024 * 1024
 # Bytes of one (rows x k) distance block in a Python worker; rows per block follow from k.
 BLOCK_BYTES = 64 * 1024 * 1024
 
@@ -40,34 +41,18 @@ def _group_means(df: DataFrame, key: str, vec_col: str) -> DataFrame:
     return means.select(key, vector_to_array("_m").alias("_mean"))
 
 
-def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Collect the (bounded) centroid table after checking its size."""
-    stats = centroids.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
-    k, d = int(stats["k"] or 0), int(stats["d"] or 0)
-    if k * d * 8 > MAX_CENTROID_BYTES:
-        raise ValueError(f"centroid matrix {k}x{d} exceeds the broadcast bound; reduce k or use MLlib KMeansModel")
-    rows = sorted(centroids.select("cluster", "centroid").collect(), key=lambda r: r["cluster"])
-    ids = np.array([r["cluster"] for r in rows], dtype=np.int64)
-    mat = np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(k, d)
-    return ids, mat
+def _centroid_part(centroids: DataFrame, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (ascending) and matrix of the centroids whose id is ``part`` modulo ``parts``."""
+    rows = centroids.where(F.pmod("cluster", F.lit(parts)) == part).select("cluster", "centroid").collect()
+    rows.sort(key=lambda r: r["cluster"])
+    return np.array([r["cluster"] for r in rows], dtype=np.int64), np.array([r["centroid"] for r in rows], dtype=np.float64)
 
 
-def assign_nearest(
-    vectors: DataFrame,
-    centroids: DataFrame,
-    key_cols: tuple[str, ...] = ("vec_id",),
-    vec_col: str = "embedding",
-    block: int = 4096,
-) -> DataFrame:
-    """CL3 / JN6: (key..., cluster, distance) of the nearest centroid (squared Euclidean; ties -> lowest id).
-
-    Rows go through in blocks of at most ``block`` rows, fewer when k is large, so that a
-    (rows x k) distance block stays within BLOCK_BYTES (k = 10,000 -> about 800 rows).
-    """
-    ids, mat = _centroid_matrix(centroids)
-    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, len(ids)))))
-    bc = vectors.sparkSession.sparkContext.broadcast((ids, mat))
-    keys = list(key_cols)
+def _nearest_of_part(vectors: DataFrame, part: tuple[np.ndarray, np.ndarray], vec_col: str, block: int) -> DataFrame:
+    """``vectors`` with (cluster, distance) brought up to date by the centroids of ``part``."""
+    block = max(1, min(block, BLOCK_BYTES // (8 * len(part[0]))))
+    bc = vectors.sparkSession.sparkContext.broadcast(part)
+    names = vectors.columns
 
     def run(batches):
         cids, c = bc.value
@@ -76,29 +61,56 @@ def assign_nearest(
             n = rb.num_rows
             if n == 0:
                 continue
-            col = rb.column(vec_col)
-            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(n, c.shape[1]) if n else flat.reshape(0, c.shape[1])
-            best = np.empty(n, dtype=np.int64)
-            dist = np.empty(n, dtype=np.float64)
+            x = rb.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, c.shape[1])
+            best = rb.column("cluster").to_numpy().astype(np.int64)
+            dist = rb.column("distance").to_numpy().copy()
             for s in range(0, n, block):
                 xb = x[s:s + block]
                 d2 = (xb * xb).sum(axis=1)[:, None] - 2.0 * (xb @ c.T) + c_sq[None, :]
                 j = np.argmin(d2, axis=1)
-                best[s:s + block] = cids[j]
-                dist[s:s + block] = np.maximum(d2[np.arange(len(j)), j], 0.0)
-            cols = [rb.column(k) for k in keys] + [pa.array(best.astype(np.int32)), pa.array(dist)]
-            yield pa.RecordBatch.from_arrays(cols, names=keys + ["cluster", "distance"])
+                near = np.maximum(d2[np.arange(len(j)), j], 0.0)
+                was, at = dist[s:s + block], best[s:s + block]
+                closer = (near < was) | ((near == was) & (cids[j] < at))
+                at[closer], was[closer] = cids[j][closer], near[closer]
+            cols = dict(zip(names, rb.columns)) | {"cluster": pa.array(best.astype(np.int32)), "distance": pa.array(dist)}
+            yield pa.RecordBatch.from_arrays([cols[k] for k in names], names=names)
+
+    return vectors.mapInArrow(run, vectors.schema)
+
+
+def assign_nearest(
+    vectors: DataFrame,
+    centroids: DataFrame,
+    key_cols: tuple[str, ...] = ("vec_id",),
+    vec_col: str = "embedding",
+    block: int = 4096,
+    centroid_bytes: int = CENTROID_BYTES,
+) -> DataFrame:
+    """CL3 / JN6: (key..., cluster, distance) of the nearest centroid (squared Euclidean; ties -> lowest id).
+
+    ``key_cols`` are passed through (name the vector column among them to keep it), so nothing has
+    to be joined back. Rows go through in blocks of at most ``block`` rows, fewer when k is large,
+    so that a (rows x k) distance block stays within BLOCK_BYTES (k = 10,000 -> about 800 rows);
+    centroids beyond ``centroid_bytes`` take further passes. Without centroids there are no rows.
+    """
+    from topicweave.sources.io import materialize
 
-    schema = vectors.select(*keys).schema.add("cluster", T.IntegerType()).add("distance", T.DoubleType())
-    return vectors.select(*keys, vec_col).mapInArrow(run, schema)
+    centroids = materialize(centroids.select("cluster", "centroid"), "centroids")
+    k, d = centroids.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
+    parts = max(1, -(-k * d * 8 // centroid_bytes))
+    carried = list(dict.fromkeys([*key_cols, vec_col]))
+    out = vectors.select(*carried, F.lit(2**31 - 1).alias("cluster"), F.lit(float("inf")).alias("distance"))
+    for part in range(parts):
+        found = _centroid_part(centroids, part, parts)
+        if len(found[0]):
+            out = _nearest_of_part(out, found, vec_col, block)
+    return out.where(F.lit(k > 0)).select(*key_cols, "cluster", "distance")
 
 
-def lloyd_step(vectors: DataFrame, centroids: DataFrame, key_cols: tuple[str, ...] = ("vec_id",), vec_col: str = "embedding") -> DataFrame:
+def lloyd_step(vectors: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """CL2 (one Lloyd iteration): assign, then the mean of each cluster's vectors per dimension."""
-    assigned = assign_nearest(vectors, centroids, key_cols, vec_col)
-    j = vectors.select(*key_cols, vec_col).join(assigned.select(*key_cols, "cluster"), list(key_cols))
-    return _group_means(j, "cluster", vec_col).select("cluster", F.posexplode("_mean").alias("dim", "value"))
+    assigned = assign_nearest(vectors, centroids, (vec_col,), vec_col)
+    return _group_means(assigned, "cluster", vec_col).select("cluster", F.posexplode("_mean").alias("dim", "value"))
 
 
 def fit_kmeans(

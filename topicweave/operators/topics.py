@@ -179,24 +179,33 @@ def label_lines(classified: DataFrame, run: int) -> DataFrame:
     )
 
 
+def _parsed_lines(lines: DataFrame) -> DataFrame:
+    """(line_no, value, cluster, labels) of the non-blank lines; cluster is null where a line is no label record."""
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", D8_SCHEMA))
+    return parsed.select("line_no", "value", F.col("r.cluster_id").try_cast("int").alias("cluster"), F.col("r.labels").alias("labels"))
+
+
 def cluster_labels_last(lines: DataFrame) -> DataFrame:
-    """SC5 + AG5 + PF4: parse JSON lines, skip blank ones, last line per cluster wins, keep vocabulary labels.
+    """SC5 + AG5 + PF4: parse JSON lines, skip blank and bad ones, last line per cluster wins, keep vocabulary labels.
 
-    Output (cluster INT, labels ARRAY<STRING>) with labels de-duplicated and sorted.
+    Output (cluster INT, labels ARRAY<STRING>) with labels de-duplicated and sorted. Lines that are
+    no JSON object or name no integer cluster are listed by ``bad_label_lines``.
     """
-    parsed = lines.where(F.trim("value") != "").select("line_no", F.from_json("value", D8_SCHEMA).alias("r"))
-    last = parsed.groupBy(F.col("r.cluster_id").alias("cluster_id")).agg(F.max_by("r.labels", "line_no").alias("labels"))
+    last = _parsed_lines(lines).where("cluster is not null").groupBy("cluster").agg(F.max_by("labels", "line_no").alias("labels"))
     return last.select(
-        F.col("cluster_id").cast("int").alias("cluster"),
-        F.array_sort(F.array_intersect(F.coalesce("labels", F.array().cast("array<string>")), categories_col())).alias("labels"),
+        "cluster", F.array_sort(F.array_intersect(F.coalesce("labels", F.array().cast("array<string>")), categories_col())).alias("labels")
     )
 
 
+def bad_label_lines(lines: DataFrame) -> DataFrame:
+    """The error output of ``cluster_labels_last``: (line_no, value) of the lines it cannot use."""
+    return _parsed_lines(lines).where("cluster is null").select("line_no", "value")
+
+
 def attach_topics(clustered: DataFrame, cluster_labels: DataFrame) -> DataFrame:
     """TL2 + JN1: left join on cluster; a cluster without labels gets [] (never null).
 
-    The label table has one row per cluster (k rows); it is broadcast after its row count is
-    checked, otherwise the join is a shuffle join.
+    The label table has one row per cluster (k rows); the planner's byte threshold decides whether it is broadcast.
     """
     return clustered.join(cluster_labels, "cluster", "left").withColumn(
         "labels", F.coalesce("labels", F.array().cast("array<string>"))

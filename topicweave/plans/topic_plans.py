@@ -111,8 +111,7 @@ def q_noise_shuffle(spark, sf):
 
 def q_kmeans_assign(spark, sf):
     v = _vectors(spark, sf)
-    a = C.assign_nearest(v, C.centroids_by_label(v))
-    return a.join(v.select("vec_id", "label"), "vec_id").select("vec_id", "label", "cluster", rounded("distance").alias("distance"))
+    return C.assign_nearest(v, C.centroids_by_label(v), ("vec_id", "label")).select("vec_id", "label", "cluster", rounded("distance").alias("distance"))
 
 
 def q_kmeans_lloyd_step(spark, sf):

@@ -92,18 +92,24 @@ def write_label_lines(classified: DataFrame, path: str, errors_path: str) -> Non
 
 def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
     """SC5: raw JSON lines with an append order for last-wins resolution: the batch's write
-    time (stamped by ``write_label_lines``), then the file, then the position in the file."""
-    raw = spark.read.text(path).withColumn("_file", F.input_file_name())
-    pos = with_line_index(raw)
-    order = F.struct(F.coalesce(F.get_json_object("value", "$.written_at"), F.lit("")).alias("t"), "_file", "line_no")
+    time (stamped by ``write_label_lines``), then the position over the files."""
+    pos = with_line_index(spark.read.text(path), files=True)
+    order = F.struct(F.coalesce(F.get_json_object("value", "$.written_at"), F.lit("")).alias("t"), "line_no")
     return pos.select(order.alias("line_no"), "value")
 
 
 def read_pair_file(spark: SparkSession, jsonl: str, labels_txt: str) -> DataFrame:
-    """SC6 + JN2: pair-choice items and a one-int-per-line label file zipped by line position."""
-    items = with_line_index(spark.read.schema("goal string, sol1 string, sol2 string").json(jsonl))
-    labels = with_line_index(spark.read.text(labels_txt).select(F.trim("value").cast("int").alias("label")))
-    return items.join(labels, "line_no", "full_outer")
+    """SC6 + JN2: pair-choice items and a one-int-per-line label file zipped by line position.
+
+    Either may be several files, taken in order of their paths. Items and labels that differ in
+    number fail the job: the zip would pair the wrong lines.
+    """
+    items = with_line_index(spark.read.schema("goal string, sol1 string, sol2 string").json(jsonl), files=True)
+    labels = with_line_index(spark.read.text(labels_txt), files=True).select("line_no", F.trim("value").cast("int").alias("label"))
+    pairs = items.withColumn("_item", F.lit(True)).join(labels.withColumn("_label", F.lit(True)), "line_no", "full_outer")
+    alone = F.col("_item").isNull() | F.col("_label").isNull()
+    line = F.when(alone, F.raise_error(F.concat(F.lit("no partner for line "), F.col("line_no").cast("string"))).cast("bigint")).otherwise(F.col("line_no"))
+    return pairs.withColumn("line_no", line).drop("_item", "_label")
 
 
 def read_user_files(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
@@ -138,19 +144,27 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("append").parquet(path)
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """SC9: the distinct label list that ``write_vocabulary`` stored."""
+    return spark.read.schema("label string").json(path).where("label is not null").distinct()
+
+
 def write_state(weights: DataFrame, path: str) -> None:
-    """SK9: the topic-state snapshot (weights, EMAs, stage) keyed by window, appended."""
-    weights.write.mode("append").partitionBy("window_id").parquet(path)
+    """SK9: the topic-state snapshot (weights, EMAs, stage, counts) keyed by window.
+
+    A window that is written again, by a job that was run again, replaces its own rows.
+    """
+    weights.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_id").parquet(path)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """SC10: the latest state per label (None when nothing was stored yet)."""
+    """SC10: the latest state per label with all its columns (None when nothing was stored yet)."""
     try:
         s = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return s.groupBy("label").agg(
-        F.max("window_id").alias("window_id"),
-        F.max_by("weight", "window_id").alias("weight"),
-        F.max_by("loss_ema", "window_id").alias("loss_ema"),
-    )
+    rest = [c for c in s.columns if c not in ("label", "window_id")]
+    last = s.groupBy("label").agg(F.max(F.struct(F.col("window_id").cast("long").alias("window_id"), *rest)).alias("s"))
+    return last.select("label", "s.*")

@@ -6,7 +6,7 @@ window of N seconds is a window of N steps. With a watermark the stateful aggreg
 which is the batch rule. SR2: each micro-batch of closed windows goes through
 ``foreachBatch``: the window stats are computed for the batch's windows (a window closes
 atomically, so all its labels are in the same batch), the per-label fold continues from the
-latest stored weights, and the batch's rows are written under ``epoch=<id>`` with overwrite,
+newest stored weights, and the batch's rows are written under ``epoch=<id>`` with overwrite,
 so a replayed batch replaces its own output. SR3 is a stream-static left join.
 
 Known divergence: a window whose global mean is 0 carries its counts into the next window in
@@ -32,7 +32,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def topic_loss_stream(loss_stream: DataFrame, every: int, delay: str = "0 seconds") -> DataFrame:
-    """SR1: streaming (window_id, label, loss_sum, sample_count) of closed windows (append mode)."""
+    """SR1: streaming (window_id, label, loss_sum, sample_count) of closed windows (append mode).
+
+    ``delay``: how many steps (as seconds) a row may come behind the newest one; rows later than that
+    are dropped by the watermark, so set it to the feed's disorder. A window closes once a step of
+    ``delay`` beyond its end has been seen.
+    """
     s = loss_stream.withColumn("_et", F.timestamp_seconds(F.col("step") - 1)).withWatermark("_et", delay)
     ex = s.select("_et", "loss", F.explode("labels").alias("label"))
     agg = ex.groupBy(F.window("_et", f"{every} seconds").alias("_w"), "label").agg(
@@ -43,30 +48,43 @@ def topic_loss_stream(loss_stream: DataFrame, every: int, delay: str = "0 second
     )
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _last_state(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
+    """(label, weight, loss_ema, window_id) after the newest epoch before ``epoch_id``; None at the start."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
+        stored = spark.read.parquet(path).where(F.col("epoch") < epoch_id)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = stored.agg(F.max("epoch")).first()[0]  # from partition names
+    if newest is None:
         return None
+    s = F.struct("window_id", "weight", "loss_ema")
+    return stored.where(F.col("epoch") == newest).groupBy("label").agg(F.max(s).alias("s")).select("label", "s.*")
 
 
 def weight_batch_writer(vocab: DataFrame, out_path: str, every: int, switch_after: int, eval_every: int | None = None):
-    """SR2: the ``foreachBatch`` function continuing the weight fold from the stored snapshot."""
+    """SR2: the ``foreachBatch`` function continuing the weight fold from the newest stored snapshot.
+
+    Windows between the stored ones and the batch's last one that have no labelled sample are
+    folded too, with averages of 0, as in the batch operator.
+    """
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        agg = batch.select("window_id", "label", "loss_sum", "sample_count")
-        wins = agg.agg(F.array_sort(F.collect_set("window_id"))).scalar()
-        grid = vocab.select("label", F.explode(wins).alias("window_id"))
-        stats = R.stats_from_aggregates(grid, agg, every, switch_after, eval_every)
-        state = None
-        prev = _read_or_none(spark, out_path)
-        if prev is not None:
-            state = prev.where(F.col("epoch") < epoch_id).groupBy("label").agg(
-                F.max_by("weight", "window_id").alias("weight"), F.max_by("loss_ema", "window_id").alias("loss_ema")
-            )
-        out = R.fold_weights(stats, state=state)
-        out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
+        agg = batch.select("window_id", "label", "loss_sum", "sample_count").persist()
+        try:
+            last = agg.agg(F.max("window_id")).first()[0]
+            if last is None:  # nothing has closed
+                return
+            state = _last_state(spark, out_path, epoch_id)
+            done = state.agg(F.max("window_id")).first()[0] if state is not None else 0
+            grid = vocab.select("label", F.explode(F.sequence(F.lit(done + 1).cast("long"), F.lit(last).cast("long"))).alias("window_id"))
+            stats = R.stats_from_aggregates(grid, agg, every, switch_after, eval_every)
+            out = R.fold_weights(stats, state=state)
+            out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
+        finally:
+            agg.unpersist()
 
     return on_batch
 
@@ -80,9 +98,10 @@ def run_weight_stream(
     switch_after: int,
     eval_every: int | None = None,
     available_now: bool = True,
+    delay: str = "0 seconds",
 ):
-    """SR1 -> SR2 as one query; returns the started StreamingQuery."""
-    closed = topic_loss_stream(loss_stream, every)
+    """SR1 -> SR2 as one query; returns the started StreamingQuery. ``delay``: as in ``topic_loss_stream``."""
+    closed = topic_loss_stream(loss_stream, every, delay)
     w = closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(
         weight_batch_writer(vocab, out_path, every, switch_after, eval_every)
     )
