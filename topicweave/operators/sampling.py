@@ -85,7 +85,7 @@ def parse_ratio_spec(spark: SparkSession, spec: str = DEFAULT_RATIOS, sources: S
     return order.join(parsed, "category", "left").select("ord", "category", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
-def sampling_quotas(totals: DataFrame, spec: DataFrame, targets: Sequence[int]) -> DataFrame:
+def sampling_quotas(totals: DataFrame, spec: DataFrame, targets: Sequence[int], percent: bool = False) -> DataFrame:
     """SO5 + WN1: chunks to take per (target, source) with carry-over to the next source.
 
     need  = floor(floor(ratio * target) / total_tokens * n_chunks)  (0 when a source is empty)
@@ -93,7 +93,8 @@ def sampling_quotas(totals: DataFrame, spec: DataFrame, targets: Sequence[int])
             X_k - min(0, min_{j<=k} X_j) with X_k = sum_{j<=k} (need_j - n_j)
     take  = least(n_k, need_k + c_{k-1})
     The remainder after the last source is lost, and every target starts from zero.
-    Works on #targets x #sources rows only.
+    With ``percent`` the targets are percentages of the tokens of the spec's sources, so budgets
+    grow with the corpus; equal targets count once. Works on #targets x #sources rows only.
     """
     t = (
         spec.join(totals, "category", "left")
@@ -102,8 +103,12 @@ def sampling_quotas(totals: DataFrame, spec: DataFrame, targets: Sequence[int])
             F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"),
             F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
         )
-        .withColumn("target", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in targets])))
     )
+    budgets = [F.lit(int(x)).cast("long") for x in targets]
+    if percent:
+        t = t.withColumn("_all", F.sum("total_tokens").over(Window.partitionBy()))  # one row per source
+        budgets = [F.floor(F.col("_all") * x / 100) for x in budgets]
+    t = t.withColumn("target", F.explode(F.array_distinct(F.array(*budgets)))).drop("_all")
     quota = F.floor(F.col("ratio") * F.col("target"))
     need = F.when(F.col("total_tokens") > 0, F.floor(quota / F.col("total_tokens") * F.col("n_chunks"))).otherwise(F.lit(0))
     t = t.withColumn("quota_tokens", quota.cast("long")).withColumn("need", need.cast("long"))
@@ -166,11 +171,12 @@ def sample_by_budget(
     chunk_len: int = DEFAULT_CHUNK_LEN,
     seed: str = DEFAULT_SEED,
     bucket_digits: int = 4,
+    percent: bool = False,
 ) -> DataFrame:
     """The sampling job: chunk, total per source, quotas with carry-over, exact nested sample.
 
     Returns (target, category, doc_id, chunk_no, text, effective_tokens). Runs the key pass
-    eagerly (it writes the chunk-key table); the returned frame is the lazy second pass.
+    eagerly (it writes the chunk-key and the quota table); the returned frame is the lazy second pass.
     """
     from topicweave.sources.io import materialize
 
@@ -178,7 +184,7 @@ def sample_by_budget(
     # once to the shared folder; totals, quotas, bucket counts and the cut-bucket ranking all
     # read this table. Pass 2 chunks the text and filters it against the thresholds.
     keys = materialize(chunk_keys(corpus, chunk_len), "chunk-keys")
-    quotas = sampling_quotas(source_token_totals(keys), spec, targets)
+    quotas = materialize(sampling_quotas(source_token_totals(keys), spec, targets, percent), "quotas")
     th = sample_thresholds(keys, quotas, seed, bucket_digits)
     chunks = chunk_tokens(corpus, chunk_len)
     return sample_chunks(chunks, th, seed).select("target", "category", "doc_id", "chunk_no", "text", "effective_tokens")

@@ -11,7 +11,7 @@ from topicweave.plans import sql as Q
 from topicweave.sources import fixtures as FX
 
 L = FX.FIXTURE_CHUNK_LEN
-BUDGET = 300000
+BUDGET = 75  # percent of the corpus's tokens
 
 
 def _corpus(spark, sf):
@@ -45,18 +45,18 @@ def q_parse_ratio_spec(spark, sf):
 def q_sampling_quota_carry(spark, sf):
     spec = S.parse_ratio_spec(spark, FX.FIXTURE_RATIOS)
     totals = S.source_token_totals(S.chunk_keys(_corpus(spark, sf), L))
-    return S.sampling_quotas(totals, spec, FX.FIXTURE_TARGETS)
+    return S.sampling_quotas(totals, spec, FX.FIXTURE_TARGETS, percent=True)
 
 
 def q_sample_by_budget(spark, sf):
     spec = S.parse_ratio_spec(spark, FX.FIXTURE_RATIOS)
-    out = S.sample_by_budget(_corpus(spark, sf), spec, [BUDGET], L)
+    out = S.sample_by_budget(_corpus(spark, sf), spec, [BUDGET], L, percent=True)
     return out.select("target", "category", "doc_id", "chunk_no", "effective_tokens")
 
 
 def q_sample_nested_targets(spark, sf):
     spec = S.parse_ratio_spec(spark, FX.FIXTURE_RATIOS)
-    out = S.sample_by_budget(_corpus(spark, sf), spec, FX.FIXTURE_TARGETS, L)
+    out = S.sample_by_budget(_corpus(spark, sf), spec, FX.FIXTURE_TARGETS, L, percent=True)
     return S.sampled_token_totals(out, distinct_docs=True)
 
 
@@ -87,7 +87,7 @@ def q_blank_filter(spark, sf):
 def entry_query(spark, sf):
     """Flagship: the exact nested token-budget sample with chunk text."""
     spec = S.parse_ratio_spec(spark, FX.FIXTURE_RATIOS)
-    return S.sample_by_budget(_corpus(spark, sf), spec, FX.FIXTURE_TARGETS, L)
+    return S.sample_by_budget(_corpus(spark, sf), spec, FX.FIXTURE_TARGETS, L, percent=True)
 
 
 QUERIES = {

@@ -49,11 +49,13 @@ def spec_cte(ratios: str) -> str:
 
 
 def quotas_cte(targets) -> str:
+    """Quotas for targets in percent of all tokens."""
     tl = ", ".join(str(int(t)) for t in targets)
     return f"""totals AS (
   SELECT category, CAST(SUM(effective_tokens) AS BIGINT) AS total_tokens, COUNT(*) AS n_chunks
   FROM chunks GROUP BY category),
-tgt AS (SELECT CAST(unnest([{tl}]) AS BIGINT) AS target),
+tgt AS (SELECT DISTINCT CAST(floor(coalesce((SELECT SUM(total_tokens) FROM totals), 0) * p / 100) AS BIGINT) AS target
+        FROM (SELECT unnest([{tl}]) AS p)),
 q0 AS (
   SELECT target, ord, s.category, ratio,
          CAST(coalesce(total_tokens, 0) AS BIGINT) AS total_tokens,

@@ -14,7 +14,7 @@ from topicweave.operators.sampling import SOURCES
 
 FIXTURE_CHUNK_LEN = 64
 FIXTURE_RATIOS = "books:0.4,code:0.3,ref:0.2,web:0.1"
-FIXTURE_TARGETS = (50000, 100000, 200000, 300000)
+FIXTURE_TARGETS = (12, 25, 50, 75)  # percent of the corpus's tokens
 FIXTURE_CLUSTERS = 10
 LOSS_STEP_SIZE = 32          # samples per step
 LOSS_ADJUST_EVERY = 10       # steps per reweighting window
