@@ -4,7 +4,7 @@ The language model that picks topics is external. ``classify_clusters`` takes re
 column expression of (cluster, attempt) and keeps the first valid one within ``max_retry``
 tries; ``classify_with`` runs a user Python responder through ``mapInPandas`` with the same
 retry rule. ``hashed_response`` is the offline stand-in responder used by the registered
-queries: a deterministic function of (seed, cluster, attempt) producing well-formed and
+queries: a deterministic function of (seed, what was asked, attempt) producing well-formed and
 malformed replies, so that parsing, validation and dead-lettering see every case.
 """
 
@@ -91,7 +91,7 @@ def labels_valid(labels: Column) -> Column:
 
 
 def hashed_response(cluster: Column, attempt: Column, seed: str = "1") -> Column:
-    """Offline stand-in for the model's reply to (cluster, attempt)."""
+    """Offline stand-in for the model's reply; ``cluster`` is what was asked (a cluster, or it with its keywords)."""
     h = md5_key(seed, cluster, attempt)
     variant = F.pmod(hex_int(h, 1, 1), F.lit(8))
     n = F.pmod(hex_int(h, 2, 1), F.lit(3)) + 1

@@ -33,7 +33,9 @@ def _clusters(spark, sf):
 
 
 def _responder(seed):
-    return lambda c, a: T.hashed_response(c, a, seed)
+    """A stand-in reply that depends on the cluster and the keywords of its prompt."""
+    asked = F.array_join(F.slice("keywords", 1, T.PROMPT_KEYWORDS), ",")
+    return lambda c, a: T.hashed_response(F.concat(c.cast("string"), F.lit(","), asked), a, seed)
 
 
 def _labels_last(spark, sf):
@@ -88,7 +90,7 @@ def q_parse_responses(spark, sf):
 
 def q_topic_dead_letters(spark, sf):
     prompts = T.topic_prompts(_keyword_lists(spark, sf))
-    out = T.classify_clusters(prompts, _responder("1"))
+    out = T.classify_clusters(prompts, _responder("1"), max_retry=1)  # one try, so that some clusters fail
     return out.where(~F.col("is_valid")).select("cluster_id", F.size("keywords").alias("n_keywords"))
 
 
@@ -182,8 +184,8 @@ _MID, _TAIL = _REST.split("{labels}")
 _PROMPT = f"({_lit(_HEAD)} || array_to_string(keywords[1:{T.PROMPT_KEYWORDS}], ', ') || {_lit(_MID + ', '.join(T.CATEGORIES) + _TAIL)})"
 
 
-def _response(seed: str, cl: str = "cluster", at: str = "attempt") -> str:
-    h = f"md5(concat_ws(':', '{seed}', {cl}, {at}))"
+def _response(seed: str) -> str:
+    h = f"md5(concat_ws(':', '{seed}', cluster || ',' || array_to_string(keywords[1:{T.PROMPT_KEYWORDS}], ','), attempt))"
     picks = ", ".join(f"{_CATS}[({Q.hexint(h, 3 + 2 * j, 2)} % 41) + 1]" for j in range(3))
     chosen = f"array_to_string(([{picks}])[1:({Q.hexint(h, 2, 1)} % 3) + 1], ', ')"
     v = f"({Q.hexint(h, 1, 1)} % 8)"
@@ -233,10 +235,10 @@ ORACLE = {
     "keyword_map_roundtrip": _KW + "\nSELECT cluster, CAST(rank AS INTEGER) AS rank, keyword FROM top",
     "parse_responses": f"""WITH {Q.clustered_cte()},
 att AS (SELECT cluster, attempt, {_parsed(_response('1'))} AS labels
-        FROM (SELECT DISTINCT cluster FROM clustered), (SELECT unnest(range(1, {T.MAX_RETRY + 1})) AS attempt))
+        FROM (SELECT DISTINCT cluster, CAST([] AS VARCHAR[]) AS keywords FROM clustered), (SELECT unnest(range(1, {T.MAX_RETRY + 1})) AS attempt))
 SELECT cluster, CAST(attempt AS INTEGER) AS attempt, array_to_string(labels, '|') AS labels_str, CAST({_valid('labels')} AS INTEGER) AS is_valid FROM att""",
-    "topic_dead_letters": _KW + ",\n" + _classified("1") + """
-SELECT CAST(cluster AS VARCHAR) AS cluster_id, CAST(len(keywords) AS INTEGER) AS n_keywords FROM cls_1 WHERE labels IS NULL""",
+    "topic_dead_letters": _KW + ",\n" + _classified("1") + f"""
+SELECT CAST(cluster AS VARCHAR) AS cluster_id, CAST(len(keywords) AS INTEGER) AS n_keywords FROM att_1 WHERE attempt = 1 AND NOT {_valid('labels')}""",
     "cluster_labels_last": _LAST + "\nSELECT cluster, array_to_string(labels, '|') AS labels_str FROM lab",
     "attach_topics": _LAST + "\nSELECT doc_id, cluster, array_to_string(labels, '|') AS labels_str FROM labelled",
     "label_vocabulary": _LAST + "\nSELECT label, COUNT(*) AS n_rows FROM (SELECT unnest(labels) AS label FROM labelled) GROUP BY label",
