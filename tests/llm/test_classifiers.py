@@ -119,3 +119,22 @@ def test_language_edges(make_docs):
     assert got[203][0] == "fr" and got[205][0] == "en" and got[204][0] in ("fr", "en")
     none = make_docs([(1, "text", None)])
     assert language.languages(none).first().lang_pred == "und" and language.languages(none.limit(0)).count() == 0
+
+
+def test_language_weighs_the_whole_of_long_texts(make_docs, spark):
+    texts = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 1").select("lang", "text").collect():
+        texts.setdefault(r.lang, []).append(r.text or "")
+    join = lambda lang, n: " ".join(texts[lang][300:])[:n]
+    learn = make_docs([(i, t, lang) for lang in ("en", "fr", "de") for i, t in enumerate(texts[lang][:300])])
+    rows = [(1, join("fr", 30_000) + " " + join("de", 400_000)), (2, join("de", 30_000) + " " + join("fr", 400_000)), (3, join("en", 2_000)), (4, join("en", 700_000))]
+    got = {r.id: r for r in language.languages(make_docs(rows), learn).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred, got[4].lang_pred) == ("de", "fr", "en")
+    assert not any(r.rejected for r in got.values()) and abs(got[3].score - got[4].score) < 0.05
+
+
+def test_language_dictionaries_come_from_anywhere_in_a_text(make_docs):
+    head = "cookies privacy terms login home " * 40  # more than a piece, the same in both languages
+    rows = [(i, head + (("le chat est sur la table et la porte ", "the cat is on the table and the door ")[i % 2] * 100), ("fr", "en")[i % 2]) for i in range(80)]
+    content = language.dictionaries(make_docs(rows))
+    assert b"le chat est" in content["fr"] and b"the cat is" in content["en"]

@@ -1,13 +1,15 @@
 """Language identification by compression.
 
 For each language that the training rows name, a zstandard dictionary of raw content is cut from a
-bounded sample of its texts. A text is compressed whole with every language's dictionary, and the
-language with the smallest result is chosen; where the second smallest is within ``MARGIN`` of it,
-the choice is marked as rejected (the language is still named).
+bounded sample of its texts. The whole text is compressed with every language's dictionary, in
+pieces of at most ``SPAN`` bytes that know nothing of each other, so that a text never stands in for
+the dictionary. The sizes of all pieces are summed by language, and the language with the smallest
+sum is chosen; where the second smallest is within ``MARGIN`` of it, the choice is marked as rejected
+(the language is still named).
 
 Bounds: ``SAMPLE`` texts a language, first by a hash of the id, of which a piece of at most
-``PIECE`` characters each is taken, until ``DICTIONARY`` bytes are full. The dictionaries are sent
-to the executors: one of that size for each language of the training rows.
+``PIECE`` characters each is taken, from a place chosen by the hash, until ``DICTIONARY`` bytes are
+full. The dictionaries are sent to the executors: one of that size for each language of the training rows.
 
 Defined results: ``und`` (score 0) for texts that are null or have no letter, and for all texts when
 there is nothing to learn from; equal sizes go to the language with more training rows; repeated rows
@@ -27,6 +29,7 @@ from topicweave.llm.tables import held_out
 SAMPLE = 300
 PIECE = 600
 DICTIONARY = 1 << 16
+SPAN = 1 << 10  # bytes compressed at a time
 MARGIN = 0.02  # share of the smallest size
 UNKNOWN = "und"
 
@@ -40,7 +43,8 @@ def letters_only(text: str) -> bytes:
 def dictionaries(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """Raw dictionary content by language, the most frequent one first, from rows that may be learned from."""
     rows = docs.where(~held_out()).where("lang is not null and text is not null")
-    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("order_"), F.substring("text", 1, PIECE).alias("piece"))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("order_"))
+    rows = rows.selectExpr("lang", "order_", f"substring(text, 1 + cast(pmod(order_, greatest(char_length(text) - {PIECE} + 1, 1)) as int), {PIECE}) as piece")
     first = rows.selectExpr("*", "row_number() over (partition by lang order by order_) as nth").where(f"nth <= {sample}")
     many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts: dict[str, list[tuple[int, bytes]]] = {}
@@ -68,12 +72,19 @@ class Compressors:
             d.precompute_compress(compression_params=params)
             self.by_lang.append(z.ZstdCompressor(dict_data=d, compression_params=params))
 
+    def sizes(self, raw: bytes) -> list[int]:
+        """By language, the summed sizes of the pieces of ``raw``; the pieces are of about one length."""
+        n = -(-len(raw) // SPAN)
+        cuts = [len(raw) * k // n for k in range(n + 1)]
+        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self.by_lang]
+
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected): the score is 0.5 at a tie and rises with the margin."""
         if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         raw = letters_only(text) or text.encode()
-        sizes = sorted(((len(c.compress(raw)), lang) for c, lang in zip(self.by_lang, self.langs)), key=lambda x: x[0])
+        sizes = sorted(zip(self.sizes(raw), self.langs), key=lambda x: x[0])
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         gap = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
