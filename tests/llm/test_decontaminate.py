@@ -104,3 +104,25 @@ def test_exact_copies_in_the_given_tables(spark, sf):
     pairs = {(d.doc_id, b.item_id) for b in items.collect() for d in texts if b.text in (d.text or "")}
     got = {(r.id, r.item_id) for r in D.alignments(docs, items).collect()}
     assert pairs and pairs <= got
+
+
+def test_a_copy_with_words_put_into_it_is_found_wherever_it_stands(spark, make_docs):
+    item = [f"item{i}" for i in range(30)]
+    rows, want = [], {}
+    for at in range(30):
+        # (words before the insertion, words inserted), one after another
+        for cuts in ([(15, 20)], [(15, 25)], [(12, 16), (21, 16)], [(6, 9), (14, 13), (22, 11)]):
+            ws = []
+            for k, w in enumerate(item):
+                ws += [f"new{k}x{j}" for c, n in cuts if c == k for j in range(n)] + [w]
+            i = len(rows)
+            rows.append((i, " ".join([f"a{j}" for j in range(at)] + ws + [f"z{j}" for j in range(40)])))
+            want[i] = (at, at + len(ws))
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.id: (r.first_word, r.end_word) for r in D.alignments(make_docs(rows), items).where("similarity = 1").collect()}
+    assert got == want
+
+
+def test_chained_starts():
+    ids, lo, hi = [2, 1, 1, 1, 2], np.array([0, 70, 0, 35, 200]), np.array([5, 75, 8, 39, 210])
+    assert list(D.spans(ids, lo, hi, np.full(5, 30))) == [(2, 0, 39), (1, 70, 75), (0, 0, 5), (4, 200, 210)]

@@ -5,7 +5,8 @@ bits of a bitmap of fixed size; tasks over the corpus pass on only the n-grams w
 exact join with the items' n-grams drops the rest. How often each n-gram occurs in the corpus then
 decides which are seeds: those within ``RARE`` times the frequency of their item's rarest one, and in any
 ``WINDOW`` consecutive n-grams of an item the rarest one, so a shared run of ``n + WINDOW - 1`` words always
-has a seed. Each document place that a seed names is aligned with the whole item; the similarity
+has a seed. Each document place that a seed names is aligned with the whole item, in a window that holds
+every local alignment through the seed, however many words are inserted; the similarity
 is the share of the item's words that the best local alignment matches.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than ``n`` words cannot
@@ -32,6 +33,7 @@ WINDOW = 4
 SIMILARITY = 0.8
 BITS = 24  # the bitmap has 2**24 bits: 2 MB, whatever the benchmark
 UNIT = 1 << 32  # a score point, above the count of matches
+SLACK = 2  # item lengths: a match scores 2 and a gap costs 1 a word, so no alignment has more words inserted
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +163,21 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
     return score, matches, end - back, end
 
 
+def spans(item_ids: list, lo: np.ndarray, hi: np.ndarray, n_words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(index of a place of the item, first, last): the starts of each item in order, chained while they are no
+    more than its length apart."""
+    order = sorted(range(len(item_ids)), key=lambda j: (item_ids[j], lo[j]))
+    k = 0
+    while k < len(order):
+        j = order[k]
+        first, last = int(lo[j]), int(hi[j])
+        k += 1
+        while k < len(order) and item_ids[order[k]] == item_ids[j] and lo[order[k]] - last <= n_words[j]:
+            last = max(last, int(hi[order[k]]))
+            k += 1
+        yield j, first, last
+
+
 def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                similarity: float = SIMILARITY, n: int = GRAM) -> DataFrame:
     """(id, content_key, item_id, score, similarity, first_word, end_word): the best alignment of each
@@ -176,7 +193,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                               f"min(struct(often, item_pos)) over (partition by item_id order by item_pos range between current row and {WINDOW - 1} following).item_pos as chosen")
     chosen = ranked.select("item_id", F.col("chosen").alias("item_pos")).distinct().withColumn("picked", F.lit(True))
     seeds = ranked.join(chosen, ["item_id", "item_pos"], "left").where((F.col("often") <= RARE * F.col("rarest")) | F.col("picked")).select("item_id", "item_pos", "n_words", "gram")
-    # seeds of one copy lie within an item's length of each other
+    # starts within an item's length are gathered here, by fixed ranges, and chained over ranges in spans()
     start = F.col("pos") - F.col("item_pos")
     places = hits.join(seeds, "gram").groupBy("id", "content_key", "item_id", F.floor(start / F.col("n_words")).alias("place")).agg(F.min(start).alias("lo"), F.max(start).alias("hi"))
     wanted = places.join(items, "item_id").groupBy(F.col("id").alias("id_"), F.col("content_key").alias("key_")).agg(F.collect_list(F.struct("item_id", "lo", "hi", "words")).alias("places"))
@@ -193,10 +210,10 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 _, doc = word_hashes(raw, np.array([0, len(raw)]))
                 places, out = b.column(3)[k].values, []
                 lo, hi = places.field(1).to_numpy(), places.field(2).to_numpy()
-                for j in range(len(places)):
+                for j, first_start, last_start in spans(places.field(0).to_pylist(), lo, hi, places.field(3).value_lengths().to_numpy()):
                     item = places.field(3)[j].values.to_numpy().view(np.uint64)
-                    slack = len(item) // 4 + 2
-                    a, e = max(0, int(lo[j]) - slack), int(hi[j]) + len(item) + slack
+                    slack = SLACK * len(item)
+                    a, e = max(0, first_start - slack), last_start + len(item) + slack
                     score, matches, first, end = aligned(item, doc[a:e])
                     if matches >= similarity * len(item):
                         out.append((j, score, matches / len(item), a + first, a + end))
