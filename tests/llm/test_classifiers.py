@@ -138,3 +138,34 @@ def test_language_dictionaries_come_from_anywhere_in_a_text(make_docs):
     rows = [(i, head + (("le chat est sur la table et la porte ", "the cat is on the table and the door ")[i % 2] * 100), ("fr", "en")[i % 2]) for i in range(80)]
     content = language.dictionaries(make_docs(rows))
     assert b"le chat est" in content["fr"] and b"the cat is" in content["en"]
+
+
+def test_toxic_phrases_of_ordinary_words_count_and_copied_passages_do_not(make_docs, spark):
+    rng = random.Random(9)
+    common = [f"w{k}" for k in range(12)]
+    notice = " ".join(f"w{k * 5 % 12}" for k in range(60))
+    rows, labels = [], []
+    for i in range(1200):
+        bad, words = i % 2, [rng.choice(common) for _ in range(60)]
+        if i % 20 == 1:  # a tenth of the toxic ones
+            words[20:20] = ["you", "go", "home", "now"]
+        else:  # the same words everywhere, in other orders
+            words[20:20] = rng.choice([["now", "go", "you", "home"], ["home", "you", "now", "go"], ["go", "now", "home", "you"]])
+        text = " ".join(words)
+        if i % 2 and i % 8 == 3:  # copies of a passage in toxic documents
+            text += " " + notice
+        rows.append((i, text))
+        labels.append((i, 1 - bad, bad))
+    model = toxicity.fit(make_docs(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    from topicweave.llm import textbytes as tb
+    import pyarrow as pa
+
+    tests = ["w1 you go home now w2", "w1 now go you home w2", notice[60:120]]
+    f = np.concatenate([model.features(d, o) for _, d, o in tb.text_slices(pa.array(tests))])
+    assert f[0, 0] > 0.5 and f[0, 0] > f[1, 0] + 0.5 and abs(f[2, 0]) < 0.3
+
+
+def test_discounts_of_counts():
+    d = toxicity.discounts(np.repeat([1, 2, 3, 4, 9], [100, 40, 20, 12, 5]))
+    y = 100 / 180
+    assert np.allclose(d, [0, 1 - 2 * y * 0.4, 2 - 3 * y * 0.5, 3 - 4 * y * 0.6])

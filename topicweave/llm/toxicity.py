@@ -1,17 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class (toxic, ordinary) has an interpolated Kneser-Ney bigram model of lower-cased letter runs.
-A word's probability after another backs off to the class's continuation counts, and those to
-backoff counts that both classes share: the mass that the discounts free. Discounts are large, so
-expressions that a class has seen a few times or never lean on what the whole sample knows of them,
-and tell the classes apart only once they recur. A document is described by the length-normalised
+A word's probability after another backs off to the class's counts of words, and those to
+backoff counts that both classes share: the mass that the discounts free. Discounts are those of
+modified Kneser-Ney, three for each class and order, from its counts of counts; every pair is kept.
+The count of a pair or word is the number of different passages (``PASSAGE`` words on both sides) that hold it, at
+most one a document, and texts are learned from once, so copies of a text or of a passage do not add up.
+What a word, or a pair beyond its word, says for a class is weighed by how little chance explains its two
+counts (``weights``); none is deleted. A document is described by the length-normalised
 difference of the two log-likelihoods, over the whole text and over its best stretch of ``STRETCH``
 words; a logistic curve, fitted on sample documents that the models have not counted, turns both
 into a score.
 
 Bounds: at most ``SAMPLE`` labelled documents per class are learned from (both classes the same
-number, first by a hash of the id; whole texts), and counts live in hashed tables of fixed size
-(2**18 words, 2**20 pairs), so the model that is sent to the executors has one size at any input.
+number, first by a hash of the id; whole texts). Word counts live in tables of 2**18 hashed words, pair
+counts in one sorted list of the sample's pairs, so the model that is sent to the executors follows
+the sample, not the input.
 
 Defined results: null and empty texts get the score of a document without evidence; repeated rows
 are scored alike; labels that are null, that contradict each other for an id, or whose id is held
@@ -34,17 +38,13 @@ from topicweave.llm.tables import held_out, written
 
 SAMPLE = 5000
 WORD_BITS = 18
-PAIR_BITS = 20
-# Discounts: what a class has seen so often or less is no evidence of its own, but of the shared backoff.
-# Copies of a passage repeat its pairs in proportion to the sample, chance repeats words less than that.
-PAIR_DISCOUNT = 0.15  # times the documents of a class
-WORD_DISCOUNT = 0.28  # times the root of the documents of a class
+PASSAGE = 6  # words before and after a pair that tell its passages apart
 STRETCH = 20
 CLIP = 5.0  # nats: most that one word can say
 
 
-def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of a slice: document, slot of the word before (0 opens a document), own slot, pair slot."""
+def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of a slice: document, slot of the word before (0 opens a document), own slot."""
     low = tb.lower_table()[data]
     starts, ends = tb.runs(tb.letter_table()[low], offsets)
     doc = tb.owner(starts, offsets)
@@ -52,37 +52,73 @@ def word_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     before = np.zeros_like(word)
     if len(word):
         before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
-    pair = (tb.mix((before.astype(np.uint64) << np.uint64(WORD_BITS)) | word.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return doc, before, word, pair
+    return doc, before, word
+
+
+def passages(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Per word, a hash of the words around the pair that it ends: ``PASSAGE`` on both sides, within the document."""
+    h = np.zeros(len(word), np.uint64)
+    for k in range(-PASSAGE - 1, PASSAGE + 1):
+        there = np.arange(len(word)) + k
+        ok = (there >= 0) & (there < len(word))
+        there = np.clip(there, 0, max(len(word) - 1, 0))
+        h = tb.mix(h + np.where(ok & (doc[there] == doc), word[there] + 1, 0).astype(np.uint64))
+    return h
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney: what is taken from counts of 0, 1, 2, and 3 or more, from the counts of counts."""
+    c = np.bincount(np.minimum(n.astype(np.int64), 5), minlength=6)[1:5].astype(float)
+    y = c[0] / max(c[0] + 2 * c[1], 1.0)
+    d = [k - (k + 1) * y * c[k] / c[k - 1] if c[k - 1] else k / 2 for k in (1, 2, 3)]
+    return np.array([0.0, *(min(max(x, 0.05 * k), 0.95 * k) for k, x in zip((1, 2, 3), d))])
+
+
+def weights(counts: np.ndarray) -> np.ndarray:
+    """From 0 to 1: a half where the squared deviation of the two counts from equality, in units of its variance,
+    is what the most extreme of as many chance counts reaches (2 log of their number)."""
+    z2 = (counts[1] - counts[0]) ** 2 / np.maximum(counts.sum(0), 1)
+    bound = 2 * np.log(max(2, np.count_nonzero(counts.sum(0))))
+    return (z2**2 / (z2**2 + bound**2)).astype(np.float32)
+
+
+def discounted(n: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what is left of the counts, what is taken)."""
+    taken = d[np.minimum(n.astype(np.int64), 3)]
+    return n - taken, taken
 
 
 @dataclass
 class Model:
     """Hashed Kneser-Ney tables of both classes (row 0 ordinary, row 1 toxic) and the logistic curve."""
 
-    names: np.ndarray  # by pair slot, the pair that has the slot
-    pairs: np.ndarray  # its counts, (2, 2**PAIR_BITS)
+    names: np.ndarray  # the pairs, sorted
+    left: np.ndarray  # their counts less the discount, (2, pairs)
+    firm: np.ndarray  # their weights
     totals: np.ndarray  # counts by the word before, (2, 2**WORD_BITS)
-    freed: np.ndarray  # what the discount takes from them
-    backoff: np.ndarray  # continuation probability of a word, by class
-    discount: float  # of pairs
+    freed: np.ndarray  # what the discounts take from them
+    backoff: np.ndarray  # probability of a word, by class
+    word_firm: np.ndarray  # weights of words
     curve: np.ndarray | None = None  # bias, whole-text and best-stretch weights
     prior: float = 0.5
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per document: mean log-likelihood difference per word, and that of its best stretch."""
         docs = len(offsets) - 1
-        doc, before, word, pair = word_pairs(data, offsets)
+        doc, before, word = word_pairs(data, offsets)
         out = np.zeros((docs, 2))
         if not len(doc) or self.totals.shape[1] == 1:  # nothing to compare, or nothing learned
             return out
         logs = []
-        known = self.names[pair] == (before << WORD_BITS) + word
+        name = (before << WORD_BITS) | word
+        at = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+        known = self.names[at] == name
         for c in (0, 1):
             total, low = self.totals[c][before], self.backoff[c][word]
-            seen = (np.maximum(self.pairs[c][pair] * known - self.discount, 0) + self.freed[c][before] * low) / np.maximum(total, 1)
+            seen = (self.left[c][at] * known + self.freed[c][before] * low) / np.maximum(total, 1)
             logs.append(np.log(np.where(total > 0, seen, low)))
-        diff = np.clip(logs[1] - logs[0], -CLIP, CLIP)
+        alone = np.log(self.backoff[1][word] / self.backoff[0][word])
+        diff = np.clip(alone * self.word_firm[word] + (logs[1] - logs[0] - alone) * self.firm[at] * known, -CLIP, CLIP)
         run = np.append(0.0, np.cumsum(diff))
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         last = np.append(first[1:], len(doc))
@@ -126,34 +162,23 @@ def training_sample(labels: DataFrame, column: str, sample: int) -> tuple[DataFr
 
 
 def _pair_counts(texts: DataFrame) -> DataFrame:
-    """(v, w, slot, n0, n1) of the fitting part: the documents of each class that hold a word pair
-    (a pair that one document repeats counts once)."""
+    """(name, n0, n1) of the fitting part: in how many different passages of each class a word pair (a word:
+    the complement of its slot) stands, of those of one document the one with the smallest hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label = b.column(1).to_numpy()
             for row, data, offs in tb.text_slices(b.column(0)):
-                doc, v, w, slot = word_pairs(data, offs)
-                name = (v << WORD_BITS) | w
-                order = np.lexsort((name, doc))
-                once = order[np.append(True, (doc[order][1:] != doc[order][:-1]) | (name[order][1:] != name[order][:-1]))[: len(order)]]
-                key, at, inv = np.unique(name[once], return_index=True, return_inverse=True)
-                v, w, slot = v[once], w[once], slot[once]
-                n1 = np.bincount(inv, label[row + doc[once]], len(key)).astype(np.int64)
-                n0 = np.bincount(inv, minlength=len(key)) - n1
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (v[at], w[at], slot[at], n0, n1)], names=["v", "w", "slot", "n0", "n1"])
-
-    counts = texts.mapInArrow(run, "v bigint, w bigint, slot bigint, n0 bigint, n1 bigint")
-    return counts.groupBy("v", "w", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
+                doc, v, w = word_pairs(data, offs)
+                name, around = np.concatenate([(v << WORD_BITS) | w, ~w]), np.tile(passages(doc, w).view(np.int64), 2)
+                doc = np.tile(doc, 2)
+                order = np.lexsort((around, name, doc))
+                doc, name, around = doc[order], name[order], around[order]
+                once = np.append(True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1]))[: len(doc)]
+                yield pa.RecordBatch.from_arrays([pa.array(name[once]), pa.array(label[row + doc[once]].astype(np.int32)), pa.array(around[once])], names=["name", "label", "around"])
 
-def _table(rows: DataFrame, key: str, size: int, columns: list[str], kind: type = np.float32) -> np.ndarray:
-    """Aggregated rows as arrays by slot: at most ``size`` rows whatever the input."""
-    got = rows.toArrow()
-    out = np.zeros((len(columns), size), kind)
-    for k, c in enumerate(columns):
-        out[k, got.column(key).to_numpy()] = got.column(c).to_numpy()
-    return out
+    rows = texts.mapInArrow(run, "name bigint, label int, around bigint").distinct()
+    return rows.groupBy("name").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -161,27 +186,32 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
     picked, prior = training_sample(labels, column, sample)
     if picked is None:
         z = np.zeros((2, 1), np.float32)
-        return Model(z, z, z, z, z, 0.0, None, prior)
+        return Model(z[0], z, z[0], z, z, z, z[0], None, prior)
     # at most 2 * sample rows of three numbers: small at any input
-    texts = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label", "part"), "training-texts")
-    pairs = written(_pair_counts(texts.where("part = 0").select("text", "label")), "pair-counts")
-    n_docs = max(1.0, texts.where("part = 0").count() / 2)
-    pair_discount, word_discount = max(1, round(PAIR_DISCOUNT * n_docs)), max(1, round(WORD_DISCOUNT * n_docs**0.5))
-    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
-    kinds = [F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")]
-    freed = [F.sum(F.least("n0", F.lit(pair_discount))).alias("d0"), F.sum(F.least("n1", F.lit(pair_discount))).alias("d1")]
-    # a pair within the discount in both classes is no evidence; of others in one slot the most frequent keeps it
-    name = (F.col("v") * (1 << WORD_BITS) + F.col("w")).alias("name")
-    firm = pairs.where(F.greatest("n0", "n1") > pair_discount).select("slot", F.struct((F.col("n0") + F.col("n1")).alias("n"), name, "n0", "n1").alias("x"))
-    slots = firm.groupBy("slot").agg(F.max("x").alias("x")).select("slot", "x.*")
-    pair = _table(slots, "slot", 1 << PAIR_BITS, ["name", "n0", "n1"], np.float64)
-    ctx = _table(pairs.groupBy("v").agg(*sums, *freed), "v", 1 << WORD_BITS, ["n0", "n1", "d0", "d1"])
-    cont = _table(pairs.groupBy("w").agg(*kinds), "w", 1 << WORD_BITS, ["k0", "k1"])
-    # the shared backoff has the shape of what the discounts free in both classes, over an even floor
-    taken = np.minimum(cont, word_discount)
-    shared = (taken.sum(0) + 0.5) / (taken.sum() + 0.5 * cont.shape[1])
-    backoff = np.array([(cont[c] - taken[c] + (taken[c].sum() + 1) * shared) / (cont[c].sum() + 1) for c in (0, 1)], np.float32)
-    model = Model(pair[0].astype(np.int64), pair[1:].astype(np.float32), ctx[:2], ctx[2:], backoff, float(pair_discount), None, prior)
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # each text once a class; one that is in both parts is counted and does not fit the curve
+    texts = written(texts.groupBy("label", "text").agg(F.min("part").alias("part")).select("text", "label", "part"), "training-texts")
+    got = _pair_counts(texts.where("part = 0").select("text", "label")).orderBy("name").toArrow()
+    names, both = got.column("name").to_numpy(), np.array([got.column(c).to_numpy() for c in ("n0", "n1")])
+    if not len(names):  # no words in the sample: one pair that nothing meets
+        names, both = np.zeros(1, np.int64), np.zeros((2, 1), np.int64)
+    n_words, size = int(np.searchsorted(names, 0)), 1 << WORD_BITS
+    in_words = np.zeros((2, size), np.int64)
+    in_words[:, ~names[:n_words]] = both[:, :n_words]
+    names, in_pairs = names[n_words:], both[:, n_words:]
+    before = names >> WORD_BITS
+    left, totals, freed, backoff = [], [], [], []
+    # the shared backoff has the shape of what both classes know of a word, over an even floor
+    shared = (in_words.sum(0) + 0.5) / (in_words.sum() + 0.5 * size)
+    for pairs, words in zip(in_pairs, in_words):
+        rest, off = discounted(pairs, discounts(pairs))
+        left.append(rest)
+        totals.append(np.bincount(before, pairs, size))
+        freed.append(np.bincount(before, off, size))
+        rest, off = discounted(words, discounts(words))
+        backoff.append((rest + (off.sum() + 1) * shared) / (words.sum() + 1))
+    left, totals, freed, backoff = (np.array(x, np.float32) for x in (left, totals, freed, backoff))
+    model = Model(names, left, weights(in_pairs), totals, freed, backoff, weights(in_words), None, prior)
     held = described(texts.where("part = 1").select(F.col("label").alias("id"), "text"), model).toArrow()
     y = held.column("id").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
