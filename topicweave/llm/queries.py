@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import decontaminate, exact_dedup, language, line_rules, lm_score, mixing, quality, repeats, simhash, token_counts, toxicity
+from topicweave.llm import decontaminate, exact_dedup, language, line_rules, lm_score, mixing, quality, repeats, simhash, token_counts, toxicity, whitening
 from topicweave.llm.tables import documents_of, held_out, table_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digest(docs, repeats.repeat_spans(docs, length=400)).withColumnRenamed("id", "doc_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table_of(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(documents_of(spark, sf_dir).select("doc_id", "text"))
     return found.withColumnRenamed("id", "doc_id").withColumnRenamed("sha", "text_sha256")
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_line_rules": op9_line_rules,
     "op10_suffix_array": op10_suffix_array,
+    "op12_whitening": op12_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
