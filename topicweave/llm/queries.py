@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import decontaminate, exact_dedup, language, line_rules, lm_score, mixing, quality, repeats, simhash, token_counts, toxicity, whitening
+from topicweave.llm import decontaminate, exact_dedup, language, line_rules, lm_score, mixing, phrases, quality, repeats, simhash, token_counts, toxicity, whitening
 from topicweave.llm.tables import documents_of, held_out, table_of
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_digest(docs, repeats.repeat_spans(docs, length=400)).withColumnRenamed("id", "doc_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents_of(spark, sf_dir), least=30, top=2000)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table_of(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -85,8 +89,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_line_rules": op9_line_rules,
     "op10_suffix_array": op10_suffix_array,
+    "op11_collocations": op11_collocations,
     "op12_whitening": op12_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLE: dict[str, str] = {"op4_mixing": mixing.MIX_SQL, "op9_line_rules": line_rules.RULES_SQL, "op13_exact_dedup": exact_dedup.DEDUP_SQL}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.MIX_SQL, "op9_line_rules": line_rules.RULES_SQL, "op11_collocations": phrases.COLLOCATIONS_SQL, "op13_exact_dedup": exact_dedup.DEDUP_SQL}
