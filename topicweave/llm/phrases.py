@@ -326,7 +326,7 @@ WITH pieces AS (
          string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]') AS parts
   FROM documents),
 piece AS (SELECT lang, doc, unnest(parts) AS piece, generate_subscripts(parts, 1) AS nr FROM pieces),
-split AS (SELECT lang, doc, nr, list_filter(string_split_regex(piece, '[ \t]'), w -> w <> '') AS ws FROM piece),
+split AS (SELECT lang, doc, nr, list_filter(string_split_regex(piece, '[ \t]'), lambda w: w <> '') AS ws FROM piece),
 word AS (SELECT lang, doc, nr, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
 ahead AS (
   SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4
