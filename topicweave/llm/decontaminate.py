@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm import textbytes as tb
-from topicweave.llm.tables import written
+from topicweave.llm.tables import packed, text_key, unpacked, written
 
 GRAM = 5
 RARE = 16
@@ -229,8 +229,10 @@ def alignments(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item of the benchmark to ``similarity``, with their columns."""
-    found = alignments(docs, benchmark, similarity=similarity).select(F.col("id").alias("id_"), F.col("content_key").alias("key_")).distinct()
+    """The documents that hold no item of the benchmark to ``similarity``, with all their columns, whatever
+    their names."""
+    found = alignments(docs, benchmark, similarity=similarity).select(F.col("id").alias("bad_id"), F.col("content_key").alias("bad_key")).distinct()
     bad = written(found, "contaminated")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("id_")) & (key == F.col("key_")), "left_anti")
+    rows = packed(docs, id=F.col("doc_id"), key=text_key())
+    kept = rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti")
+    return unpacked(kept, docs.columns)

@@ -9,7 +9,7 @@ partitioning. Only the table of sources, one row each, is ordered as a whole.
 Defined results: a null or empty text has size 0, and is emitted like any other document of its
 source; a null source is a source of its own, last in order; documents of a source whose size is 0
 are emitted once; rows that repeat an id draw alike; an empty table gives no rows. Where the total
-is 0, all targets are 0. Other columns pass through.
+is 0, all targets are 0. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.llm.tables import written
+from topicweave.llm.tables import packed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 7
@@ -59,23 +59,37 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     return target.selectExpr("src", "source_size", "target", "case when source_size > 0 then target / source_size else 1.0D end as rate")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """The documents with their size, source_size, target and number of copies (columns ``mix_*``)."""
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
+def _mixed(docs: DataFrame, weights: Sequence[int], max_repeats: int, seed: int) -> DataFrame:
+    """(row, mix_size, mix_source_size, mix_target, mix_copies) of every document."""
+    sized = packed(docs, mix_id=F.col("doc_id"), source=F.col("source"), mix_size=word_count(F.col("text")))
     targets = source_targets(sized.select(F.col("source").alias("src"), F.col("mix_size").alias("size")), weights, max_repeats)
     # a plain table again: its size on disk, not a guess, tells the planner whether it can be broadcast
     targets = written(targets.select(F.col("src").alias("mix_src"), F.col("source_size").alias("mix_source_size"),
                                      F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate")), "source-targets")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_src"))).drop("mix_src")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_src")))
     rate = F.col("mix_rate")
-    extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("bigint")
-    return joined.withColumn("mix_copies", F.floor(rate) + extra).drop("mix_rate")
+    extra = (draw(F.col("mix_id"), seed) < rate - F.floor(rate)).cast("bigint")
+    return joined.select("row", "mix_size", "mix_source_size", "mix_target", (F.floor(rate) + extra).alias("mix_copies"))
+
+
+def _beside(docs: DataFrame, *own: str) -> list[str]:
+    """The columns of ``docs`` that do not have a name of ``own``."""
+    return [c for c in docs.columns if c.lower() not in own]
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """The documents with their size, source_size, target and number of copies (columns ``mix_*``, in place of
+    any of the same name)."""
+    own = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    return _mixed(docs, weights, max_repeats, seed).select(*[F.col("row")[c].alias(c) for c in _beside(docs, *own)], *own)
 
 
 def emit(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
-    """The mix itself: the columns of ``docs`` and ``copy`` (1, 2, ...), one row for each copy."""
-    mixed = mix(docs, weights, max_repeats, seed).where("mix_copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))
+    """The mix itself: the columns of ``docs`` and ``copy`` (1, 2, ...; in place of a column of that name),
+    one row for each copy."""
+    mixed = _mixed(docs, weights, max_repeats, seed).where("mix_copies > 0")
+    again = mixed.withColumn("nth_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return again.select(*[F.col("row")[c].alias(c) for c in _beside(docs, "copy")], F.col("nth_copy").alias("copy"))
 
 
 MIX_SQL = f"""

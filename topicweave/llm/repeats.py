@@ -22,7 +22,7 @@ corpus too. The work goes in four steps:
 Defined results: null and empty texts lose nothing; texts shorter than ``length`` bytes lose nothing;
 rows that repeat an id and its text are copies of each other, so what they share goes from both;
 rows that repeat an id with another text are another document; null ids are allowed; an empty table
-gives no rows; other columns pass through.
+gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicweave.llm import textbytes as tb
-from topicweave.llm.tables import written
+from topicweave.llm.tables import packed, text_key, unpacked, written
 
 LENGTH = 400
 SEED_BYTES = 64
 GROUP = 1024  # strings of at most 2 * LENGTH bytes: an index of one anchor stays within a megabyte
 INDEX_BYTES = 1 << 20
+HOT = 2048  # keys that are joined on the map side
 BASE2 = 0xD1342543DE82EF95
 
 
@@ -304,21 +306,32 @@ def _counted_marks(pieces: DataFrame, length: int, seed: int) -> DataFrame:
     return marks
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined with a table that has each key once. The ``HOT`` heaviest keys are met on the map side, so that
+    rows of a common key stay where they are; the others are joined by a shuffle."""
+    hot = F.broadcast(table.orderBy(F.desc(weight), *keys).limit(HOT))  # HOT rows, whatever the corpus
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table, keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED_BYTES, group: int = GROUP) -> DataFrame:
     """(id, content_key, spans): the byte spans [a, b) that windows of repeated strings cover, not yet
     merged, for every text that has any."""
     keyed = _keyed(docs, id_col, text_col)
     all_segments = written(_segment_table(keyed, length, seed), "segments")
-    twice = all_segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    held = written(all_segments.join(twice, "anchor", "left_semi"), "repeated-anchors")
+    twice = written(all_segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts")
+    held = written(_looked_up(all_segments, twice, ["anchor"], "n").drop("n"), "repeated-anchors")
     classes = written(held.groupBy("anchor", "content").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "content_key", "start", "count")).alias("where")), "segment-classes")
-    crowd = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    wanted = classes.join(crowd, "anchor").select("where.*", "anchor", "content", (F.col("k") > group).alias("crowded"))
+    crowd = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "anchor-classes")
+    wanted = _looked_up(classes, crowd, ["anchor"], "k").select("where.*", "anchor", "content", (F.col("k") > group).alias("crowded"))
     pieces = written(_fetch(keyed, wanted, length), "segment-bytes")
     whole = classes.where("n > 1").select("anchor", "content", F.lit(0).alias("first"), (F.col("where.count") - 1).alias("last"))
     marks = written(whole.unionByName(_indexed_marks(pieces, length)).unionByName(_counted_marks(pieces, length, seed)), "segment-marks")
-    spans = held.join(marks, ["anchor", "content"]).select("id", "content_key", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b")).alias("span"))
+    # the marks of a class are fewer than its window starts, so those of the commonest classes are a small table too
+    per_class = marks.groupBy("anchor", "content").agg(F.collect_list(F.struct("first", "last")).alias("runs")).join(classes.select("anchor", "content", "n"), ["anchor", "content"])
+    marked = _looked_up(held, written(per_class, "class-marks"), ["anchor", "content"], "n").withColumn("run", F.explode("runs")).select("*", "run.first", "run.last")
+    spans = marked.select("id", "content_key", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b")).alias("span"))
     return spans.groupBy("id", "content_key").agg(F.collect_list("span").alias("spans"))
 
 
@@ -340,16 +353,16 @@ def kept_bytes(text: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
     return b"".join(text[x:y] for x, y in zip(keep[0].tolist(), keep[1].tolist()))
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = spans.select(F.col("id").alias("span_id_"), F.col("content_key").alias("span_key_"), F.col("spans").alias("spans_"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("content_key_", key).join(found, F.col(id_col).eqNullSafe(F.col("span_id_")) & (F.col("content_key_") == F.col("span_key_")), "left").drop("content_key_", "span_id_", "span_key_")
+def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of (id, text, ...) with their ``spans`` (null: none)."""
+    found = spans.select(F.col("id").alias("span_id"), F.col("content_key").alias("span_key"), "spans")
+    return rows.join(found, F.col("id").eqNullSafe(F.col("span_id")) & (text_key() == F.col("span_key")), "left").drop("span_id", "span_key")
 
 
 def removal_digest(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _with_spans(docs.select(id_col, text_col), spans, id_col, text_col)
+    rows = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -368,19 +381,17 @@ def removal_digest(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", te
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with their repeated strings cut out and ``n_chars`` counted anew.
+    """The documents with their repeated strings cut out and ``n_chars`` counted anew; all other columns stay as
+    they were, whatever their names.
 
     A character goes only if all its bytes are repeated, so the rest is valid text. A document that
     loses its whole text is dropped; one that was null or empty before stays as it was.
     """
-    spans = repeat_spans(docs, length=length)
-    names, at = docs.columns, docs.columns.index("text")
+    rows = _with_spans(packed(docs, id=F.col("doc_id"), text=F.col("text")), repeat_spans(docs, length=length)).select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            keep = np.ones(len(texts), bool)
-            found = b.column(len(names))
+            texts, found = b.column(1).to_pylist(), b.column(2)
             for k in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)):
                 raw = texts[k].encode()
                 a, e = merge_spans(found[k].as_py())
@@ -391,13 +402,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     e = e - move
                 some = a < e
                 texts[k] = kept_bytes(raw, a[some], e[some]).decode()
-                keep[k] = bool(texts[k])
-            cols = [b.column(i) for i in range(len(names))]
-            cols[at] = pa.array(texts, b.schema.field(at).type)
-            if "n_chars" in names:
-                old = b.column(names.index("n_chars"))
-                new = [len(t) if v else o for t, o, v in zip(texts, old.to_pylist(), found.is_valid().to_pylist())]
-                cols[names.index("n_chars")] = pa.array(new, old.type)
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
-
-    return _with_spans(docs, spans, "doc_id", "text").mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, b.schema.field(1).type), found.is_valid()], names=["row", "text", "cut"])
+
+    fields = [rows.schema["row"], rows.schema["text"], T.StructField("cut", T.BooleanType())]
+    left = rows.mapInArrow(run, T.StructType(fields)).where("not cut or text <> ''")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        old = F.col("row")["n_chars"]
+        new["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
+    return unpacked(left, docs.columns, **new)

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicweave.llm import textbytes as tb
 from topicweave.llm.components import components
-from topicweave.llm.tables import written
+from topicweave.llm.tables import packed, text_key, unpacked, written
 
 TILE = 512
 STRIP = 128
@@ -116,7 +117,7 @@ def slice_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> n
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp bigint): the SimHash of each whole text over ``shingle``-word shingles."""
+    """(id, fp bigint): the SimHash of each whole text over ``shingle``-word shingles; ids of any type that can be ordered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,8 +125,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())]))
 
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,23 +206,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents table with one document of each near-duplicate group: the one with the smallest id.
+    """The documents with one document of each near-duplicate group: the one with the smallest id, all columns as
+    they were.
 
-    Rows that repeat a kept id count as one document; of them the row with the smallest text stays.
-    Rows without an id stay only where no row of their group has one; of them one stays per
-    fingerprint.
+    Rows that share an id but not a text are different documents; of those with a group's smallest id the
+    one with the smallest text hash stays. Of rows that repeat an id and its text one stays. Rows without an id stay
+    only where no row of their group has one.
     """
-    found = near_duplicates(docs, shingle=shingle, radius=radius)
-    keep = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").selectExpr("*", "row_number() over (partition by doc_id order by text, source, lang) nth_").where("nth_ = 1").drop("nth_")
-    nameless = found.where("component is null").select("fp").distinct()
-    null_rows = docs.where("doc_id is null")
-    return kept.unionByName(_first_of_each(null_rows, nameless, shingle))
-
-
-def _first_of_each(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """One row of ``rows`` (null ids only) for each fingerprint of ``wanted``'s components, joined on the exact text."""
-    keyed = rows.withColumn("row_", F.xxhash64("text"))
-    fps = fingerprints(keyed, "row_", "text", shingle).select(F.col("id").alias("row_"), "fp").distinct()
-    firsts = fps.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("row_").alias("row_"))
-    return keyed.join(firsts.select("row_").distinct(), "row_", "left_semi").dropDuplicates(["row_"]).drop("row_").select(*rows.columns)
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), text_key().alias("key"))
+    rows = packed(docs, own=own, text=F.col("text"))
+    found = near_duplicates(rows, "own", "text", shingle, radius)
+    keep = found.where(F.col("id") == F.col("component")).select(F.col("id.id").alias("keep_id"), F.col("id.key").alias("keep_key")).distinct()
+    kept = rows.select("row", "own.id", "own.key").join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key")), "left_semi")
+    order = Window.partitionBy("id", "key").orderBy(F.xxhash64("row"))
+    return unpacked(kept.withColumn("nth", F.row_number().over(order)).where("nth = 1"), docs.columns)

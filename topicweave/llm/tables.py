@@ -40,6 +40,22 @@ def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, **own) -> DataFrame:
+    """(row, ...): all columns of ``df`` as one struct, beside the columns an operator works on, so that no name of
+    a user's column can meet a name of the operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in own.items()])
+
+
+def unpacked(df: DataFrame, names: list[str], **replaced) -> DataFrame:
+    """The columns ``names`` of the struct ``row`` again, some of them replaced."""
+    return df.select(*[(replaced[c] if c in replaced else F.col("row")[c]).alias(c) for c in names])
+
+
+def text_key(text="text"):
+    """What tells texts apart in a join (null counts as empty)."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the rows that are never learned from: crc32 of the id as text, modulo 5, is 0 (null id: held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
