@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from topicweave.llm import decontaminate, mixing, repeats, simhash, toxicity
 from topicweave.llm.tables import documents_of, table_of, written
 
+# A passage of over 50 words is to be found. Of 3,807 runs of 51 words, drawn from 4,000 documents, 6 % have 400 bytes or
+# more, 99 % have 248 or more and 99.9 % have 152 or more.
+REPEATED_BYTES = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney models score below 0.5; the models learn from this stage's documents."""
@@ -24,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes and more that stand elsewhere too."""
-    return repeats.without_repeats(docs, length=400)
+    """Texts without the strings of ``REPEATED_BYTES`` and more that stand elsewhere too."""
+    return repeats.without_repeats(docs, length=REPEATED_BYTES)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
