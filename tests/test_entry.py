@@ -22,20 +22,20 @@ def test_keys_line_up():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert own_keys() == set(all_queries()) and set(q) >= own_keys()
-    assert len(own_keys()) == 61
+    assert len(own_keys()) == 65
 
 
 def own_keys():
     """The keys of this library's own operators, as text: a plan module that goes missing shows."""
     return set("""
-    attach_topics batch_plan blank_filter chunk_tokens classification_metrics cluster_keywords
+    attach_topics batch_plan blank_filter chunk_tokens class_agreement class_prediction_table classification_metrics cluster_keywords
     cluster_labels_last data_checks dynamic_pad first_n_rows global_loss_window hashing_embed keyword_lists
     keyword_map_roundtrip keyword_normalise kmeans_assign kmeans_fit kmeans_lloyd_step label_ids
     label_vocabulary loss_decrease_rate loss_ema mcq_metrics mcq_prompts missing_shards mlm_mask noise_shuffle
-    pair_choice_accuracy pair_sequences parse_ratio_spec parse_responses peek_rows per_sample_loss
+    pair_choice_accuracy pair_inputs pair_sequences parse_ratio_spec parse_responses peek_rows per_sample_loss
     perplexity_by_subset prediction_table rank_local_weights regression_metrics resume_weights
     running_accuracy sample_by_budget sample_nested_targets sampling_quota_carry sentence_pair_columns
-    sentence_permute shard_assign shift_right source_token_totals span_infill split_union step_from_microbatch
+    sentence_permute shard_assign shift_right source_token_totals span_infill split_union step_from_microbatch task_metrics
     stream_attach_topics stream_topic_loss stream_weights token_recount token_sequences topic_dead_letters
     topic_loss_window topic_prompts topic_weights train_log weighted_batch_loss
     """.split())

@@ -8,6 +8,7 @@ sums (``functions.ranking``) instead of a single-task global window.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,14 @@ TASK_TO_KEYS = {
     "stsb": ("sentence1", "sentence2"),
     "wnli": ("sentence1", "sentence2"),
 }
+# The metrics of the tasks; all others have accuracy alone.
+TASK_METRICS = {
+    "cola": ("matthews_correlation",),
+    "mrpc": ("accuracy", "f1"),
+    "qqp": ("accuracy", "f1"),
+}
 CONFIDENCE_THRESHOLD = 0.5
+IGNORE = -100  # a label that is no target
 
 # The one-shot example of the multiple-choice prompt.
 SHOT_EXAMPLE = {
@@ -47,9 +55,65 @@ SHOT_EXAMPLE = {
 }
 
 
+def token_sums(
+    rows: DataFrame,
+    labels: str = "labels",
+    losses: str = "token_loss",
+    predictions: str = "predictions",
+    loss_shift: int = 1,
+    accuracy_shift: int = 0,
+    ignore: int = IGNORE,
+) -> DataFrame:
+    """FN4 + FN11 + PF6 + AG10 over token arrays: one row of sums per row of parallel arrays.
+
+    Place i of ``losses`` is the loss against the label ``loss_shift`` places on, place i of
+    ``predictions`` the guess for the label ``accuracy_shift`` places on. Labels equal to ``ignore``
+    (or null) count in neither, and a target without a loss not in the loss. Adds ``loss_sum``, ``loss_targets``, ``loss_width`` (places, ignored
+    ones included), ``n_targets`` and ``n_correct``; a null or empty array has no targets.
+    """
+    some = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
+
+    def paired(values: str, shift: int) -> Column:
+        counted = lambda lab, v: F.struct((F.coalesce(lab != ignore, F.lit(False))).alias("on"), lab.alias("lab"), v.alias("v"))
+        width = F.greatest(F.size(some(labels)) - shift, F.lit(0))
+        return F.zip_with(F.slice(some(labels), F.lit(1 + shift), width), F.slice(some(values), F.lit(1), width), counted)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("total"))
+    known = lambda x: x["on"] & x["v"].isNotNull()
+    loss = F.aggregate(paired(losses, loss_shift), start, lambda acc, x: F.struct(
+        (acc["n"] + known(x).cast("bigint")).alias("n"), (acc["total"] + F.when(known(x), x["v"].cast("double")).otherwise(F.lit(0.0))).alias("total")))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("hit"))
+    hits = F.aggregate(paired(predictions, accuracy_shift), start, lambda acc, x: F.struct(
+        (acc["n"] + x["on"].cast("bigint")).alias("n"), (acc["hit"] + (x["on"] & F.coalesce(x["lab"] == x["v"], F.lit(False))).cast("bigint")).alias("hit")))
+    width = F.greatest(F.size(some(labels)) - loss_shift, F.lit(0)).cast("bigint")
+    return rows.withColumns({"_loss": loss, "_hits": hits, "loss_width": width}).withColumns({
+        "loss_sum": F.col("_loss.total"), "loss_targets": F.col("_loss.n"), "n_targets": F.col("_hits.n"), "n_correct": F.col("_hits.hit"),
+    }).drop("_loss", "_hits")
+
+
+def sample_loss() -> Column:
+    """FN4: a row's mean loss over all its shifted places, ignored ones included (null without any)."""
+    return F.try_divide("loss_sum", "loss_width")
+
+
+def batch_losses(sums: DataFrame, *by: str) -> DataFrame:
+    """AG10: the rows of ``token_sums`` reduced to batches: (by..., loss, targets, correct); loss is the mean over
+    targets, null for a batch without any."""
+    return sums.groupBy(*by).agg(
+        F.try_divide(F.sum("loss_sum"), F.sum("loss_targets")).alias("loss"),
+        F.sum("n_targets").cast("long").alias("targets"), F.sum("n_correct").cast("long").alias("correct"))
+
+
+def sequence_score(losses: Column) -> Column:
+    """FN5: minus the mean of a sequence's token losses (null for none)."""
+    total = F.aggregate(losses, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return -F.try_divide(total, F.size(losses).cast("double"))
+
+
 def perplexity_by_subset(batches: DataFrame) -> DataFrame:
     """AG10 + AG11 + FN1: per batch acc = correct/targets and ppl = exp(loss); means per subset
-    and over all batches (subset '__all__'). Overall ppl is the mean of batch ppl, not exp(mean loss)."""
+    and over all batches (subset '__all__'). Overall ppl is the mean of batch ppl, not exp(mean loss).
+    A batch without targets has neither loss nor accuracy and enters no mean."""
     b = batches.select(
         "subset", "loss", F.try_divide("correct", "targets").alias("acc"), F.exp("loss").alias("ppl")
     )
@@ -133,8 +197,13 @@ def running_accuracy(scored: DataFrame, every: int = 10, bucket_size: int = 4096
     )
 
 
+def pair_scores(pairs: DataFrame) -> DataFrame:
+    """FN5: ``score1`` and ``score2`` of both inputs from their token losses (``loss1``, ``loss2``: arrays)."""
+    return pairs.withColumns({"score1": sequence_score(F.col("loss1")), "score2": sequence_score(F.col("loss2"))})
+
+
 def pair_choice(pairs: DataFrame, labels: DataFrame, key: str = "line_no") -> DataFrame:
-    """ST11 + FN5 + JN2: inputs goal+' '+sol, pred = 1 if score2 > score1 else 0 (ties -> 0),
+    """ST11 + JN2: inputs goal+' '+sol, pred = 1 if score2 > score1 else 0 (ties -> 0),
     joined with the label file by line position."""
     j = pairs.join(labels, key)
     pred = F.when(F.col("score2") > F.col("score1"), 1).otherwise(0)
@@ -196,31 +265,62 @@ def map_label_ids(df: DataFrame, ids: DataFrame, config_map: dict[str, int] | No
     return j.withColumn("label_id", F.when(F.col(label_col).cast("string") == "-1", -1).otherwise(F.col("label_id")))
 
 
-def classification_metrics(pred: DataFrame, suffix: str = "") -> DataFrame:
-    """AG13: accuracy, binary F1 (positive = 1), Matthews correlation; combined_score = mean of
-    (accuracy, f1). One row of (metric, value) per metric, names suffixed (SE3 '_mm')."""
-    y, p = F.col("label"), F.col("prediction")
-    c = pred.agg(
-        F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"),
-        F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
-        F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn"),
-        F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"),
-        F.avg((y == p).cast("int")).alias("acc"),
-    )
-    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
-    acc = F.col("acc")  # of any number of classes; the other metrics are those of class 1 against class 0
-    f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(F.lit(0.0))
-    den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    mcc = F.when(den > 0, (tp * tn - fp * fn) / den).otherwise(F.lit(0.0))
-    m = c.select(
-        F.explode(F.array(
-            F.struct(F.lit("accuracy" + suffix).alias("metric"), acc.alias("value")),
-            F.struct(F.lit("f1" + suffix).alias("metric"), f1.alias("value")),
-            F.struct(F.lit("matthews_correlation" + suffix).alias("metric"), mcc.alias("value")),
-            F.struct(F.lit("combined_score" + suffix).alias("metric"), ((acc + f1) / 2).alias("value")),
-        )).alias("m")
-    )
-    return m.select("m.metric", "m.value")
+def predicted_class(scores: Column) -> Column:
+    """FN3: index of the first largest score; NaN counts as the largest, null scores and no scores as none."""
+    return F.when(F.size(scores) > 0, F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+
+
+def confusion(pred: DataFrame, *by: str) -> DataFrame:
+    """One (by..., label, prediction, n) table that all class metrics come from: at most classes squared rows a task."""
+    return pred.where(F.col("label").isNotNull()).groupBy(*by, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_metrics(table: DataFrame, *by: str) -> DataFrame:
+    """AG13 from a confusion table, for any number of classes: (by..., accuracy, f1, matthews_correlation).
+
+    F1 is that of class 1 against the rest; Matthews' coefficient is the general one, from the margins. Both are
+    0 where they are undefined.
+    """
+    if not by:
+        return class_metrics(table.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    n, same = F.col("n").cast("double"), F.col("label") == F.col("prediction")
+    one, guess = F.col("label").cast("string") == "1", F.coalesce(F.col("prediction").cast("string") == "1", F.lit(False))
+    sums = table.groupBy(*by).agg(
+        F.sum(n).alias("s"), F.sum(F.when(same, n).otherwise(0.0)).alias("c"),
+        F.sum(F.when(one & guess, n).otherwise(0.0)).alias("tp"), F.sum(F.when(~one & guess, n).otherwise(0.0)).alias("fp"), F.sum(F.when(one & ~guess, n).otherwise(0.0)).alias("fn"))
+    # both margins of a class side by side: true and predicted rows
+    side = lambda c, t, p: table.select(*by, F.col(c).cast("string").alias("class"), (n * t).alias("t"), (n * p).alias("p"))
+    margins = side("label", 1, 0).unionByName(side("prediction", 0, 1)).groupBy(*by, "class").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    of = margins.groupBy(*by).agg(F.sum(F.col("t") * F.col("p")).alias("tp2"), F.sum(F.col("t") ** 2).alias("t2"), F.sum(F.col("p") ** 2).alias("p2"))
+    both = sums.join(of, list(by))
+    spread = F.sqrt((F.col("s") ** 2 - F.col("p2")) * (F.col("s") ** 2 - F.col("t2")))
+    return both.select(
+        *by, F.try_divide("c", "s").alias("accuracy"),
+        F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"),
+        F.when(spread > 0, (F.col("c") * F.col("s") - F.col("tp2")) / spread).otherwise(F.lit(0.0)).alias("matthews_correlation"))
+
+
+def named_metrics(values: DataFrame, metrics: Sequence[str], suffix: str = "", keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., metric, value) rows of the columns ``metrics``; their mean as ``combined_score`` where there are several
+    (SE3: names end in ``suffix``)."""
+    named = [(m, F.col(m)) for m in metrics]
+    if len(metrics) > 1:
+        named.append(("combined_score", reduce(lambda a, b: a + b, (F.col(m) for m in metrics)) / len(metrics)))
+    rows = F.array(*[F.struct(F.lit(name + suffix).alias("metric"), value.alias("value")) for name, value in named])
+    return values.select(*keep, F.explode(rows).alias("m")).select(*keep, "m.metric", "m.value")
+
+
+def classification_metrics(pred: DataFrame, metrics: Sequence[str] = ("accuracy",), suffix: str = "") -> DataFrame:
+    """AG13 of one task: (metric, value) rows."""
+    return named_metrics(class_metrics(confusion(pred)), metrics, suffix)
+
+
+def task_metrics(pred: DataFrame, tasks: Sequence[str]) -> DataFrame:
+    """AG13 + SE3 by task: (task, metric, value) rows from (task, label, prediction) rows, each task by its own
+    metrics; all tasks share one confusion table. The second half of a double evaluation (``-mm``) has its metrics named ``_mm``."""
+    values = class_metrics(confusion(pred, "task"), "task")
+    found = [named_metrics(values.where(F.col("task") == t), TASK_METRICS.get(t, ("accuracy",)), "_mm" if t.endswith("-mm") else "", ("task",)) for t in tasks]
+    return reduce(DataFrame.unionByName, found)
 
 
 def regression_metrics(pairs: DataFrame, n_buckets: int = 1024) -> DataFrame:
@@ -250,16 +350,23 @@ def prediction_rows(
     label_names: Sequence[str] | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """FN3 + SK7: (index, prediction) rows; regression as '%.3f', classification by label name."""
+    """FN3 + SK7: (index, prediction) rows; regression as '%.3f', classification by label name (``value`` is the
+    class index; an index without a name gives null)."""
     if is_regression:
         out = F.format_string("%.3f", value)
     elif label_names:
-        out = F.element_at(F.array(*[F.lit(n) for n in label_names]), (value + 1).cast("int"))
+        out = F.get(F.array(*[F.lit(n) for n in label_names]), value.cast("int"))
     else:
         out = value.cast("string")
     return pred.select(*keep, F.col(index_col).alias("index"), out.alias("prediction"))
 
 
+def class_prediction_rows(pred: DataFrame, index_col: str, scores: Column, ids: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """FN3 + SK7: (keep..., index, prediction) with the name of the best-scored class, looked up in the ``label_ids`` table."""
+    best = pred.select(*keep, F.col(index_col).alias("index"), predicted_class(scores).alias("label_id"))
+    return best.join(ids.select("label_id", F.col("label").alias("prediction")), "label_id", "left").select(*keep, "index", "prediction")
+
+
 def write_predictions(rows: DataFrame, path: str) -> None:
     """SK7: tab-separated ``index<TAB>prediction`` with a header (one part file per task)."""
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

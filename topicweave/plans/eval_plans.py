@@ -9,6 +9,7 @@ from topicweave.functions.numeric import rounded
 from topicweave.functions.ranking import global_row_number, with_line_index
 from topicweave.operators import evals as E
 from topicweave.plans import sql as Q
+from topicweave.plans.sequence_plans import TOKEN_SUMS_SQL, eval_token_sums
 from topicweave.sources import fixtures as FX
 
 
@@ -22,7 +23,9 @@ def _scored(spark, sf):
 
 
 def q_perplexity_by_subset(spark, sf):
-    out = E.perplexity_by_subset(FX.eval_batches(FX.table(spark, sf, "documents")))
+    sums = eval_token_sums(spark, sf).withColumnsRenamed({"lang": "subset"})
+    batch = F.floor(F.col("doc_id") / FX.EVAL_BATCH).cast("long").alias("batch_id")
+    out = E.perplexity_by_subset(E.batch_losses(sums.withColumn("batch_id", batch), "subset", "batch_id"))
     return out.select("subset", "n_batches", _r("mean_loss"), _r("mean_acc"), _r("mean_ppl"))
 
 
@@ -44,7 +47,7 @@ def q_running_accuracy(spark, sf):
 
 def _pair_choices(spark, sf):
     bench = FX.table(spark, sf, "benchmark")  # line positions come from the file
-    pairs = with_line_index(FX.pair_scores(FX.pair_items(bench)))
+    pairs = with_line_index(E.pair_scores(FX.pair_losses(FX.pair_items(bench))))
     labels = with_line_index(FX.pair_labels(bench).select("label"))
     return E.pair_choice(pairs, labels)
 
@@ -53,14 +56,48 @@ def q_pair_choice_accuracy(spark, sf):
     return E.pair_accuracy(_pair_choices(spark, sf)).select("total", "correct", _r("accuracy"), "n_ties")
 
 
+def q_pair_inputs(spark, sf):
+    return _pair_choices(spark, sf).select("item_id", "input1", "input2", _r("score1"), _r("score2"), "pred")
+
+
+def _language_ids(spark, sf):
+    return E.label_ids(FX.table(spark, sf, "documents"), "lang")
+
+
+TASKS = ("cola", "language", "mnli", "mnli-mm", "mrpc")
+
+
+def q_task_metrics(spark, sf):
+    """AG13 + SE3 + FN3: each task by its own metrics, predictions from class scores."""
+    scored = FX.task_scores(FX.table(spark, sf, "labels"), FX.table(spark, sf, "documents"), _language_ids(spark, sf))
+    pred = scored.select("task", "label", E.predicted_class(F.col("scores")).alias("prediction"))
+    return E.task_metrics(pred, TASKS).select("task", "metric", _r("value"))
+
+
+def q_class_agreement(spark, sf):
+    """AG13 for four classes: accuracy and the general Matthews coefficient of the predicted languages."""
+    scored = FX.task_scores(FX.table(spark, sf, "labels"), FX.table(spark, sf, "documents"), _language_ids(spark, sf)).where("task = 'language'")
+    pred = scored.select("label", E.predicted_class(F.col("scores")).alias("prediction"))
+    return E.classification_metrics(pred, ("accuracy", "matthews_correlation")).select("metric", _r("value"))
+
+
+def q_class_prediction_table(spark, sf):
+    """FN3 + SK7: the languages' names by class scores, in document order."""
+    ids = _language_ids(spark, sf)
+    scored = FX.task_scores(FX.table(spark, sf, "labels"), FX.table(spark, sf, "documents"), ids).where("task = 'language'")
+    at = global_row_number(scored, [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), "_rn").withColumn("index", F.col("_rn") - 1)
+    return E.class_prediction_rows(at, "index", F.col("scores"), ids)
+
+
 def q_label_ids(spark, sf):
     return E.label_ids(FX.table(spark, sf, "labels"), "quality")
 
 
 def q_classification_metrics(spark, sf):
     pred = FX.predictions(FX.table(spark, sf, "labels"))
-    matched = E.classification_metrics(pred.where(F.pmod("doc_id", F.lit(2)) == 0))
-    mism = E.classification_metrics(pred.where(F.pmod("doc_id", F.lit(2)) == 1), "_mm")
+    metrics = ("accuracy", "f1", "matthews_correlation")
+    matched = E.classification_metrics(pred.where(F.pmod("doc_id", F.lit(2)) == 0), metrics)
+    mism = E.classification_metrics(pred.where(F.pmod("doc_id", F.lit(2)) == 1), metrics, "_mm")
     return matched.unionByName(mism).select("metric", _r("value"))
 
 
@@ -105,6 +142,10 @@ QUERIES = {
     "mcq_metrics": q_mcq_metrics,
     "running_accuracy": q_running_accuracy,
     "pair_choice_accuracy": q_pair_choice_accuracy,
+    "pair_inputs": q_pair_inputs,
+    "task_metrics": q_task_metrics,
+    "class_agreement": q_class_agreement,
+    "class_prediction_table": q_class_prediction_table,
     "label_ids": q_label_ids,
     "classification_metrics": q_classification_metrics,
     "regression_metrics": q_regression_metrics,
@@ -115,14 +156,11 @@ QUERIES = {
 
 # ---------------------------------------------------------------- oracle SQL
 
-_EVAL = f"""eb AS (
-  SELECT lang AS subset, CAST(floor(doc_id / 16) AS BIGINT) AS batch_id,
-         2.0 + 4.0 * {Q.u01("md5(concat_ws(':', 'eval', doc_id))", 1, 8)} AS loss,
-         n_chars AS targets,
-         CAST(floor(n_chars * {Q.u01("md5(concat_ws(':', 'eval', doc_id))", 9, 8)}) AS BIGINT) AS correct
-  FROM documents),
-batches AS (SELECT subset, batch_id, AVG(loss) AS loss, SUM(targets) AS targets, SUM(correct) AS correct FROM eb GROUP BY ALL),
-b2 AS (SELECT subset, loss, correct / targets AS acc, exp(loss) AS ppl FROM batches)"""
+_EVAL = TOKEN_SUMS_SQL + f""",
+batches AS (SELECT lang AS subset, CAST(floor(doc_id / {FX.EVAL_BATCH}) AS BIGINT) AS batch_id, CAST(SUM(loss_sum) AS DOUBLE) / nullif(SUM(loss_targets), 0) AS loss,
+                   SUM(n_targets) AS targets, SUM(n_correct) AS correct
+            FROM sums JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ALL),
+b2 AS (SELECT subset, loss, correct / nullif(targets, 0) AS acc, exp(loss) AS ppl FROM batches)"""
 
 _ITEMS = """wl AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark),
 wx AS (SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM wl),
@@ -156,10 +194,12 @@ pairs AS (
          array_to_string(ws[1:CAST(floor(len(ws) / 2) AS INTEGER)], ' ') AS goal,
          array_to_string(ws[CAST(floor(len(ws) / 2) AS INTEGER) + 1:len(ws)], ' ') AS sol1,
          array_to_string(list_reverse(ws[CAST(floor(len(ws) / 2) AS INTEGER) + 1:len(ws)]), ' ') AS sol2,
-         CAST(item_id % 2 AS INTEGER) AS label,
-         -""" + Q.hexint("md5(concat_ws(':', 's1', item_id))", 1, 1) + """ / 4.0 AS score1,
-         -""" + Q.hexint("md5(concat_ws(':', 's2', item_id))", 1, 1) + """ / 4.0 AS score2
-  FROM pw)"""
+         CAST(item_id % 2 AS INTEGER) AS label
+  FROM pw),
+inputs AS (SELECT *, goal || ' ' || sol1 AS input1, goal || ' ' || sol2 AS input2 FROM pairs),
+scored_pairs AS (SELECT *, """ + ", ".join(f"-list_avg(list_transform(regexp_extract_all(input{j}, {Q.TOK_SQL})[2:{FX.PAIR_WINDOW}], lambda x: ((4 + {Q.hexint('md5(x)', 1, 15)}) % 13) / 4.0)) AS score{j}"
+                                    for j in (1, 2)) + """ FROM inputs),
+ch AS (SELECT *, CASE WHEN score2 > score1 THEN 1 ELSE 0 END AS pred FROM scored_pairs)"""
 
 _PRED = """pred AS (
   SELECT doc_id, quality AS label,
@@ -180,10 +220,46 @@ def _cls(where: str, suffix: str) -> str:
                        THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0.0 END AS mcc) m,
   LATERAL (SELECT unnest([{{'metric': 'accuracy{suffix}', 'value': acc}}, {{'metric': 'f1{suffix}', 'value': f1}},
                           {{'metric': 'matthews_correlation{suffix}', 'value': mcc}},
-                          {{'metric': 'combined_score{suffix}', 'value': (acc + f1) / 2}}]) AS mm) u)"""
+                          {{'metric': 'combined_score{suffix}', 'value': (acc + f1 + mcc) / 3}}]) AS mm) u)"""
+
+
+def _class_scores(task: str, label: str, classes: int) -> str:
+    h = f"md5(concat_ws(':', 'scores', {task}, doc_id))"
+    return "[" + ", ".join(f"({Q.hexint(h, j + 1, 1)} + CASE WHEN {label} = {j} THEN 9 ELSE 0 END) / 4.0" for j in range(classes)) + "]"
+
+
+_NLI = "CASE WHEN doc_id % 2 = 0 THEN 'mnli' ELSE 'mnli-mm' END"
+_TASKS = f"""lids AS (SELECT lang AS name, ROW_NUMBER() OVER (ORDER BY lang) - 1 AS label FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+ts AS (
+  SELECT {_NLI} AS task, doc_id, quality + toxic AS label, {_class_scores(_NLI, '(quality + toxic)', 3)} AS scores FROM labels
+  UNION ALL SELECT 'cola', doc_id, quality, {_class_scores("'cola'", 'quality', 2)} FROM labels
+  UNION ALL SELECT 'mrpc', doc_id, toxic, {_class_scores("'mrpc'", 'toxic', 2)} FROM labels
+  UNION ALL SELECT 'language', doc_id, label, {_class_scores("'language'", 'label', 4)} FROM documents JOIN lids ON lids.name = documents.lang),
+guess AS (SELECT task, doc_id, label, list_position(scores, list_max(scores)) - 1 AS prediction FROM ts WHERE label IS NOT NULL),
+acc AS (SELECT task, AVG(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy, COUNT(*)::DOUBLE AS s, SUM(CASE WHEN label = prediction THEN 1 ELSE 0 END)::DOUBLE AS c,
+               SUM(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp, SUM(CASE WHEN (label = 1) <> (prediction = 1) THEN 1 ELSE 0 END)::DOUBLE AS off1 FROM guess GROUP BY task),
+t AS (SELECT task, label AS k, COUNT(*)::DOUBLE AS t FROM guess GROUP BY ALL),
+p AS (SELECT task, prediction AS k, COUNT(*)::DOUBLE AS p FROM guess GROUP BY ALL),
+mg AS (SELECT task, SUM(coalesce(t, 0) * coalesce(p, 0)) AS tp2, SUM(coalesce(t, 0) ** 2) AS t2, SUM(coalesce(p, 0) ** 2) AS p2 FROM t FULL JOIN p USING (task, k) GROUP BY task),
+mt AS (SELECT *, CASE WHEN tp + off1 > 0 THEN 2 * tp / (2 * tp + off1) ELSE 0 END AS f1,
+              CASE WHEN (s * s - p2) * (s * s - t2) > 0 THEN (c * s - tp2) / sqrt((s * s - p2) * (s * s - t2)) ELSE 0 END AS mcc FROM acc JOIN mg USING (task))"""
 
 
 ORACLE = {
+    "task_metrics": f"WITH {_TASKS}" + """
+SELECT task, 'accuracy' || CASE WHEN task = 'mnli-mm' THEN '_mm' ELSE '' END AS metric, round(accuracy + 3.1e-12, 9) AS value FROM mt WHERE task <> 'cola'
+UNION ALL SELECT task, 'f1', round(f1 + 3.1e-12, 9) FROM mt WHERE task = 'mrpc'
+UNION ALL SELECT task, 'combined_score', round((accuracy + f1) / 2 + 3.1e-12, 9) FROM mt WHERE task = 'mrpc'
+UNION ALL SELECT task, 'matthews_correlation', round(mcc + 3.1e-12, 9) FROM mt WHERE task = 'cola'""",
+    "class_agreement": f"WITH {_TASKS}" + """
+SELECT 'accuracy' AS metric, round(accuracy + 3.1e-12, 9) AS value FROM mt WHERE task = 'language'
+UNION ALL SELECT 'matthews_correlation', round(mcc + 3.1e-12, 9) FROM mt WHERE task = 'language'
+UNION ALL SELECT 'combined_score', round((accuracy + mcc) / 2 + 3.1e-12, 9) FROM mt WHERE task = 'language'""",
+    "class_prediction_table": f"WITH {_TASKS}" + """
+SELECT ROW_NUMBER() OVER (ORDER BY doc_id) - 1 AS index, name AS prediction
+FROM guess JOIN lids ON lids.label = guess.prediction WHERE task = 'language'""",
+    "pair_inputs": "WITH " + _PAIRS + """
+SELECT item_id, input1, input2, round(score1 + 3.1e-12, 9) AS score1, round(score2 + 3.1e-12, 9) AS score2, pred FROM ch""",
     "perplexity_by_subset": f"""WITH {_EVAL}
 SELECT subset, COUNT(*) AS n_batches, round(AVG(loss) + 3.1e-12, 9) AS mean_loss, round(AVG(acc) + 3.1e-12, 9) AS mean_acc, round(AVG(ppl) + 3.1e-12, 9) AS mean_ppl
 FROM b2 GROUP BY subset
@@ -205,8 +281,7 @@ run AS (
          SUM(CASE WHEN confidence < 0.5 THEN 1 ELSE 0 END) OVER (ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lo
   FROM scored)
 SELECT total, round(c / total + 3.1e-12, 9) AS running_accuracy, CAST(lo AS BIGINT) AS low_confidence_so_far FROM run WHERE total % 10 = 0""",
-    "pair_choice_accuracy": "WITH " + _PAIRS + """,
-ch AS (SELECT *, CASE WHEN score2 > score1 THEN 1 ELSE 0 END AS pred FROM pairs)
+    "pair_choice_accuracy": "WITH " + _PAIRS + """
 SELECT COUNT(*) AS total, CAST(SUM(CASE WHEN pred = label THEN 1 ELSE 0 END) AS BIGINT) AS correct,
        round(AVG(CASE WHEN pred = label THEN 1 ELSE 0 END) + 3.1e-12, 9) AS accuracy,
        CAST(SUM(CASE WHEN score1 = score2 THEN 1 ELSE 0 END) AS BIGINT) AS n_ties

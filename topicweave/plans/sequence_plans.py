@@ -88,19 +88,16 @@ def q_dynamic_pad(spark, sf):
     return SQ.dynamic_pad(t, ("batch_id", "chunk_no")).select(*ROW, "batch_id", F.size("ids").alias("n_tokens"), "padded_len", _j("padded_ids").alias("ids_str"))
 
 
+def eval_token_sums(spark, sf):
+    """Token sums of every row of a whole text, with its language."""
+    docs = FX.table(spark, sf, "documents").where(is_non_blank(F.col("text")))
+    rows = SQ.pad_sequences(SQ.hashed_chunks(docs, L, ("doc_id", "lang")), L)
+    return E.token_sums(FX.model_outputs(rows))
+
+
 def q_per_sample_loss(spark, sf):
-    """FN4 + PF6 + FN11 over token rows: token loss (label % 13) / 4 on shifted labels; -100 ignored."""
-    t = _token_rows(spark, sf)
-    pos = F.sequence(F.lit(2), F.lit(L))
-    lab = lambda i: F.element_at("labels", i)
-    prev = lambda i: F.element_at("input_ids", i - 1)
-    tok_loss = F.transform(pos, lambda i: F.when(lab(i) == SQ.IGNORE, F.lit(0.0)).otherwise(F.pmod(lab(i), F.lit(13)) / 4.0))
-    return t.select(
-        *ROW,
-        rounded(F.aggregate(tok_loss, F.lit(0.0), lambda a, b: a + b) / (L - 1)).alias("loss"),
-        F.size(F.filter(pos, lambda i: lab(i) != SQ.IGNORE)).alias("n_targets"),
-        F.size(F.filter(pos, lambda i: (lab(i) != SQ.IGNORE) & (lab(i) == prev(i)))).alias("n_correct"),
-    )
+    """FN4 + PF6 + FN11 over token rows: shifted loss over all places, targets and hits without the ignored ones."""
+    return eval_token_sums(spark, sf).select(*ROW, rounded(E.sample_loss()).alias("loss"), "loss_targets", "n_targets", "n_correct")
 
 
 def q_batch_plan(spark, sf):
@@ -176,6 +173,15 @@ si AS (SELECT doc_id, chunk_no, flatten(list_transform(pc, lambda x: CASE WHEN r
 srows AS (SELECT doc_id, chunk_no, list_concat(ids, {_zeros(f'{W} - len(ids)')}) AS input_ids FROM si)"""
 
 
+# token sums of a row: the label of place i meets the loss of the place before it
+TOKEN_SUMS_SQL = _TOKROWS + f""",
+sums AS (SELECT doc_id, chunk_no,
+  list_sum(list_transform(range(2, {L} + 1), lambda i: CASE WHEN labels[i] = -100 THEN 0.0 ELSE (labels[i] % 13) / 4.0 END)) AS loss_sum,
+  len(list_filter(labels[2:], lambda x: x <> -100)) AS loss_targets,
+  len(list_filter(labels, lambda x: x <> -100)) AS n_targets,
+  len(list_filter(labels, lambda x: x <> -100 AND x % 3 = 0)) AS n_correct FROM rows2)"""
+
+
 def _u(h: str, start: int) -> str:
     return Q.u01(h, start, 8)
 
@@ -234,12 +240,8 @@ pl AS (SELECT *, CAST(floor(doc_id / 16) AS BIGINT) AS batch_id,
               CAST(ceil(MAX(len(ids)) OVER (PARTITION BY CAST(floor(doc_id / 16) AS BIGINT), chunk_no) / 8.0) * 8 AS INTEGER) AS padded_len FROM ir)
 SELECT doc_id, chunk_no, batch_id, CAST(len(ids) AS INTEGER) AS n_tokens, padded_len,
        array_to_string(list_concat(ids, {_zeros('padded_len - len(ids)')}), ',') AS ids_str FROM pl""",
-    "per_sample_loss": "WITH " + _TOKROWS + f"""
-SELECT doc_id, chunk_no,
-  round(list_sum(list_transform(range(2, {L} + 1), lambda i: CASE WHEN labels[i] = -100 THEN 0.0 ELSE (labels[i] % 13) / 4.0 END)) / {L - 1} + 3.1e-12, 9) AS loss,
-  CAST(len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100)) AS INTEGER) AS n_targets,
-  CAST(len(list_filter(range(2, {L} + 1), lambda i: labels[i] <> -100 AND labels[i] = input_ids[i - 1])) AS INTEGER) AS n_correct
-FROM rows2""",
+    "per_sample_loss": "WITH " + TOKEN_SUMS_SQL + f"""
+SELECT doc_id, chunk_no, round(loss_sum / {L - 1} + 3.1e-12, 9) AS loss, loss_targets, n_targets, n_correct FROM sums""",
     "batch_plan": f"""WITH docs AS (SELECT doc_id FROM documents WHERE {_NB}),
 e AS (SELECT doc_id, CAST(unnest(range(0, {EPOCHS})) AS INTEGER) AS epoch FROM docs)
 SELECT epoch, doc_id,

@@ -6,11 +6,13 @@ table. The oracle SQL in ``plans.oracle`` spells the same derivations for DuckDB
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.functions.hashing import hex_int, hex_uniform, md5_key
+from topicweave.functions.tokens import token_pieces
 from topicweave.operators.sampling import SOURCES
+from topicweave.operators.sequences import hashed_id
 
 FIXTURE_CHUNK_LEN = 64
 FIXTURE_RATIOS = "books:0.4,code:0.3,ref:0.2,web:0.1"
@@ -21,6 +23,7 @@ LOSS_ADJUST_EVERY = 10       # steps per reweighting window
 LOSS_SWITCH_AFTER = 200      # stage 1 after this step
 MICRO_BATCH = 8              # samples per micro-batch
 GRAD_ACCUM = 4               # micro-batches per optimiser step
+PAIR_WINDOW = 1024            # tokens of a pair's input
 EVAL_BATCH = 16              # docs per evaluation batch
 
 
@@ -68,21 +71,12 @@ def loss_vocabulary(log: DataFrame) -> DataFrame:
     return seen.unionByName(never).distinct()
 
 
-def eval_batches(documents: DataFrame) -> DataFrame:
-    """D17 batches: subset = lang, batch = floor(doc_id/16); loss, targets and correct from md5/n_chars."""
-    h = md5_key("eval", F.col("doc_id"))
-    per_doc = documents.select(
-        F.col("lang").alias("subset"),
-        F.floor(F.col("doc_id") / EVAL_BATCH).cast("long").alias("batch_id"),
-        (F.lit(2.0) + F.lit(4.0) * hex_uniform(h, 1, 8)).alias("loss"),
-        F.col("n_chars").alias("targets"),
-        F.floor(F.col("n_chars") * hex_uniform(h, 9, 8)).cast("long").alias("correct"),
-    )
-    return per_doc.groupBy("subset", "batch_id").agg(
-        F.avg("loss").alias("loss"),
-        F.sum("targets").cast("long").alias("targets"),
-        F.sum("correct").cast("long").alias("correct"),
-    )
+def model_outputs(token_rows: DataFrame) -> DataFrame:
+    """D17 token outputs, a stand-in for a model's forward pass: the loss of a place against the next label is
+    (label mod 13) / 4; the guess of a place is its id where that is divisible by 3, else the id after it."""
+    nexts = F.slice("labels", F.lit(2), F.size("labels"))
+    return token_rows.withColumn("token_loss", F.transform(nexts, lambda x: F.pmod(x, F.lit(13)) / 4.0)).withColumn(
+        "predictions", F.transform("input_ids", lambda x: F.when(F.pmod(x, F.lit(3)) == 0, x).otherwise(x + 1)))
 
 
 def mcq_items(benchmark: DataFrame) -> DataFrame:
@@ -124,11 +118,34 @@ def pair_labels(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", F.pmod("item_id", F.lit(2)).cast("int").alias("label"))
 
 
-def pair_scores(pairs: DataFrame) -> DataFrame:
-    """Sequence scores (-mean token loss) per solution from one md5 hex digit: ties happen."""
-    h1 = md5_key("s1", F.col("item_id"))
-    h2 = md5_key("s2", F.col("item_id"))
-    return pairs.withColumn("score1", -hex_int(h1, 1, 1) / 4.0).withColumn("score2", -hex_int(h2, 1, 1) / 4.0)
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """Token losses of both inputs (``loss1``, ``loss2``), a stand-in for a model's: (id mod 13) / 4 of every token
+    but the first, of at most 1,024 tokens (the model's window)."""
+    def losses(sol):
+        ids = F.transform(token_pieces(F.concat_ws(" ", "goal", sol)), hashed_id)
+        return F.transform(F.slice(ids, 2, PAIR_WINDOW - 1), lambda x: F.pmod(x, F.lit(13)) / 4.0)
+
+    return pairs.withColumn("loss1", losses("sol1")).withColumn("loss2", losses("sol2"))
+
+
+def class_scores(label: Column, key: Column, classes: int) -> Column:
+    """Scores of ``classes`` classes, a stand-in for a model's: a digit of md5(key) each, more for the true class."""
+    h = md5_key("scores", key)
+    return F.array(*[(hex_int(h, j + 1, 1) + F.when(label == j, F.lit(9)).otherwise(F.lit(0))) / 4.0 for j in range(classes)])
+
+
+def task_scores(labels: DataFrame, documents: DataFrame, language_ids: DataFrame) -> DataFrame:
+    """D17 classification by task: (task, doc_id, label, scores). Three classes (quality + toxic) in the double evaluation,
+    two in cola and mrpc, one for each language in ``language``."""
+    both = F.col("quality") + F.col("toxic")
+    nli = labels.select(F.when(F.pmod("doc_id", F.lit(2)) == 0, "mnli").otherwise("mnli-mm").alias("task"), "doc_id", both.cast("int").alias("label"))
+    two = labels.select(F.explode(F.array(
+        F.struct(F.lit("cola").alias("task"), F.col("quality").cast("int").alias("label")),
+        F.struct(F.lit("mrpc").alias("task"), F.col("toxic").cast("int").alias("label")))).alias("t"), "doc_id").select("t.task", "doc_id", "t.label")
+    lang = documents.join(language_ids, documents["lang"] == language_ids["label"]).select(F.lit("language").alias("task"), "doc_id", F.col("label_id").alias("label"))
+    scored = [(nli, 3), (two, 2), (lang, 4)]
+    parts = [t.withColumn("scores", class_scores(F.col("label"), F.concat_ws(":", "task", "doc_id"), k)) for t, k in scored]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def predictions(labels: DataFrame) -> DataFrame:
