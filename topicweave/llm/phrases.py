@@ -208,11 +208,17 @@ def _scan(shard: DataFrame, number: int, scan: int, words_too: bool, maps: dict,
     return shard.select("text", "lang").mapInArrow(run, f"shard int, scan int, k int, {keys}, n bigint, lang string, word string")
 
 
-def _totals(rows: DataFrame) -> DataFrame:
-    """(k, h1 .. h4, n): each shard's count of a phrase once, however many scans took it."""
-    dealt = rows.repartition("k", *KEYS)  # the three aggregates below need no other exchange
-    by_scan = dealt.groupBy("k", *KEYS, "shard", "scan").agg(F.sum("n").alias("n"))
-    return by_scan.groupBy("k", *KEYS, "shard").agg(F.max("n").alias("n")).groupBy("k", *KEYS).agg(F.sum("n").alias("n"))
+def _totals(rows: DataFrame, scans: list[int], shards: int, k: int | None = None) -> DataFrame:
+    """(k, h1 .. h4, n) of the phrases of ``k`` words, or of any length: each shard's count of a phrase once, however
+    many of ``scans`` took it."""
+    keys = KEYS[:k] if k else ["k", *KEYS]
+    own = rows.where(F.col("k") == k) if k else rows
+    by_scan = [F.coalesce(F.sum(F.when(F.col("scan") == t, F.col("n"))), F.lit(0)).alias(f"n{t}") for t in scans]
+    sums = own.select(*keys, "scan", "n").repartition(*keys).groupBy(*keys).agg(*by_scan)
+    of_shard = [[F.col(f"n{t}") for t in scans if t % shards == i] for i in range(shards)]
+    total = reduce(lambda x, y: x + y, [F.greatest(*c) if len(c) > 1 else c[0] for c in of_shard if c])
+    rest = [F.lit(0).cast("bigint").alias(x) for x in KEYS if x not in keys]
+    return sums.select(*([] if "k" in keys else [F.lit(k).alias("k")]), *keys, *rest, total.alias("n"))
 
 
 def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST,
@@ -222,9 +228,10 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     spark = docs.sparkSession
     path = shared_path(spark, "phrase-shards")
     own = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
-    own.write.partitionBy("shard").parquet(path)
+    own.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     corpus = spark.read.schema(own.schema).parquet(path)
     scans: list[DataFrame] = []
+    taken: list[int] = []
     known: DataFrame | None = None  # (scan, k, h1 .. h4) of the phrases that have reached the count
     sizes: dict[int, int] = {}
     totals: list[DataFrame] = []
@@ -232,12 +239,13 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     for t in range(longest * shards):
         circle, rest = divmod(t + 1, shards)
         if t < shards or maps:
-            scans.append(written(_scan(corpus.where(F.col("shard") == t % shards), t % shards, t, t < shards, maps, longest, seed), f"phrase-scan-{t}"))
+            taken.append(t)
+            scans.append(written(_scan(corpus.where(F.col("shard") == t % shards), t % shards, t, t < shards, maps, longest, seed), f"phrase-scan-{t}", "zstd"))
         elif rest:
             continue  # nothing is active before the next circle
         rows = reduce(DataFrame.unionByName, scans)
         # on the way, what tasks met at least twice is enough to see that a phrase has reached the count
-        new = _totals(rows.where((F.col("k") > circle) & (F.col("k") < longest) & (F.col("n") > 1))).where(F.col("n") >= least)
+        new = _totals(rows.where((F.col("k") > circle) & (F.col("k") < longest) & (F.col("n") > 1)), taken, shards).where(F.col("n") >= least)
         if rest == 0 and circle == 1:
             pair = F.struct("lang", "word")
             words = written(rows.where("k = 1").groupBy("h1").agg(F.sum("n").alias("n"), F.min(pair).alias("low"), F.max(pair).alias("high")), "phrase-words")
@@ -247,7 +255,7 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             zero = [F.lit(0).cast("bigint").alias(x) for x in KEYS[1:]]
             new = new.unionByName(words.where(F.col("n") >= least).select(F.lit(1).alias("k"), "h1", *zero, "n"))
         elif rest == 0:  # all phrases of ``circle`` words have had their circle
-            totals.append(written(_totals(rows.where(F.col("k") == circle)).where(F.col("n") >= least), f"phrase-totals-{circle}"))
+            totals.append(written(_totals(rows, taken, shards, circle).where(F.col("n") >= least), f"phrase-totals-{circle}"))
             new = new.unionByName(totals[-1])
         if circle == longest:
             break
