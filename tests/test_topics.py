@@ -1,9 +1,12 @@
 """Keywords, response parsing, label resolution, attachment, noise, clustering."""
 
+import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from topicweave.operators import clustering as C
@@ -156,3 +159,66 @@ def test_assignment_in_parts_of_the_centroids(spark):
     assert whole == sorted(tuple(r) for r in C.assign_nearest(v, cents, centroid_bytes=7 * 16).collect())
     assert all(c % 2 == 0 for _, c, _ in whole)
     assert C.assign_nearest(v, cents.limit(0)).count() == 0
+
+
+def test_choice_by_keywords_equals_plain_python(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    lexicon = [(rng.choice(words), rng.choice(T.CATEGORIES[:6])) for _ in range(40)] + [("w1", "No_category"), ("w2", "Law"), ("w2", "Law")]
+    lists = [(c, rng.sample(words, rng.choice([0, 3, 20, 55]))) for c in range(30)] + [(99, ["nothing", "known"])]
+    got = {r.cluster: r.choice for r in T.choose_topics(
+        spark.createDataFrame(lists, "cluster int, keywords array<string>"), spark.createDataFrame(lexicon, "keyword string, label string")).collect()}
+    for cluster, keywords in lists:
+        points = {}
+        for rank, w in enumerate(keywords[:50], 1):
+            for _, label in {x for x in lexicon if x[0] == w and x[1] in T.CATEGORIES}:
+                points[label] = points.get(label, 0) + 51 - rank
+        order = sorted(points, key=lambda x: (-points[x], T.CATEGORIES.index(x)))[:3]
+        assert got[cluster] == [x for x in order if 2 * points[x] >= points[order[0]]]
+    assert got[99] == []
+
+
+def test_labels_change_only_with_the_meaning_of_the_keywords(spark):
+    lexicon = spark.createDataFrame([("law", "Law"), ("court", "Law"), ("ball", "Sports")], "keyword string, label string")
+    choice = lambda words: T.choose_topics(spark.createDataFrame([(0, words)], "cluster int, keywords array<string>"), lexicon).first().choice
+    assert choice(["law", "x"]) == choice(["court", "y"]) == ["Law"]
+    assert choice(["ball", "x"]) == ["Sports"]
+
+
+def test_a_responder_that_always_fails_gives_dead_letters_after_all_tries(spark):
+    def respond(prompt, attempt):
+        if attempt % 2:
+            raise RuntimeError("no answer")
+        return "### Labels: Law, Nonsense"
+
+    prompts = spark.createDataFrame([(0, ["a"], "p0"), (1, ["b"], "p1")], "cluster int, keywords array<string>, prompt string")
+    got = T.classify_with(prompts, respond).collect()
+    assert sorted((r.cluster_id, r.labels, r.attempt, r.is_valid) for r in got) == [("0", None, None, False), ("1", None, None, False)]
+    native = T.classify_clusters(prompts, lambda c, a: F.lit("### Labels: Nonsense")).collect()
+    assert [r.is_valid for r in native] == [False, False] and all(r.labels is None for r in native)
+
+
+def test_native_and_python_responders_follow_one_rule(spark):
+    replies = ["### Labels: Law", "Law, Life", "### Labels: Law ", "", "### Labels: x ### Labels: Law,Life\n", "### Labels: Law,", "### Labels: law"]
+    prompts = spark.createDataFrame([(i, ["k"], r) for i, r in enumerate(replies)], "cluster int, keywords array<string>, prompt string")
+    python = {r.cluster_id: (r.labels, r.is_valid) for r in T.classify_with(prompts, lambda prompt, attempt: prompt, 1).collect()}
+    native = {r.cluster_id: (r.labels, r.is_valid) for r in T.classify_clusters(prompts, lambda c, a: F.col("prompt"), 1).collect()}
+    assert python == native and sum(v for _, v in native.values()) >= 3
+
+
+@pytest.mark.parametrize("text", ["", "a", "abcd", "abcde", "öl 日本 \U0001F600!", "x" * 100])
+def test_shuffle_is_the_documented_sort(spark, text):
+    key = lambda i: hashlib.md5(f"noise:7:{i // 4}".encode()).hexdigest()[8 * (i % 4) : 8 * (i % 4) + 8]
+    want = "".join(text[i] for i in sorted(range(len(text)), key=lambda i: (key(i), i)))
+    df = spark.createDataFrame([(7, text, ["Law"]), (8, text, ["Life"]), (9, None, ["Law"])], "doc_id int, text string, labels array<string>")
+    got = {r.doc_id: r.text for r in NZ.inject_noise(df, "Law").collect()}
+    assert got == {7: want, 8: text, 9: None}
+    assert {r.text for r in NZ.inject_noise(df, None).collect()} == {text, None}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_noise_reaches_rows_at_every_scale(spark, sf):
+    from topicweave.plans import topic_plans as TP
+
+    out = TP.q_noise_shuffle(spark, f"/root/testdata/{sf}")
+    assert out.where("noised = 1").count() > 0

@@ -1,7 +1,8 @@
 """Controlled noise: character shuffle of one topic's texts (ST9, PF5).
 
-The shuffle is a sort of the text's code points by md5(seed:key:position), so it is
-reproducible and independent of partitioning; each row is handled on its own (no shuffle).
+The shuffle is a sort of the text's code points by 32 bits of md5(seed:key:block), four code points to a
+digest, then by position, so it is reproducible and independent of partitioning; each row is handled on
+its own (no shuffle).
 """
 
 from __future__ import annotations
@@ -11,17 +12,26 @@ from pyspark.sql import functions as F
 
 from topicweave.functions.hashing import md5_key
 
+PER_DIGEST, DIGITS = 4, 8
+
 
 def shuffle_chars(text: Column, key: Column, seed: str = "noise") -> Column:
     """A permutation of the code points of ``text`` ('' stays '')."""
     chars = F.split(text, "", -1)
-    tagged = F.transform(chars, lambda c, i: F.struct(md5_key(seed, key, i).alias("k"), c.alias("c")))
-    return F.array_join(F.transform(F.array_sort(tagged), lambda x: x["c"]), "")
+    digests = F.transform(F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / PER_DIGEST).cast("int")), lambda j: md5_key(seed, key, j))
+
+    def shuffled(both):  # the digests and code points, evaluated once
+        at = lambda i: F.substr(F.get(both["digests"], F.floor(i / PER_DIGEST).cast("int")), F.pmod(i, F.lit(PER_DIGEST)) * DIGITS + 1, F.lit(DIGITS))
+        tagged = F.transform(both["chars"], lambda c, i: F.struct(at(i).alias("k"), i.alias("i"), c.alias("c")))
+        return F.array_join(F.transform(F.array_sort(tagged), lambda x: x["c"]), "")
+
+    made = F.get(F.transform(F.array(F.struct(digests.alias("digests"), chars.alias("chars"))), shuffled), F.lit(0))
+    return F.when(text != "", made).otherwise(text)
 
 
-def inject_noise(df: DataFrame, topic: str = "Technology", seed: str = "noise", key_col: str = "doc_id") -> DataFrame:
-    """Rows whose labels contain ``topic`` get their text shuffled; others are untouched."""
-    hit = F.array_contains("labels", topic)
+def inject_noise(df: DataFrame, topic: str | None = "Technology", seed: str = "noise", key_col: str = "doc_id") -> DataFrame:
+    """Rows whose labels contain ``topic`` get their text shuffled; others are untouched (no topic: all)."""
+    hit = F.lit(False) if topic is None else F.array_contains("labels", topic)
     return df.withColumn("noised", hit).withColumn(
-        "text", F.when(hit, shuffle_chars(F.col("text"), F.col(key_col), seed)).otherwise(F.col("text"))
+        "text", F.when(F.col("noised"), shuffle_chars(F.col("text"), F.col(key_col), seed)).otherwise(F.col("text"))
     )

@@ -2,17 +2,18 @@
 
 The language model that picks topics is external. ``classify_clusters`` takes responses as a
 column expression of (cluster, attempt) and keeps the first valid one within ``max_retry``
-tries; ``classify_with`` runs a user Python responder through ``mapInPandas`` with the same
-retry rule. ``hashed_response`` is the offline stand-in responder used by the registered
-queries: a deterministic function of (seed, what was asked, attempt) producing well-formed and
-malformed replies, so that parsing, validation and dead-lettering see every case.
+tries; ``classify_with`` calls a user's Python responder, one pass over the open clusters a try.
+Replies are parsed and judged in one place (``parse_labels``, ``labels_valid``).
+
+``choose_topics`` is a choice that needs no model: it weighs a cluster's keywords by a lexicon.
+``hashed_response`` wraps a choice into well-formed and malformed replies, so that parsing,
+validation, retries and dead letters see every case.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,7 @@ Examples:
 LABEL_MARKER = "### Labels:"
 PROMPT_KEYWORDS = 50
 MAX_RETRY = 5
+MAX_LABELS = 3
 
 D8_SCHEMA = T.StructType([
     T.StructField("cluster_id", T.StringType()),
@@ -90,13 +92,33 @@ def labels_valid(labels: Column) -> Column:
     return (F.size(labels) > 0) & F.forall(labels, lambda x: x.isin(*CATEGORIES))
 
 
-def hashed_response(cluster: Column, attempt: Column, seed: str = "1") -> Column:
-    """Offline stand-in for the model's reply; ``cluster`` is what was asked (a cluster, or it with its keywords)."""
+def choose_topics(keyword_lists: DataFrame, lexicon: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """TL1 without a model: (cluster, choice) from the first 50 keywords and a lexicon of (keyword, label) rows.
+
+    A keyword of rank r gives each of its labels 51 - r points. The choice is the ``max_labels`` labels with the most
+    points, ties in the order of the categories, without those below half of the best; a cluster
+    with no keyword in the lexicon chooses none. Equi-join on the keyword, partial sums by (cluster, label),
+    then at most 41 labels a cluster.
+    """
+    words = keyword_lists.select("cluster", F.posexplode(F.slice("keywords", 1, PROMPT_KEYWORDS)).alias("pos", "keyword"))
+    known = lexicon.where(F.col("label").isin(*CATEGORIES)).select("keyword", "label").distinct()
+    points = words.join(known, "keyword").groupBy("cluster", "label").agg(F.sum(PROMPT_KEYWORDS - F.col("pos")).alias("points"))
+    place = F.array_position(categories_col(), F.col("label"))
+    ranked = points.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("points")).alias("less"), place.alias("place"), "label"))).alias("r"))
+    best = F.element_at("r", 1)["less"]
+    choice = F.transform(F.filter(F.slice("r", 1, max_labels), lambda x: 2 * x["less"] <= best), lambda x: x["label"])
+    return keyword_lists.select("cluster").join(ranked.select("cluster", choice.alias("choice")), "cluster", "left").select(
+        "cluster", F.coalesce("choice", F.array().cast("array<string>")).alias("choice"))
+
+
+def hashed_response(cluster: Column, attempt: Column, seed: str = "1", choice: Column | None = None) -> Column:
+    """Offline stand-in for the model's reply, its form by md5(seed, cluster, attempt); names the labels of ``choice``,
+    or some by the same digest."""
     h = md5_key(seed, cluster, attempt)
     variant = F.pmod(hex_int(h, 1, 1), F.lit(8))
     n = F.pmod(hex_int(h, 2, 1), F.lit(3)) + 1
     picks = F.array(*[F.element_at(categories_col(), (F.pmod(hex_int(h, 3 + 2 * j, 2), F.lit(41)) + 1).cast("int")) for j in range(3)])
-    chosen = F.array_join(F.slice(picks, F.lit(1), n.cast("int")), ", ")
+    chosen = F.array_join(F.slice(picks, F.lit(1), n.cast("int")) if choice is None else choice, ", ")
     m = F.lit(LABEL_MARKER + " ")
     return (
         F.when(variant <= 2, F.concat(m, chosen))
@@ -110,7 +132,7 @@ def hashed_response(cluster: Column, attempt: Column, seed: str = "1") -> Column
 
 def parse_attempts(prompts: DataFrame, responder: Callable[[Column, Column], Column], max_retry: int = MAX_RETRY) -> DataFrame:
     """All tries per cluster: (cluster, attempt, response, labels, is_valid)."""
-    att = prompts.select("cluster", "keywords", F.explode(F.sequence(F.lit(1), F.lit(max_retry))).alias("attempt"))
+    att = prompts.select("*", F.explode(F.sequence(F.lit(1), F.lit(max_retry))).alias("attempt"))
     att = att.withColumn("response", responder(F.col("cluster"), F.col("attempt")))
     att = att.withColumn("labels", parse_labels(F.col("response")))
     return att.withColumn("is_valid", labels_valid(F.col("labels")))
@@ -139,35 +161,36 @@ def classify_clusters(prompts: DataFrame, responder: Callable[[Column, Column],
 def classify_with(prompts: DataFrame, respond: Callable[[str, int], str], max_retry: int = MAX_RETRY) -> DataFrame:
     """TL1 with a user responder (e.g. a model client) called from the executors.
 
-    ``respond(prompt, attempt) -> str``; an exception counts as an invalid try, and tries stop
-    at ``max_retry`` (the unbounded retry on errors is not reproduced).
+    ``respond(prompt, attempt) -> str``; an exception is a reply of null, an invalid try. Each try is one
+    pass over the clusters that are still open, its replies written before they are judged, so no prompt
+    is asked twice; after ``max_retry`` tries the rest are dead letters (the unbounded retry on errors
+    is not reproduced).
     """
-    cats = set(CATEGORIES)
-
-    def run(batches):
-        for pdf in batches:
-            labels, attempts, valid = [], [], []
-            for prompt in pdf["prompt"]:
-                got = None
-                for a in range(1, max_retry + 1):
-                    try:
-                        resp = respond(prompt, a)
-                    except Exception:  # noqa: BLE001 - a failed call is a failed try
-                        continue
-                    labs = [x.strip() for x in resp.split(LABEL_MARKER)[-1].strip().split(",")]
-                    if labs and all(x in cats for x in labs):
-                        got = (labs, a)
-                        break
-                labels.append(got[0] if got else None)
-                attempts.append(got[1] if got else None)
-                valid.append(got is not None)
-            yield pd.DataFrame({
-                "cluster_id": pdf["cluster"].astype(str), "keywords": pdf["keywords"],
-                "labels": labels, "attempt": attempts, "is_valid": valid,
-            })
-
-    schema = "cluster_id string, keywords array<string>, labels array<string>, attempt int, is_valid boolean"
-    return prompts.select("cluster", "keywords", "prompt").mapInPandas(run, schema)
+    from topicweave.sources.io import materialize
+
+    open_rows = prompts.select(F.col("cluster").cast("string").alias("cluster_id"), "keywords", "prompt")
+    fields = open_rows.schema.fields
+    found = None
+    for attempt in range(1, max_retry + 1):
+        def ask(batches, attempt=attempt):
+            for pdf in batches:
+                yield pdf.assign(response=[_reply(respond, prompt, attempt) for prompt in pdf["prompt"]])
+
+        replies = open_rows.mapInPandas(ask, T.StructType([*fields, T.StructField("response", T.StringType())]))
+        judged = materialize(replies, f"replies-{attempt}").withColumn("labels", parse_labels(F.col("response")))
+        judged = judged.withColumn("is_valid", F.coalesce(labels_valid(F.col("labels")), F.lit(False)))
+        good = judged.where("is_valid").select("cluster_id", "keywords", "labels", F.lit(attempt).alias("attempt"), "is_valid")
+        found = good if found is None else found.unionByName(good)
+        open_rows = judged.where("not is_valid").select("cluster_id", "keywords", "prompt")
+    dead = open_rows.select("cluster_id", "keywords", F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("int").alias("attempt"), F.lit(False).alias("is_valid"))
+    return dead if found is None else found.unionByName(dead)
+
+
+def _reply(respond: Callable[[str, int], str], prompt: str, attempt: int) -> str | None:
+    try:
+        return respond(prompt, attempt)
+    except Exception:  # noqa: BLE001 - a failed call is a failed try
+        return None
 
 
 def label_lines(classified: DataFrame, run: int) -> DataFrame:
@@ -212,6 +235,12 @@ def attach_topics(clustered: DataFrame, cluster_labels: DataFrame) -> DataFrame:
     )
 
 
+def commonest_label(vocabulary: DataFrame) -> str | None:
+    """The label of most rows, ties by name; None for an empty vocabulary."""
+    top = vocabulary.orderBy(F.desc("n_rows"), "label").first()
+    return top["label"] if top else None
+
+
 def label_vocabulary(labelled: DataFrame) -> DataFrame:
     """AG6: distinct labels with their row counts."""
     return labelled.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))

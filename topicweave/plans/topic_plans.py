@@ -14,32 +14,32 @@ from topicweave.sources import fixtures as FX
 from topicweave.sources.io import materialize
 
 TOP_N = 100
-NOISE_TOPIC = "Technology"
 STOPS = K.stop_words("english")
 
 
-def _clustered(spark, sf):
-    return FX.clustered_text(FX.table(spark, sf, "documents"))
+def _clustered(spark, sf, n_clusters=FX.FIXTURE_CLUSTERS):
+    return FX.clustered_text(FX.table(spark, sf, "documents"), n_clusters)
 
 
-def _keyword_lists(spark, sf):
+def _keyword_lists(spark, sf, n_clusters=FX.FIXTURE_CLUSTERS):
     """Stage output (one row per cluster), written once to the shared folder like the keyword file."""
-    cl = _clustered(spark, sf)
+    cl = _clustered(spark, sf, n_clusters)
     return materialize(K.keyword_lists(cl, K.top_keywords(K.cluster_tfidf(cl, STOPS), TOP_N)), "keyword-lists")
 
 
-def _clusters(spark, sf):
-    return _clustered(spark, sf).select("cluster").distinct().withColumn("keywords", F.array().cast("array<string>"))
+def _asked(spark, sf, n_clusters=FX.FIXTURE_CLUSTERS):
+    """Prompts with the choice that the lexicon makes from their keywords."""
+    lists = _keyword_lists(spark, sf, n_clusters)
+    return T.topic_prompts(lists).join(T.choose_topics(lists, FX.topic_lexicon(FX.table(spark, sf, "benchmark"))), "cluster")
 
 
 def _responder(seed):
-    """A stand-in reply that depends on the cluster and the keywords of its prompt."""
-    asked = F.array_join(F.slice("keywords", 1, T.PROMPT_KEYWORDS), ",")
-    return lambda c, a: T.hashed_response(F.concat(c.cast("string"), F.lit(","), asked), a, seed)
+    """Replies with the prompt's choice, in a form that changes with the try."""
+    return lambda c, a: T.hashed_response(c, a, seed, F.col("choice"))
 
 
 def _labels_last(spark, sf):
-    prompts = T.topic_prompts(_keyword_lists(spark, sf))
+    prompts = _asked(spark, sf)
     run1 = T.label_lines(T.classify_clusters(prompts, _responder("1")), 1)
     run2 = T.label_lines(T.classify_clusters(prompts, _responder("2")), 2)
     return materialize(T.cluster_labels_last(run1.unionByName(run2)), "cluster-labels")
@@ -83,14 +83,19 @@ def q_keyword_map_roundtrip(spark, sf):
     return clusters.join(kw, "cluster").select("cluster", "rank", "keyword")
 
 
+def q_topic_choice(spark, sf):
+    """TL1 by lexicon: the labels that each cluster's keywords choose."""
+    return _asked(spark, sf, FX.SMALL_CLUSTERS).select("cluster", F.array_join("choice", "|").alias("choice_str"))
+
+
 def q_parse_responses(spark, sf):
-    att = T.parse_attempts(_clusters(spark, sf), _responder("1"))
+    att = T.parse_attempts(_asked(spark, sf), _responder("1"))
     return att.select("cluster", "attempt", F.array_join("labels", "|").alias("labels_str"), F.col("is_valid").cast("int").alias("is_valid"))
 
 
 def q_topic_dead_letters(spark, sf):
-    prompts = T.topic_prompts(_keyword_lists(spark, sf))
-    out = T.classify_clusters(prompts, _responder("1"), max_retry=1)  # one try, so that some clusters fail
+    """Clusters without a valid reply in all five tries: those whose keywords choose no label, and any whose replies were all malformed."""
+    out = T.classify_clusters(_asked(spark, sf, FX.SMALL_CLUSTERS), _responder("1"))
     return out.where(~F.col("is_valid")).select("cluster_id", F.size("keywords").alias("n_keywords"))
 
 
@@ -107,7 +112,8 @@ def q_label_vocabulary(spark, sf):
 
 
 def q_noise_shuffle(spark, sf):
-    out = NZ.inject_noise(_labelled(spark, sf), NOISE_TOPIC)
+    labelled = _labelled(spark, sf)
+    out = NZ.inject_noise(labelled, T.commonest_label(T.label_vocabulary(labelled)))
     return out.select("doc_id", F.col("noised").cast("int").alias("noised"), "text")
 
 
@@ -137,6 +143,7 @@ QUERIES = {
     "keyword_lists": q_keyword_lists,
     "topic_prompts": q_topic_prompts,
     "keyword_map_roundtrip": q_keyword_map_roundtrip,
+    "topic_choice": q_topic_choice,
     "parse_responses": q_parse_responses,
     "topic_dead_letters": q_topic_dead_letters,
     "cluster_labels_last": q_cluster_labels_last,
@@ -163,7 +170,8 @@ _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
 _CONTENTS = f"""array_to_string(list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '),
                                 lambda w: w <> '' AND NOT list_contains({_STOPS}, w)), ' ')"""
 
-_KW = f"""WITH {Q.clustered_cte()},
+def _kw(n_clusters: int) -> str:
+    return f"""WITH {Q.clustered_cte(n_clusters)},
 docs AS (SELECT cluster, doc_id, {_CONTENTS} AS contents FROM clustered),
 d2 AS (SELECT * FROM docs WHERE regexp_matches(contents, '[^ ]')),
 nd AS (SELECT cluster, COUNT(*) AS n_docs FROM d2 GROUP BY cluster),
@@ -179,15 +187,27 @@ top AS (SELECT cluster, rank, term AS keyword, score FROM rk WHERE rank <= {TOP_
 kl AS (SELECT c.cluster, coalesce(list(t.keyword ORDER BY t.rank) FILTER (WHERE t.keyword IS NOT NULL), CAST([] AS VARCHAR[])) AS keywords
        FROM (SELECT DISTINCT cluster FROM clustered) c LEFT JOIN top t ON t.cluster = c.cluster GROUP BY c.cluster)"""
 
+
+_KW = _kw(FX.FIXTURE_CLUSTERS)
+
 _HEAD, _REST = T.PROMPT_TEMPLATE.split("{keywords}")
 _MID, _TAIL = _REST.split("{labels}")
 _PROMPT = f"({_lit(_HEAD)} || array_to_string(keywords[1:{T.PROMPT_KEYWORDS}], ', ') || {_lit(_MID + ', '.join(T.CATEGORIES) + _TAIL)})"
 
 
+def _asked_sql(n_clusters: int) -> str:
+    return _kw(n_clusters) + f""",
+lex AS (SELECT DISTINCT w AS keyword, {Q.hexint('md5(w)', 2, 4)} % {len(T.CATEGORIES)} + 1 AS place
+        FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM benchmark) WHERE md5(w) < '1'),
+pt AS (SELECT cluster, place, SUM({T.PROMPT_KEYWORDS + 1} - rank) AS points FROM top JOIN lex USING (keyword) WHERE rank <= {T.PROMPT_KEYWORDS} GROUP BY ALL),
+po AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY points DESC, place) AS r, MAX(points) OVER (PARTITION BY cluster) AS best FROM pt),
+ch AS (SELECT cluster, list({_CATS}[place] ORDER BY r) AS choice FROM po WHERE r <= {T.MAX_LABELS} AND 2 * points >= best GROUP BY cluster),
+asked AS (SELECT kl.cluster, kl.keywords, coalesce(ch.choice, CAST([] AS VARCHAR[])) AS choice FROM kl LEFT JOIN ch ON ch.cluster = kl.cluster)"""
+
+
 def _response(seed: str) -> str:
-    h = f"md5(concat_ws(':', '{seed}', cluster || ',' || array_to_string(keywords[1:{T.PROMPT_KEYWORDS}], ','), attempt))"
-    picks = ", ".join(f"{_CATS}[({Q.hexint(h, 3 + 2 * j, 2)} % 41) + 1]" for j in range(3))
-    chosen = f"array_to_string(([{picks}])[1:({Q.hexint(h, 2, 1)} % 3) + 1], ', ')"
+    h = f"md5(concat_ws(':', '{seed}', cluster, attempt))"
+    chosen = "array_to_string(choice, ', ')"
     v = f"({Q.hexint(h, 1, 1)} % 8)"
     return f"""(CASE WHEN {v} <= 2 THEN '### Labels: ' || {chosen}
       WHEN {v} = 3 THEN '### Labels: ' || lower({chosen})
@@ -208,12 +228,12 @@ def _valid(labels: str) -> str:
 def _classified(seed: str) -> str:
     return f"""att_{seed} AS (
   SELECT cluster, keywords, attempt, {_parsed(_response(seed))} AS labels
-  FROM kl, (SELECT unnest(range(1, {T.MAX_RETRY + 1})) AS attempt) a),
+  FROM asked, (SELECT unnest(range(1, {T.MAX_RETRY + 1})) AS attempt) a),
 ok_{seed} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY attempt) AS r FROM att_{seed} WHERE {_valid('labels')}),
 cls_{seed} AS (SELECT kl.cluster, kl.keywords, o.labels, o.attempt FROM kl LEFT JOIN ok_{seed} o ON o.cluster = kl.cluster AND o.r = 1)"""
 
 
-_LAST = _KW + ",\n" + _classified("1") + ",\n" + _classified("2") + f""",
+_LAST = _asked_sql(FX.FIXTURE_CLUSTERS) + ",\n" + _classified("1") + ",\n" + _classified("2") + f""",
 lines AS (SELECT 1 AS run, cluster, labels FROM cls_1 WHERE labels IS NOT NULL
           UNION ALL SELECT 2 AS run, cluster, labels FROM cls_2 WHERE labels IS NOT NULL),
 last AS (SELECT cluster, labels FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY run DESC) AS r FROM lines) WHERE r = 1),
@@ -233,22 +253,23 @@ ORACLE = {
     "keyword_lists": _KW + "\nSELECT cluster, CAST(len(keywords) AS INTEGER) AS n_keywords, CAST(to_json(keywords) AS VARCHAR) AS keywords_json FROM kl",
     "topic_prompts": _KW + f"\nSELECT cluster, {_PROMPT} AS prompt FROM kl",
     "keyword_map_roundtrip": _KW + "\nSELECT cluster, CAST(rank AS INTEGER) AS rank, keyword FROM top",
-    "parse_responses": f"""WITH {Q.clustered_cte()},
-att AS (SELECT cluster, attempt, {_parsed(_response('1'))} AS labels
-        FROM (SELECT DISTINCT cluster, CAST([] AS VARCHAR[]) AS keywords FROM clustered), (SELECT unnest(range(1, {T.MAX_RETRY + 1})) AS attempt))
-SELECT cluster, CAST(attempt AS INTEGER) AS attempt, array_to_string(labels, '|') AS labels_str, CAST({_valid('labels')} AS INTEGER) AS is_valid FROM att""",
-    "topic_dead_letters": _KW + ",\n" + _classified("1") + f"""
-SELECT CAST(cluster AS VARCHAR) AS cluster_id, CAST(len(keywords) AS INTEGER) AS n_keywords FROM att_1 WHERE attempt = 1 AND NOT {_valid('labels')}""",
+    "topic_choice": _asked_sql(FX.SMALL_CLUSTERS) + "\nSELECT cluster, array_to_string(choice, '|') AS choice_str FROM asked",
+    "parse_responses": _asked_sql(FX.FIXTURE_CLUSTERS) + ",\n" + _classified("1") + f"""
+SELECT cluster, CAST(attempt AS INTEGER) AS attempt, array_to_string(labels, '|') AS labels_str, CAST({_valid('labels')} AS INTEGER) AS is_valid FROM att_1""",
+    "topic_dead_letters": _asked_sql(FX.SMALL_CLUSTERS) + ",\n" + _classified("1") + """
+SELECT CAST(cluster AS VARCHAR) AS cluster_id, CAST(len(keywords) AS INTEGER) AS n_keywords FROM cls_1 WHERE labels IS NULL""",
     "cluster_labels_last": _LAST + "\nSELECT cluster, array_to_string(labels, '|') AS labels_str FROM lab",
     "attach_topics": _LAST + "\nSELECT doc_id, cluster, array_to_string(labels, '|') AS labels_str FROM labelled",
     "label_vocabulary": _LAST + "\nSELECT label, COUNT(*) AS n_rows FROM (SELECT unnest(labels) AS label FROM labelled) GROUP BY label",
-    "noise_shuffle": _LAST + f"""
-SELECT doc_id, CAST(list_contains(labels, '{NOISE_TOPIC}') AS INTEGER) AS noised,
-       CASE WHEN list_contains(labels, '{NOISE_TOPIC}') THEN
+    "noise_shuffle": _LAST + f""",
+topic AS (SELECT label FROM (SELECT unnest(labels) AS label FROM labelled) GROUP BY label ORDER BY COUNT(*) DESC, label LIMIT 1),
+hit AS (SELECT *, coalesce(list_contains(labels, (SELECT label FROM topic)), false) AS noised FROM labelled)
+SELECT doc_id, CAST(noised AS INTEGER) AS noised,
+       CASE WHEN noised AND text <> '' THEN
          array_to_string(list_transform(list_sort(list_transform(string_split(text, ''),
-             lambda ch, i: {{'k': md5(concat_ws(':', 'noise', doc_id, i - 1)), 'c': ch}})), lambda s: s.c), '')
+             lambda ch, i: {{'k': substring(md5(concat_ws(':', 'noise', doc_id, (i - 1) // {NZ.PER_DIGEST})), CAST((i - 1) % {NZ.PER_DIGEST} * {NZ.DIGITS} + 1 AS INTEGER), {NZ.DIGITS}), 'i': i, 'c': ch}})), lambda s: s.c), '')
        ELSE text END AS text
-FROM labelled""",
+FROM hit""",
     "kmeans_assign": "WITH " + _VEC + """
 SELECT a.vec_id, e.label, CAST(a.cluster AS INTEGER) AS cluster, round(a.distance + 3.1e-12, 9) AS distance
 FROM asg a JOIN embeddings e ON e.vec_id = a.vec_id""",

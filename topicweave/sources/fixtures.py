@@ -13,11 +13,13 @@ from topicweave.functions.hashing import hex_int, hex_uniform, md5_key
 from topicweave.functions.tokens import token_pieces
 from topicweave.operators.sampling import SOURCES
 from topicweave.operators.sequences import hashed_id
+from topicweave.operators.topics import CATEGORIES, categories_col
 
 FIXTURE_CHUNK_LEN = 64
 FIXTURE_RATIOS = "books:0.4,code:0.3,ref:0.2,web:0.1"
 FIXTURE_TARGETS = (12, 25, 50, 75)  # percent of the corpus's tokens
 FIXTURE_CLUSTERS = 10
+SMALL_CLUSTERS = 200          # of a few documents: some have no keyword in the lexicon
 LOSS_STEP_SIZE = 32          # samples per step
 LOSS_ADJUST_EVERY = 10       # steps per reweighting window
 LOSS_SWITCH_AFTER = 200      # stage 1 after this step
@@ -44,6 +46,13 @@ def clustered_text(documents: DataFrame, n_clusters: int = FIXTURE_CLUSTERS) ->
     return documents.select("doc_id", "text", F.pmod("doc_id", F.lit(n_clusters)).cast("int").alias("cluster"))
 
 
+def topic_lexicon(benchmark: DataFrame) -> DataFrame:
+    """(keyword, label): the words of the benchmark whose md5 starts with 0, each under a category by its md5."""
+    words = benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("keyword")).distinct()
+    h = F.md5("keyword")
+    return words.where(h < "1").select("keyword", F.element_at(categories_col(), (F.pmod(hex_int(h, 2, 4), F.lit(len(CATEGORIES))) + 1).cast("int")).alias("label"))
+
+
 def loss_log(events: DataFrame) -> DataFrame:
     """D14: (step, sample_id, labels, loss) from events.
 
