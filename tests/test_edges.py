@@ -59,13 +59,15 @@ def test_valid_plus_dead_letters_is_all_clusters(spark, sf_small):
 def test_stream_equals_batch(spark, sf_small):
     log = FX.loss_log(FX.table(spark, sf_small, "events"))
     src = LS.scratch(spark, "t-feed")
-    LS.write_in_order(log, src, "step", 3)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    files = LS.write_in_order(log, src, "step", 3)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{src}/*")
     out = LS.scratch(spark, "t-weights")
     vocab = FX.loss_vocabulary(log)
-    LS.run_weight_stream(stream, vocab, out, out + "-ckpt", 5, 20).awaitTermination()
-    got = {(r["label"], r["window_id"]): r["weight"] for r in spark.read.parquet(out).collect()}
+    windows = LS.Windows(out, 5, vocab=vocab, switch_after=20)
+    LS.run_windows(stream, windows, out + "-ckpt").awaitTermination()
+    windows.flush(spark)
+    got = {(r["label"], r["window_id"]): r["weight"] for r in LS.read_stream_table(spark, out, "weights").collect()}
     want = {(r["label"], r["window_id"]): r["weight"] for r in R.topic_weights(log, vocab, 5, 20).collect()}
-    assert set(got) == set(want)
+    assert set(got) == set(want) and LS.read_stream_table(spark, out, "late").count() == 0
     for k, v in want.items():
         assert math.isclose(got[k], v, rel_tol=1e-12), k

@@ -22,7 +22,7 @@ def test_keys_line_up():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert own_keys() == set(all_queries()) and set(q) >= own_keys()
-    assert len(own_keys()) == 66
+    assert len(own_keys()) == 67
 
 
 def own_keys():
@@ -36,7 +36,7 @@ def own_keys():
     perplexity_by_subset prediction_table rank_local_weights regression_metrics resume_weights
     running_accuracy sample_by_budget sample_nested_targets sampling_quota_carry sentence_pair_columns
     sentence_permute shard_assign shift_right source_token_totals span_infill split_union step_from_microbatch task_metrics
-    stream_attach_topics stream_topic_loss stream_weights token_recount token_sequences topic_dead_letters
+    stream_attach_topics stream_late_rows stream_topic_loss stream_weights token_recount token_sequences topic_dead_letters
     topic_choice topic_loss_window topic_prompts topic_weights train_log weighted_batch_loss
     """.split())
 

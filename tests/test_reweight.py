@@ -121,12 +121,61 @@ def test_stream_folds_windows_without_labels(spark, tmp_path):
     log = spark.createDataFrame(rows, "step long, sample_id long, labels array<string>, loss double")
     vocab = spark.createDataFrame([("a",), ("b",)], "label string")
     src, out = str(tmp_path / "feed"), str(tmp_path / "weights")
-    LS.write_in_order(log, src, "step", 5)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    assert LS.write_in_order(log, src, "step", 5) == 1
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
     LS.run_weight_stream(stream, vocab, out, out + "-ckpt", 4, 8).awaitTermination()
     keys = ["label", "window_id", "stage", "sample_count", "loss_avg", "global_avg", "loss_ema", "weight"]
-    got = sorted(tuple(r) for r in spark.read.parquet(out).select(*keys).collect())
+    got = sorted(tuple(r) for r in LS.read_stream_table(spark, out, "weights").select(*keys).collect())
     want = sorted(tuple(r) for r in R.topic_weights(log, vocab, 4, 8).select(*keys).collect())
     assert [w[:2] for w in want] == [(x, w) for x in "ab" for w in (1, 2, 3, 4)]
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(abs(x - y) < 1e-12 for g, w in zip(got, want) for x, y in zip(g[2:], w[2:]))
+
+
+def _stream_batches(spark, out, batches, vocab, every, switch, delay=0):
+    from topicweave.streaming import loss_stream as LS
+
+    windows = LS.Windows(out, every, delay, vocab, switch)
+    for epoch, rows in enumerate(batches):
+        windows.on_batch(spark.createDataFrame(rows, "step long, sample_id long, labels array<string>, loss double"), epoch)
+    return windows, lambda table: LS.read_stream_table(spark, out, table)
+
+
+def test_zero_mean_windows_carry_over_epochs_and_a_replayed_batch_changes_nothing(spark, tmp_path):
+    rows = [(s, s, ["a"] if s % 3 else ["a", "b"], 0.0 if s <= 8 or 13 <= s <= 16 else float(s % 5 + 1)) for s in range(1, 25)]
+    vocab = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    batches = [[r for r in rows if lo < r[0] <= lo + 3] for lo in range(0, 24, 3)]
+    windows, read = _stream_batches(spark, str(tmp_path / "w"), batches, vocab, 4, 8)
+    again = spark.createDataFrame(batches[-1], "step long, sample_id long, labels array<string>, loss double")
+    windows.on_batch(again, len(batches) - 1)  # the last batch once more, as after a failure
+    keys = ["label", "window_id", "stage", "sample_count", "loss_avg", "global_avg", "loss_ema", "weight"]
+    log = spark.createDataFrame(rows, again.schema)
+    want = sorted(tuple(r) for r in R.topic_weights(log, vocab, 4, 8).select(*keys).collect())
+    assert sorted(tuple(r) for r in read("weights").select(*keys).collect()) == [w for w in want if w[1] < 6]  # nothing beyond step 24 seen
+    windows.flush(spark)
+    assert sorted(tuple(r) for r in read("weights").select(*keys).collect()) == want
+    assert any(w[3] > 4 for w in want)  # carried counts
+
+
+def test_late_rows_go_to_the_side_and_a_delay_lets_them_in(spark, tmp_path):
+    rows = [(s, s, ["a"], float(s)) for s in range(1, 13)]
+    batches = [rows[:3] + rows[5:9], rows[3:5], rows[9:]]  # steps 4 and 5 come after step 9
+    vocab = spark.createDataFrame([("a",)], "label string")
+    windows, read = _stream_batches(spark, str(tmp_path / "strict"), batches, vocab, 4, 100)
+    windows.flush(spark)
+    assert {(r.step, r.window_id) for r in read("late").collect()} == {(4, 1), (5, 2)}
+    assert {r.window_id: r.loss_sum for r in read("closed").collect()} == {1: 6.0, 2: 21.0, 3: 42.0}
+    windows, read = _stream_batches(spark, str(tmp_path / "patient"), batches, vocab, 4, 100, delay=5)
+    windows.flush(spark)
+    assert read("late").count() == 0
+    assert {r.window_id: r.loss_sum for r in read("closed").collect()} == {1: 10.0, 2: 26.0, 3: 42.0}
+
+
+def test_a_feed_that_goes_on_after_a_flush(spark, tmp_path):
+    rows = [(s, s, ["a"], float(s)) for s in range(1, 9)]
+    vocab = spark.createDataFrame([("a",)], "label string")
+    windows, read = _stream_batches(spark, str(tmp_path / "w"), [rows[:4]], vocab, 4, 100)
+    windows.flush(spark)
+    assert {r.window_id for r in read("closed").collect()} == {1}
+    windows.on_batch(spark.createDataFrame([(4, 99, ["a"], 0.5), *rows[4:]], "step long, sample_id long, labels array<string>, loss double"), 1)
+    assert {r.window_id: r.loss_sum for r in read("closed").collect()} == {1: 10.5}

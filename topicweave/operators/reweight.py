@@ -111,8 +111,13 @@ def stats_from_aggregates(
     switch_after: int,
     eval_every: int | None = None,
     group_cols: Sequence[str] = (),
+    carry: DataFrame | None = None,
 ) -> DataFrame:
-    """Window stats from a (group, window, label) grid and the per-label sums/counts (batch or stream)."""
+    """Window stats from a (group, window, label) grid and the per-label sums/counts (batch or stream).
+
+    ``carry`` (group..., label, carried_sum, carried_count) holds what windows before the grid's first one left
+    unadjusted because their global mean was 0; the result then has the same two columns, as they are after each window.
+    """
     eval_every = eval_every or every
     keys = [*group_cols, "window_id", "label"]
     s = grid.join(agg, keys, "left").select(
@@ -129,14 +134,21 @@ def stats_from_aggregates(
     s = s.withColumn("_seg", F.coalesce(F.sum(closes).over(per_label.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     seg = Window.partitionBy(*group_cols, "label", "_seg").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_sum", F.sum("loss_sum").over(seg)).withColumn("_cnt", F.sum("sample_count").over(seg).cast("long"))
+    if carry is not None:
+        first = F.col("_seg") == 0  # the segment that windows before the grid may have begun
+        s = s.join(carry.select(*group_cols, "label", F.col("carried_sum").alias("_cs"), F.col("carried_count").alias("_cc")), [*group_cols, "label"], "left")
+        s = s.withColumn("_sum", F.col("_sum") + F.when(first, F.coalesce("_cs", F.lit(0.0))).otherwise(F.lit(0.0)))
+        s = s.withColumn("_cnt", F.col("_cnt") + F.when(first, F.coalesce("_cc", F.lit(0))).otherwise(F.lit(0)).cast("long"))
     s = s.withColumn("loss_avg", F.when(F.col("_cnt") > 0, F.col("_sum") / F.col("_cnt")).otherwise(F.lit(0.0)))
     present = F.when(F.col("_cnt") > 0, F.col("loss_avg"))
     s = s.withColumn("global_avg", F.coalesce(F.avg(present).over(per_window), F.lit(0.0)))
     s = s.withColumn("n_labels", F.count(present).over(per_window))
     stage = F.when(F.col("window_id") * every >= first_stage1_step(switch_after, eval_every), 1).otherwise(0)
+    kept = lambda c, zero: F.when(F.col("_g_raw") == 0, F.col(c)).otherwise(F.lit(zero))
+    left = [] if carry is None else [kept("_sum", 0.0).alias("carried_sum"), kept("_cnt", 0).cast("long").alias("carried_count")]
     return s.select(
         *group_cols, "label", "window_id", F.col("_cnt").alias("sample_count"), "loss_avg", "global_avg",
-        "n_labels", stage.cast("int").alias("stage"),
+        "n_labels", stage.cast("int").alias("stage"), *left,
     )
 
 

@@ -23,6 +23,8 @@ SMALL_CLUSTERS = 200          # of a few documents: some have no keyword in the
 LOSS_STEP_SIZE = 32          # samples per step
 LOSS_ADJUST_EVERY = 10       # steps per reweighting window
 LOSS_SWITCH_AFTER = 200      # stage 1 after this step
+ZERO_WINDOW = 3              # a window of zero losses in the hard log
+LATE_EVERY = 97              # every so many samples of the hard log's first half come late
 MICRO_BATCH = 8              # samples per micro-batch
 GRAD_ACCUM = 4               # micro-batches per optimiser step
 PAIR_WINDOW = 1024            # tokens of a pair's input
@@ -73,6 +75,18 @@ def loss_log(events: DataFrame) -> DataFrame:
     )
 
 
+def hard_loss_log(events: DataFrame, every: int) -> DataFrame:
+    """D14 as a feed with its difficult cases: the last window is full, all losses of window ``ZERO_WINDOW`` are 0, and every
+    97th sample of the first half of the windows arrives at the very end. Adds ``arrival``, the order of the feed."""
+    log = loss_log(events)
+    windows = log.agg(F.floor(F.max("step") / F.lit(float(every))).cast("long")).scalar()
+    window = F.ceil(F.col("step") / F.lit(float(every))).cast("long")
+    late = (F.pmod("sample_id", F.lit(LATE_EVERY)) == 0) & (2 * window <= windows)
+    return log.where(F.col("step") <= windows * every).select(
+        "step", "sample_id", "labels", F.when(window == ZERO_WINDOW, F.lit(0.0)).otherwise(F.col("loss")).alias("loss"),
+        F.when(late, windows * every).otherwise(F.col("step")).cast("long").alias("arrival"))
+
+
 def loss_vocabulary(log: DataFrame) -> DataFrame:
     """D12 for the loss log: distinct labels plus 'never' (a label no window sees)."""
     seen = log.select(F.explode("labels").alias("label"))
