@@ -8,7 +8,7 @@ from topicweave.functions.numeric import rounded
 from topicweave.operators import reweight as R
 from topicweave.plans import sql as Q
 from topicweave.sources import fixtures as FX
-from topicweave.sources.io import materialize
+from topicweave.sources.io import materialize, read_state, scratch_path, write_state
 
 N = FX.LOSS_ADJUST_EVERY
 SWITCH = FX.LOSS_SWITCH_AFTER
@@ -60,13 +60,23 @@ def q_topic_weights(spark, sf):
 
 
 def q_resume_weights(spark, sf):
-    """Fold to window RESUME_AT, keep the snapshot as state, continue from it: same table as the full fold."""
+    """WT12: fold to window RESUME_AT and store the state (weights, EMAs, stage, counts, carried sums, global EMA); a second
+    run reads the newest committed version and goes on from it: same table as the full fold."""
     log = _log(spark, sf)
-    st = R.window_stats(log, FX.loss_vocabulary(log), N, SWITCH)
-    first = R.fold_weights(st.where(F.col("window_id") <= RESUME_AT))
-    state = first.where(F.col("window_id") == RESUME_AT).select("label", "weight", "loss_ema")
-    rest = R.fold_weights(st.where(F.col("window_id") > RESUME_AT), state=state)
-    return _weights_out(first.unionByName(rest))
+    vocab = FX.loss_vocabulary(log)
+    grid, agg = R.window_grid(log, vocab, N), materialize(R.topic_loss_window(log, N), "label-sums")
+    none = spark.createDataFrame([], "label string, carried_sum double, carried_count long")
+    path = scratch_path(spark, "weight-state")
+    before = R.stats_from_aggregates(grid.where(F.col("window_id") <= RESUME_AT), agg, N, SWITCH, carry=none)
+    first = R.fold_weights(before)
+    carried = before.select("label", "window_id", "carried_sum", "carried_count")
+    write_state(first.join(R.global_ema(before), "window_id").join(carried, ["label", "window_id"]), path)
+
+    state = read_state(spark, path)
+    after = R.stats_from_aggregates(grid.where(F.col("window_id") > state.agg(F.max("window_id")).scalar()), agg, N, SWITCH, carry=state)
+    rest = R.fold_weights(after, state=state)
+    stored = spark.read.parquet(path).withColumn("window_id", F.col("window_id").cast("long")).select(first.columns)
+    return _weights_out(stored.unionByName(rest))
 
 
 def q_rank_local_weights(spark, sf):

@@ -150,21 +150,26 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_state(weights: DataFrame, path: str) -> None:
-    """SK9: the topic-state snapshot (weights, EMAs, stage, counts) keyed by window.
+    """SK9: the topic-state snapshot (weights, EMAs, stage, counts, carried sums) keyed by window.
 
-    A window that is written again, by a job that was run again, replaces its own rows.
+    A window that is written again, by a job that was run again, replaces its own rows. A snapshot counts only once
+    its ``_versions`` entry is there, which is written last: a job that dies in between leaves the one before.
     """
     weights.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_id").parquet(path)
+    done = weights.sparkSession.read.parquet(path).agg(F.max(F.col("window_id").cast("long")).alias("version"))
+    done.where("version is not null").write.mode("append").json(f"{path.rstrip('/')}/_versions")
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame | None:
-    """SC10: the latest state per label with all its columns (None when nothing was stored yet)."""
+    """SC10: the state of the newest committed version, one row per label with all its columns (None when nothing was
+    committed yet). Labels without rows in that window come from the newest window that has them."""
     try:
-        s = spark.read.parquet(path)
+        version = spark.read.schema("version long").json(f"{path.rstrip('/')}/_versions").agg(F.max("version")).first()[0]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    s = spark.read.parquet(path).where(F.col("window_id").cast("long") <= version)
     rest = [c for c in s.columns if c not in ("label", "window_id")]
     last = s.groupBy("label").agg(F.max(F.struct(F.col("window_id").cast("long").alias("window_id"), *rest)).alias("s"))
     return last.select("label", "s.*")
