@@ -79,7 +79,8 @@ def q_sentence_permute(spark, sf):
 
 def q_span_infill(spark, sf):
     t = SQ.span_infill(_sentence_rows(spark, sf), key=ROW)
-    return t.select(*ROW, F.size(F.filter("infill_labels", lambda x: x != SQ.IGNORE)).alias("n_masked"),
+    return t.select(*ROW, _j("infill_input_ids").alias("ids_str"), _j("infill_labels").alias("labels_str"),
+                    F.size(F.filter("infill_labels", lambda x: x != SQ.IGNORE)).alias("n_masked"),
                     F.size(F.filter("infill_input_ids", lambda x: x == SQ.MASK)).alias("n_spans"))
 
 
@@ -235,6 +236,19 @@ e5 AS (SELECT *, CASE WHEN ns > 0 THEN list_concat(
           CASE WHEN {W} > ends[ns] THEN ids[ends[ns] + 1 : {W}] ELSE [] END)
         ELSE ids END AS permuted FROM e4)
 SELECT doc_id, chunk_no, array_to_string(permuted, ',') AS ids_str FROM e5""",
+    "span_infill": "WITH " + _SENTROWS + f""",
+pl AS (SELECT doc_id, chunk_no, unnest(range(0, {W})) AS i, unnest(input_ids) AS x FROM srows),
+ordinary AS (SELECT doc_id, chunk_no, i, x, md5(concat_ws(':', 'infill', doc_id, chunk_no, i)) AS h FROM pl WHERE x NOT IN ({SQ.PAD}, {SQ.SEP})),
+drawn AS (SELECT *, len(list_filter([{', '.join(f'{c:.17e}' for c in SQ.poisson_steps(3.0))}], lambda c: c <= {_u('h', 1)})) AS n,
+                 CAST(ceil(COUNT(*) OVER (PARTITION BY doc_id, chunk_no) * 0.3::DOUBLE) AS BIGINT) AS budget FROM ordinary),
+taken AS (SELECT *, least(n, budget - coalesce(SUM(n) OVER (PARTITION BY doc_id, chunk_no ORDER BY h, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS take FROM drawn),
+cover AS (SELECT DISTINCT doc_id, chunk_no, unnest(range(i, i + CAST(take AS BIGINT))) AS i FROM taken WHERE take > 0),
+marked AS (SELECT p.doc_id, p.chunk_no, p.i, p.x, c.i IS NOT NULL AND p.x NOT IN ({SQ.PAD}, {SQ.SEP}) AS hidden FROM pl p LEFT JOIN cover c ON c.doc_id = p.doc_id AND c.chunk_no = p.chunk_no AND c.i = p.i),
+seen AS (SELECT *, coalesce(lag(hidden) OVER (PARTITION BY doc_id, chunk_no ORDER BY i), false) AS before FROM marked),
+made AS (SELECT doc_id, chunk_no, list(CASE WHEN hidden THEN {SQ.MASK} ELSE x END ORDER BY i) FILTER (WHERE NOT (hidden AND before)) AS inputs,
+                list(CASE WHEN hidden THEN x ELSE -100 END ORDER BY i) AS labels FROM seen GROUP BY ALL)
+SELECT doc_id, chunk_no, array_to_string(list_concat(inputs, {_zeros(f'{W} - len(inputs)')}), ',') AS ids_str, array_to_string(labels, ',') AS labels_str,
+       CAST(len(list_filter(labels, lambda v: v <> -100)) AS INTEGER) AS n_masked, CAST(len(list_filter(inputs, lambda v: v = {SQ.MASK})) AS INTEGER) AS n_spans FROM made""",
     "dynamic_pad": "WITH " + _IDROWS + f""",
 pl AS (SELECT *, CAST(floor(doc_id / 16) AS BIGINT) AS batch_id,
               CAST(ceil(MAX(len(ids)) OVER (PARTITION BY CAST(floor(doc_id / 16) AS BIGINT), chunk_no) / 8.0) * 8 AS INTEGER) AS padded_len FROM ir)
