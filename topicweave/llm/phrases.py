@@ -42,13 +42,13 @@ from pyspark.sql import functions as F
 from topicweave.llm import textbytes as tb
 from topicweave.llm.tables import shared_path, written
 
-SHARDS = 3
+SHARDS = 2
 LONGEST = 4
 LEAST = 30
 TOP = 2000
 LONG_WORD = 255  # bytes; the words beyond are hashed one by one
 SECOND = 0xD1342543DE82EF95
-HELD = 1 << 21  # occurrences gathered in a task before they are counted and handed on
+HELD = 1 << 20  # occurrences gathered in a task before they are counted and handed on
 LEAST_BITS, MOST_BITS = 16, 27  # a bitmap has 2**16 to 2**27 bits (16 MB), 32 or more for each phrase while that fits
 SALTS = 8  # parts of a phrase are looked up in so many copies of the small table of phrases
 KEYS = [f"h{i}" for i in range(1, LONGEST + 1)]
