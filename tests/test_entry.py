@@ -22,7 +22,7 @@ def test_keys_line_up():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert own_keys() == set(all_queries()) and set(q) >= own_keys()
-    assert len(own_keys()) == 67
+    assert len(own_keys()) == 68
 
 
 def own_keys():
@@ -30,7 +30,7 @@ def own_keys():
     return set("""
     attach_topics batch_plan blank_filter chunk_tokens class_agreement class_prediction_table classification_metrics cluster_keywords
     cluster_labels_last data_checks dynamic_pad first_n_rows global_loss_window hashing_embed keyword_lists
-    keyword_map_roundtrip keyword_normalise kmeans_assign kmeans_fit kmeans_lloyd_step label_ids
+    keyword_map_roundtrip keyword_normalise kmeans_assign kmeans_fit kmeans_lloyd_step kmeans_minibatch label_ids
     label_vocabulary loss_decrease_rate loss_ema mcq_metrics mcq_prompts missing_shards mlm_mask noise_shuffle
     pair_choice_accuracy pair_inputs pair_sequences parse_ratio_spec parse_responses peek_rows per_sample_loss
     perplexity_by_subset prediction_table rank_local_weights regression_metrics resume_weights

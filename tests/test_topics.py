@@ -222,3 +222,61 @@ def test_noise_reaches_rows_at_every_scale(spark, sf):
 
     out = TP.q_noise_shuffle(spark, f"/root/testdata/{sf}")
     assert out.where("noised = 1").count() > 0
+
+
+def _minibatch_model(vectors, k, share, steps):
+    """Mini-batch k-means in plain Python, with the same draws."""
+    h = lambda *x: hashlib.md5(":".join(map(str, ("kmeans", *x))).encode()).hexdigest()
+    order = sorted(vectors, key=lambda i: (h(i), i))[:k]
+    cents, seen = [list(vectors[i]) for i in order], [0] * k
+    for t in range(1, steps + 1):
+        batch = [i for i in vectors if share >= 1 or int(h(t, i)[:8], 16) < math.ceil(share * 16**8)]
+        near = {i: min(range(k), key=lambda c: (sum((a - b) ** 2 for a, b in zip(vectors[i], cents[c])), c)) for i in batch}
+        for c in range(k):
+            mine = [vectors[i] for i in batch if near[i] == c]
+            if mine:
+                total = [sum(x) for x in zip(*mine)]
+                cents[c] = [(v * seen[c] + s) / (seen[c] + len(mine)) for v, s in zip(cents[c], total)]
+                seen[c] += len(mine)
+    return cents, seen
+
+
+@pytest.mark.parametrize("batch_size", [40, 1000])
+def test_minibatch_kmeans_equals_plain_python(spark, batch_size):
+    rng = random.Random(5)
+    vectors = {i: [rng.gauss(i % 3 * 4, 1), rng.gauss(0, 1)] for i in range(120)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    got = {r.cluster: (r.n, r.centroid) for r in C.fit_minibatch(df, 4, batch_size, 3).collect()}
+    cents, seen = _minibatch_model(vectors, 4, min(1.0, batch_size / 120), 3)
+    assert {c: n for c, (n, _) in got.items()} == dict(enumerate(seen))
+    assert all(abs(a - b) < 1e-9 for c in got for a, b in zip(got[c][1], cents[c]))
+    still = C.fit_minibatch(df, 4, batch_size, 50, tolerance=1e9)  # stops after the first batch
+    assert sum(r.n for r in still.collect()) == sum(_minibatch_model(vectors, 4, min(1.0, batch_size / 120), 1)[1])
+
+
+def test_embed_with_a_users_encoder(spark):
+    def load():
+        calls = []
+
+        def encode(texts):
+            assert len(texts) <= 3
+            calls.append(len(texts))
+            return [[float(len(t)), float(len(calls))] for t in texts]
+
+        return encode
+
+    df = spark.createDataFrame([(i, "ab " * i, "x") for i in range(10)] + [(20, None, "x"), (21, " \n", "x")], "doc_id int, text string, embedding_model string").coalesce(1)
+    got = C.embed_texts(df, load, batch_size=3).collect()
+    assert {r.doc_id: r.embedding[0] for r in got} == {i: 3.0 * i for i in range(1, 10)}  # blank texts are dropped
+    assert sorted(r.embedding[1] for r in got) == sorted(float(k) for k in (1, 2, 3) for _ in range(3))  # loaded once, batches of 3
+    cut = C.embed_texts(df, load, batch_size=3, max_pieces=2).collect()
+    assert max(r.embedding[0] for r in cut) == 5.0
+
+
+def test_hashing_embed_equals_plain_python(spark):
+    texts = ["The cat, the CAT!", "", None, "éa b2_ b2_ b2_", "..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in C.hashing_embed(df, 16).collect():
+        counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in re.findall(r"\w+", (r.text or "").lower()))
+        norm = math.sqrt(sum(v * v for v in counts.values())) or 1.0
+        assert r.embedding == pytest.approx([counts[j] / norm for j in range(16)])

@@ -8,12 +8,19 @@ far. No cross join of rows with centroids is ever materialised.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicweave.functions.hashing import hex_int, md5_key
+from topicweave.functions.text import is_non_blank, normalise_words, words
+from topicweave.functions.tokens import token_pieces
+
 # Bytes of the centroids that one pass broadcasts.
 CENTROID_BYTES = 256 * 1024 * 1024
 # Bytes of one (rows x k) distance block in a Python worker; rows per block follow from k.
@@ -137,14 +144,103 @@ def fit_kmeans(
     return model, model.transform(feats).drop("_features")
 
 
+def first_centroids(vectors: DataFrame, k: int, seed: str = "kmeans", key: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(cluster, n, centroid): the ``k`` vectors of the lowest md5(seed, key), each seen 0 times (a bounded top-k)."""
+    drawn = vectors.select(md5_key(seed, F.col(key)).alias("h"), F.col(key).alias("key"), F.col(vec_col).cast("array<double>").alias("centroid")).orderBy("h", "key").limit(k)
+    return drawn.select((F.row_number().over(Window.orderBy("h", "key")) - 1).cast("int").alias("cluster"), F.lit(0).cast("bigint").alias("n"), "centroid")
+
+
+def minibatch_of(vectors: DataFrame, step: int, share: float, seed: str = "kmeans", key: str = "vec_id") -> DataFrame:
+    """The rows of one mini-batch: those whose md5(seed, step, key) falls below ``share``."""
+    return vectors.where(F.substring(md5_key(seed, F.lit(step), F.col(key)), 1, 8) < f"{math.ceil(share * 16**8):08x}") if share < 1 else vectors
+
+
+def minibatch_step(batch: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """CL2, one mini-batch: every centroid becomes the mean of all vectors it has been given so far, so the more it has
+    seen the less a batch moves it. Centroids without a vector in the batch stay."""
+    assigned = assign_nearest(batch, centroids, (vec_col,), vec_col)
+    counts = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    sums = _group_means(assigned, "cluster", vec_col).join(counts, "cluster")
+    # the old count has a name of its own: inside a lambda, "n" would mean the new column of this select
+    j = centroids.withColumnRenamed("n", "before").join(sums, "cluster", "left")
+    moved = F.zip_with("centroid", "_mean", lambda c, x: (c * F.col("before") + x * F.col("m")) / (F.col("before") + F.col("m")))
+    return j.select("cluster", (F.col("before") + F.coalesce("m", F.lit(0))).alias("n"), F.when(F.col("m").isNull(), F.col("centroid")).otherwise(moved).alias("centroid"))
+
+
+def fit_minibatch(
+    vectors: DataFrame, k: int, batch_size: int = 100_000, steps: int = 100, seed: str = "kmeans",
+    key: str = "vec_id", vec_col: str = "embedding", tolerance: float = 0.0,
+) -> DataFrame:
+    """CL2: mini-batch k-means; (cluster, n, centroid) after ``steps`` batches of about ``batch_size`` rows, or once no
+    centroid moves by more than ``tolerance`` (squared distance).
+
+    Each step's centroids are a version of their own in the shared folder, so a lost executor costs one
+    step; a step reads one batch's vectors and shuffles k partial sums. Vectors of different lengths fail the job.
+    """
+    from topicweave.sources.io import materialize
+
+    share = min(1.0, batch_size / max(1, vectors.count()))
+    now = materialize(first_centroids(vectors, k, seed, key, vec_col), "centroids-0")
+    for step in range(1, steps + 1):
+        after = materialize(minibatch_step(minibatch_of(vectors, step, share, seed, key), now, vec_col), f"centroids-{step}")
+        was = now.select("cluster", F.col("centroid").alias("was"))
+        gap = F.aggregate(F.zip_with("centroid", "was", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+        most = after.join(was, "cluster").agg(F.max(gap)).first()[0]
+        now = after
+        if most is None or most < tolerance:
+            break
+    return now
+
+
+def embed_texts(
+    df: DataFrame, load_encoder: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text",
+    batch_size: int = 128, max_pieces: int | None = None,
+) -> DataFrame:
+    """CL1 with a user's encoder: the non-blank rows with ``embedding`` ARRAY<FLOAT>.
+
+    ``load_encoder()`` is called once per Python worker task and returns a function from at most ``batch_size``
+    texts to a (texts x dimensions) matrix. ``max_pieces`` cuts texts to their first pieces (None: whole
+    texts; a model may cut for itself). The other columns pass through.
+    """
+    rows = df.where(is_non_blank(F.col(text_col)))
+    if max_pieces is not None:
+        rows = rows.withColumn("_cut", F.array_join(F.slice(token_pieces(F.col(text_col)), 1, max_pieces), ""))
+    else:
+        rows = rows.withColumn("_cut", F.col(text_col))
+    names = df.columns
+
+    def run(batches):
+        encode = None
+        for b in batches:
+            for at in range(0, b.num_rows, batch_size):
+                part = b.slice(at, batch_size)
+                encode = encode or load_encoder()
+                found = np.asarray(encode(part.column("_cut").to_pylist()), dtype=np.float32)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [vectors], names=[*names, "embedding"])
+
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+
+
 def hashing_embed(df: DataFrame, num_features: int = 1024, text_col: str = "text") -> DataFrame:
-    """CL1 default offline encoder: hashed term counts, L2-normalised, as ARRAY<FLOAT>."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    """CL1 default offline encoder: counts of the words' md5 buckets, L2-normalised, as ARRAY<FLOAT> (all 0 without words).
 
-    from topicweave.functions.text import normalise_words, words
+    Words become bucket numbers natively; Arrow batches turn them into dense vectors.
+    """
+    bucket = lambda w: (hex_int(F.md5(w), 1, 8) % num_features).cast("int")
+    rows = df.withColumn("_buckets", F.transform(words(normalise_words(F.coalesce(F.col(text_col), F.lit("")))), bucket))
+    names = df.columns
 
-    toks = df.withColumn("_words", words(normalise_words(F.col(text_col))))
-    tf = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features).transform(toks)
-    nrm = Normalizer(inputCol="_tf", outputCol="_vec", p=2.0).transform(tf)
-    return nrm.withColumn("embedding", vector_to_array("_vec", "float32")).drop("_words", "_tf", "_vec")
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                lists = part.column("_buckets")
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                counts = np.bincount(owner * num_features + lists.flatten().to_numpy(zero_copy_only=False), minlength=part.num_rows * num_features).reshape(-1, num_features)
+                norm = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+                dense = (counts / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(dense.ravel()), num_features).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [vectors], names=[*names, "embedding"])
+
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))

@@ -14,6 +14,8 @@ from topicweave.sources import fixtures as FX
 from topicweave.sources.io import materialize
 
 TOP_N = 100
+FIT_CLUSTERS, FIT_STEPS = 10, 4
+EMBED_BUCKETS = 1024
 STOPS = K.stop_words("english")
 
 
@@ -127,14 +129,28 @@ def q_kmeans_lloyd_step(spark, sf):
     return C.lloyd_step(v, C.centroids_by_label(v)).select("cluster", "dim", rounded("value").alias("value"))
 
 
+def _fitted(spark, sf):
+    """Mini-batch k-means: a batch is about a quarter of the vectors."""
+    v = _vectors(spark, sf)
+    return v, C.fit_minibatch(v, FIT_CLUSTERS, v.count() // 4, FIT_STEPS)
+
+
 def q_kmeans_fit(spark, sf):
-    _, out = C.fit_kmeans(_vectors(spark, sf), k=10, seed=0, max_iter=10)
-    return out.select("vec_id", "cluster")
+    """CL2 + CL3: every vector's nearest centroid after FIT_STEPS mini-batches."""
+    v, centroids = _fitted(spark, sf)
+    return C.assign_nearest(v, centroids).select("vec_id", "cluster")
+
+
+def q_kmeans_minibatch(spark, sf):
+    """CL2: the centroids after FIT_STEPS mini-batches, with how many vectors each has seen."""
+    return _fitted(spark, sf)[1].select("cluster", "n", F.posexplode("centroid").alias("dim", "v")).select("cluster", "n", "dim", rounded("v").alias("value"))
 
 
 def q_hashing_embed(spark, sf):
-    out = C.hashing_embed(FX.table(spark, sf, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_nonzero"))
+    out = C.hashing_embed(FX.table(spark, sf, "documents").select("doc_id", "text"), EMBED_BUCKETS)
+    top = F.array_max("embedding")
+    return out.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("n_nonzero"),
+                      (F.array_position("embedding", top) - 1).cast("int").alias("top_bucket"), top.cast("double").alias("top_value"))
 
 
 QUERIES = {
@@ -153,6 +169,7 @@ QUERIES = {
     "kmeans_assign": q_kmeans_assign,
     "kmeans_lloyd_step": q_kmeans_lloyd_step,
     "kmeans_fit": q_kmeans_fit,
+    "kmeans_minibatch": q_kmeans_minibatch,
     "hashing_embed": q_hashing_embed,
 }
 
@@ -247,7 +264,35 @@ cent AS (SELECT label AS cluster, dim, AVG(CAST(v AS DOUBLE)) AS v FROM vx GROUP
 d AS (SELECT x.vec_id, c.cluster, """ + _DIST + """ AS distance FROM vx x JOIN cent c ON c.dim = x.dim GROUP BY ALL),
 asg AS (SELECT vec_id, cluster, distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS r FROM d) WHERE r = 1)"""
 
+def _fit_sql() -> str:
+    """First centroids, then one group of CTEs for each mini-batch."""
+    parts = [f"""vx AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS dim FROM embeddings),
+share AS (SELECT least(1.0::DOUBLE, (COUNT(*) // 4)::DOUBLE / COUNT(*)) AS s FROM embeddings),
+pick AS (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY md5(concat_ws(':', 'kmeans', vec_id)), vec_id) - 1 AS cluster FROM embeddings QUALIFY cluster < {FIT_CLUSTERS}),
+c0 AS (SELECT cluster, 0 AS n, dim, v FROM pick JOIN vx USING (vec_id))"""]
+    for t in range(1, FIT_STEPS + 1):
+        parts.append(f"""b{t} AS (SELECT vx.* FROM vx, share WHERE ('0x' || substring(md5(concat_ws(':', 'kmeans', {t}, vec_id)), 1, 8))::BIGINT < ceil(s * 4294967296.0::DOUBLE)),
+a{t} AS (SELECT vec_id, cluster FROM (SELECT x.vec_id, c.cluster, SUM((x.v - c.v) * (x.v - c.v)) AS d FROM b{t} x JOIN c{t - 1} c USING (dim) GROUP BY ALL)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1),
+s{t} AS (SELECT cluster, dim, SUM(v) AS total, COUNT(*) AS m FROM a{t} JOIN vx USING (vec_id) GROUP BY ALL),
+c{t} AS MATERIALIZED (SELECT c.cluster, c.n + coalesce(m, 0) AS n, c.dim, CASE WHEN m IS NULL THEN c.v ELSE (c.v * c.n + total) / (c.n + m) END AS v
+        FROM c{t - 1} c LEFT JOIN s{t} s ON s.cluster = c.cluster AND s.dim = c.dim)""")
+    return "WITH " + ",\n".join(parts)
+
+
 ORACLE = {
+    "kmeans_minibatch": _fit_sql() + f"""
+SELECT CAST(cluster AS INTEGER) AS cluster, CAST(n AS BIGINT) AS n, CAST(dim AS INTEGER) AS dim, round(v + 3.1e-12, 9) AS value FROM c{FIT_STEPS}""",
+    "kmeans_fit": _fit_sql() + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster FROM (SELECT x.vec_id, c.cluster, SUM((x.v - c.v) * (x.v - c.v)) AS d FROM vx x JOIN c{FIT_STEPS} c USING (dim) GROUP BY ALL)
+QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1""",
+    "hashing_embed": f"""WITH w AS (
+  SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')) AS word FROM documents),
+c AS (SELECT doc_id, {Q.hexint('md5(word)', 1, 8)} % {EMBED_BUCKETS} AS bucket, COUNT(*) AS n FROM w GROUP BY ALL),
+e AS (SELECT doc_id, COUNT(*) AS n_nonzero, sqrt(SUM(n * n)::DOUBLE) AS norm, MAX(n) AS most, arg_max(bucket, (n, -bucket)) AS top FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_nonzero, 0) AS INTEGER) AS n_nonzero, CAST(coalesce(top, 0) AS INTEGER) AS top_bucket,
+       coalesce(CAST(CAST(most / norm AS FLOAT) AS DOUBLE), 0.0) AS top_value
+FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""",
     "keyword_normalise": f"WITH {Q.clustered_cte()}\nSELECT doc_id, cluster, {_CONTENTS} AS contents FROM clustered",
     "cluster_keywords": _KW + "\nSELECT cluster, CAST(rank AS INTEGER) AS rank, keyword, round(score + 3.1e-12, 9) AS score FROM top",
     "keyword_lists": _KW + "\nSELECT cluster, CAST(len(keywords) AS INTEGER) AS n_keywords, CAST(to_json(keywords) AS VARCHAR) AS keywords_json FROM kl",
