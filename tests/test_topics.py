@@ -280,3 +280,19 @@ def test_hashing_embed_equals_plain_python(spark):
         counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in re.findall(r"\w+", (r.text or "").lower()))
         norm = math.sqrt(sum(v * v for v in counts.values())) or 1.0
         assert r.embedding == pytest.approx([counts[j] / norm for j in range(16)])
+
+
+def test_term_counts_and_hot_terms(spark, monkeypatch):
+    rng = random.Random(2)
+    lists = [[rng.choice(["a", "bb", "é", "日本", "zz"]) for _ in range(n)] for n in (0, 1, 5, 60)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lists)], "i int, w array<string>")
+    for r in df.select("w", K.term_counts(F.col("w")).alias("t")).collect():
+        assert [(x.term, x.tf) for x in r.t] == sorted(Counter(r.w).items(), key=lambda x: x[0].encode())
+    texts = [" ".join(rng.choice(["the", "cat", "dog", f"w{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([(i % 7, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, cluster int")  # ids used more than once
+    want = {(r.cluster, r.term): r.score for r in K.cluster_tfidf(docs).collect()}
+    monkeypatch.setattr(K, "HOT_TERMS", 3)
+    few = {(r.cluster, r.term): r.score for r in K.cluster_tfidf(docs).collect()}
+    assert few.keys() == want.keys() and all(math.isclose(few[k], want[k], rel_tol=1e-12) for k in want)
+    model = _tfidf_model([t for i, t in enumerate(texts) if i % 2 == 0], [])
+    assert all(math.isclose(want[0, k], v, rel_tol=1e-9) for k, v in model.items())

@@ -4,16 +4,15 @@ TF-IDF is fitted per cluster, like one vectorizer per cluster: tokens are words
 more word characters, tf is the raw count, idf = ln((1 + n) / (1 + df)) + 1 with n the
 cluster's non-blank documents, each document's vector is L2-normalised, and a term's score
 is the sum over the cluster's documents. Texts are never collected per cluster: the work
-is (cluster, doc, term) rows through partial+final aggregates, so a cluster holding a third
-of all documents spreads over all tasks; the join on (cluster, term) relies on AQE skew-join
-splitting for hot terms.
+is term counts inside the document rows and partial+final aggregates, so a cluster holding a third
+of all documents spreads over all tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import NON_WORD_RUN, normalise_words, words
@@ -39,6 +38,9 @@ ENGLISH_STOP_WORDS = (
 )
 
 
+HOT_TERMS = 4096  # terms whose idf is broadcast, whatever the vocabulary
+
+
 def stop_words(lang: str = "english") -> list[str]:
     """ST4: stop words by language; English is the fixed list, others come from Spark's lists."""
     if lang == "english":
@@ -62,34 +64,49 @@ def normalise_keywords(df: DataFrame, stops: Sequence[str] | None = None, text_c
     return df.withColumn("contents", contents)
 
 
+def term_counts(tokens: Column) -> Column:
+    """Structs (term, tf) of an array of words: sorted, then one entry for each run of equal ones."""
+    def runs(ws):
+        heads = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.coalesce(F.get(ws, i) != F.get(ws, i - 1), F.lit(True)))
+        counted = lambda hs: F.transform(hs, lambda h, j: F.struct(F.get(ws, h).alias("term"), (F.coalesce(F.get(hs, j + 1), F.size(ws)) - h).alias("tf")))
+        return F.get(F.transform(F.array(heads), counted), F.lit(0))
+
+    found = F.get(F.transform(F.array(F.array_sort(tokens)), runs), F.lit(0))
+    return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
+def _with_idf(tf: DataFrame, idf: DataFrame) -> DataFrame:
+    """The term rows with their idf. Those of the ``HOT_TERMS`` terms in most documents meet it on the map side (a table of
+    fixed size), so no task gets all rows of a common term; the rest is joined as the planner sees fit."""
+    hot = F.broadcast(idf.orderBy(F.desc("df"), "cluster", "term").limit(HOT_TERMS))
+    keys = ["cluster", "term"]
+    return tf.join(hot, keys).unionByName(tf.join(hot.select(*keys), keys, "left_anti").join(idf, keys))
+
+
 def cluster_tfidf(clustered: DataFrame, stops: Sequence[str] | None = None) -> DataFrame:
     """ST5 + AG4: (cluster, term, score) with per-cluster smooth idf and L2-normalised documents.
 
-    Words are split on the non-word regex, exploded and filtered with column predicates (stop
-    words as a hash-set IN), which stays in whole-stage codegen. One (cluster, doc, word)
-    aggregate feeds the document count n (documents with any non-stop word, even a one-letter
-    one), the document frequencies and the term frequencies of words with two or more
-    characters. Catalyst prunes and filters each of those three branches differently, so
-    their exchanges would not be reused and the text would be tokenised three times; the
-    (cluster, doc, word, tf) table is therefore written once to the shared folder and read
-    by all three (no text in it, and a lineage cut before the joins).
+    Each document's words become one array of (term, count) in its own row, written once without the text: no shuffle.
+    Document frequencies, the documents' norms and the scores are partial sums over the exploded arrays;
+    a term's idf is a common factor of its score, so it is looked up for the norms and once more for the
+    sums, never carried along. Term rows travel uncombined in one place only, the lookup of rare
+    terms' idf where its table is too large for the planner to broadcast.
     """
     from topicweave.sources.io import materialize
 
-    w = F.explode(F.split(F.lower(F.col("text")), NON_WORD_RUN)).alias("term")
-    rows = clustered.select("cluster", "doc_id", w).where(F.col("term") != "")
-    if stops:
-        rows = rows.where(~F.col("term").isin(*stops))
-    tf_all = materialize(rows.groupBy("cluster", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
-    n_docs = tf_all.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
-    tf = tf_all.where(F.length("term") >= 2)
+    tokens = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), NON_WORD_RUN), lambda w: (w != "") & ~w.isin(*stops) if stops else w != "")
+    rows = clustered.select("cluster", tokens.alias("tokens")).where(F.size("tokens") > 0)  # one-letter words count as text
+    # a number for each row: ids may be missing or used twice
+    docs = materialize(rows.select("cluster", F.monotonically_increasing_id().alias("row"), F.filter(term_counts(F.col("tokens")), lambda t: F.length(t["term"]) >= 2).alias("terms")), "doc-terms")
+    tf = docs.select("cluster", "row", F.inline("terms"))
+    n_docs = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
     dfreq = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.join(n_docs, "cluster").select(
-        "cluster", "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
-    )
-    wt = tf.join(idf, ["cluster", "term"]).select("cluster", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cluster", "doc_id")))
-    return wt.withColumn("_norm", norm).groupBy("cluster", "term").agg(F.sum(F.col("w") / F.col("_norm")).alias("score"))
+    idf = materialize(dfreq.join(n_docs, "cluster").select(
+        "cluster", "term", "df", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "term-idf")
+    weight = F.col("tf") * F.col("idf")
+    norms = _with_idf(tf, idf).groupBy("cluster", "row").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    shares = docs.join(norms, ["cluster", "row"]).select("cluster", "norm", F.inline("terms")).groupBy("cluster", "term").agg(F.sum(F.col("tf") / F.col("norm")).alias("share"))
+    return shares.join(idf, ["cluster", "term"]).select("cluster", "term", (F.col("share") * F.col("idf")).alias("score"))
 
 
 def top_keywords(scores: DataFrame, top_n: int = 100) -> DataFrame:
