@@ -22,7 +22,7 @@ def test_keys_line_up():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert own_keys() == set(all_queries()) and set(q) >= own_keys()
-    assert len(own_keys()) == 68
+    assert len(own_keys()) == 69
 
 
 def own_keys():
@@ -33,7 +33,7 @@ def own_keys():
     keyword_map_roundtrip keyword_normalise kmeans_assign kmeans_fit kmeans_lloyd_step kmeans_minibatch label_ids
     label_vocabulary loss_decrease_rate loss_ema mcq_metrics mcq_prompts missing_shards mlm_mask noise_shuffle
     pair_choice_accuracy pair_inputs pair_sequences parse_ratio_spec parse_responses peek_rows per_sample_loss
-    perplexity_by_subset prediction_table rank_local_weights regression_metrics resume_weights
+    perplexity_by_subset prediction_table rank_local_weights regression_metrics resume_weights rule_violations
     running_accuracy sample_by_budget sample_nested_targets sampling_quota_carry sentence_pair_columns
     sentence_permute shard_assign shift_right source_token_totals span_infill split_union step_from_microbatch task_metrics
     stream_attach_topics stream_late_rows stream_topic_loss stream_weights token_recount token_sequences topic_dead_letters

@@ -71,6 +71,19 @@ def running_totals(
     return out.drop("_bucket", "_one", *[f"_o_{c}" for c in vals])
 
 
+def quantile_buckets(df: DataFrame, col: str, name: str = "_bucket", n_buckets: int = 1024) -> DataFrame:
+    """``df`` with a bucket number that rises with the numeric column ``col`` and holds about as many rows as any other,
+    however the values are spread: at most ``n_buckets`` - 1 quantile bounds, met by binary search. Null and
+    NaN have a bucket of their own, the last."""
+    from pyspark.ml.feature import Bucketizer
+
+    value = df.withColumn(f"{name}_v", F.col(col).cast("double"))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = sorted({b for b in value.approxQuantile(f"{name}_v", probs, 1.0 / (4 * n_buckets)) if b == b})
+    splits = [float("-inf"), *bounds, float("inf")]
+    return Bucketizer(splits=splits, inputCol=f"{name}_v", outputCol=name, handleInvalid="keep").transform(value).drop(f"{name}_v")
+
+
 def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 1024) -> DataFrame:
     """Average (1-based) rank of ``col`` with ties sharing the mean rank, without a global sort task.
 
@@ -79,14 +92,8 @@ def average_ranks(df: DataFrame, col: str, out: str, n_buckets: int = 1024) -> D
     parameters) with a binary-search ``Bucketizer``, and ranked with bucket offsets. Rows get
     their value's rank through an equi-join on the value.
     """
-    from pyspark.ml.feature import Bucketizer
-
     vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    vd = vc.select(F.col(col).cast("double").alias("_v"), col, "_cnt")
-    bounds = sorted({b for b in vd.approxQuantile("_v", probs, 1.0 / (4 * n_buckets)) if b == b})
-    splits = [float("-inf"), *bounds, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(vd)
+    bucketed = quantile_buckets(vc, col, "_b", n_buckets)
     rt = running_totals(bucketed, [F.col(col)], F.col("_b"), ["_cnt"])
     ranks = rt.select(col, (F.col("cum__cnt") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return df.join(ranks, col)

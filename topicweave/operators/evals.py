@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.hashing import md5_key
-from topicweave.functions.ranking import average_ranks, running_totals
+from topicweave.functions.ranking import average_ranks, global_row_number, quantile_buckets, running_totals
 
 OPTION_LETTERS = ("A", "B", "C", "D")
 
@@ -183,14 +183,18 @@ def mcq_metrics(scored: DataFrame) -> DataFrame:
     return scored.agg(*aggs)
 
 
-def running_accuracy(scored: DataFrame, every: int = 10, bucket_size: int = 4096) -> DataFrame:
-    """WN2: running accuracy and low-confidence count at every ``every``-th item in item order."""
+def running_accuracy(scored: DataFrame, every: int = 10, n_buckets: int = 1024) -> DataFrame:
+    """WN2: running accuracy and low-confidence count at every ``every``-th item in item order.
+
+    Items are dealt by quantiles of their ids, so ids may be spread over all 64 bits; the offsets are a running sum over
+    at most ``n_buckets`` rows.
+    """
     s = scored.select(
         "item_id",
         (F.col("pred_idx") == F.col("correct_idx")).cast("long").alias("c"),
         (F.col("confidence") < CONFIDENCE_THRESHOLD).cast("long").alias("lo"),
     )
-    rt = running_totals(s, [F.col("item_id")], F.floor(F.col("item_id") / bucket_size), ["c", "lo"])
+    rt = running_totals(quantile_buckets(s, "item_id", "_q", n_buckets), [F.col("item_id")], F.col("_q"), ["c", "lo"])
     return rt.where(F.pmod("_rows", F.lit(every)) == 0).select(
         F.col("_rows").alias("total"), (F.col("cum_c") / F.col("_rows")).alias("running_accuracy"),
         F.col("cum_lo").alias("low_confidence_so_far"),
@@ -239,14 +243,10 @@ def pair_accuracy(choices: DataFrame) -> DataFrame:
 
 
 def label_ids(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """AG14 + SO10: sorted distinct labels -> ids 0..n-1, and num_labels (a small table after distinct)."""
-    from pyspark.sql import Window
-
+    """AG14 + SO10: sorted distinct labels -> ids 0..n-1, and num_labels. Labels are numbered within their first letter."""
     d = df.select(F.col(label_col).cast("string").alias("label")).distinct()
-    w = Window.orderBy("label")
-    return d.withColumn("label_id", (F.row_number().over(w) - 1).cast("int")).withColumn(
-        "num_labels", F.count(F.lit(1)).over(Window.partitionBy())
-    )
+    numbered = global_row_number(d, [F.col("label")], F.coalesce(F.substring("label", 1, 1), F.lit("")), "_rn")
+    return numbered.select("label", (F.col("_rn") - 1).cast("int").alias("label_id"), d.agg(F.count(F.lit(1))).scalar().alias("num_labels"))
 
 
 def map_label_ids(df: DataFrame, ids: DataFrame, config_map: dict[str, int] | None = None, label_col: str = "label") -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from topicweave.functions.hashing import hex_int
 from topicweave.functions.numeric import rounded
-from topicweave.functions.ranking import global_row_number, with_line_index
+from topicweave.functions.ranking import global_row_number, quantile_buckets, with_line_index
+from topicweave.operators import checks as CK
 from topicweave.operators import evals as E
 from topicweave.plans import sql as Q
 from topicweave.plans.sequence_plans import TOKEN_SUMS_SQL, eval_token_sums
 from topicweave.sources import fixtures as FX
+from topicweave.sources.io import materialize
 
 
 def _r(c, name=None):
@@ -85,7 +87,7 @@ def q_class_prediction_table(spark, sf):
     """FN3 + SK7: the languages' names by class scores, in document order."""
     ids = _language_ids(spark, sf)
     scored = FX.task_scores(FX.table(spark, sf, "labels"), FX.table(spark, sf, "documents"), ids).where("task = 'language'")
-    at = global_row_number(scored, [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), "_rn").withColumn("index", F.col("_rn") - 1)
+    at = global_row_number(quantile_buckets(scored, "doc_id", "_q"), [F.col("doc_id")], F.col("_q"), "_rn").withColumn("index", F.col("_rn") - 1)
     return E.class_prediction_rows(at, "index", F.col("scores"), ids)
 
 
@@ -110,24 +112,41 @@ def q_prediction_table(spark, sf):
     lab = FX.table(spark, sf, "labels").withColumn(
         "split", F.when(F.pmod("doc_id", F.lit(2)) == 0, "test_matched").otherwise("test_mismatched")
     )
-    idx = global_row_number(lab, [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), "_rn", ("split",))
+    idx = global_row_number(quantile_buckets(lab, "doc_id", "_q"), [F.col("doc_id")], F.col("_q"), "_rn", ("split",))
     idx = idx.withColumn("index", F.col("_rn") - 1)
     value = F.pmod(hex_int(F.md5(F.col("doc_id").cast("string")), 1, 4), F.lit(5001)) / 1000.0
     return E.prediction_rows(idx, "index", value, True, keep=("split",))
 
 
+def _document_rules():
+    """What a document of the corpus should meet."""
+    return {
+        "n_chars_is_length": F.col("n_chars") == F.length("text"),
+        "no_blank_ends": F.col("text") == F.trim("text"),
+        "ends_a_sentence": F.col("text").rlike(r"[.!?]$"),
+        "known_source": F.col("source").isNotNull(),
+    }
+
+
+def q_rule_violations(spark, sf):
+    """PF10: the documents that break a rule."""
+    return CK.violations(FX.table(spark, sf, "documents"), _document_rules(), ["doc_id"])
+
+
 def q_data_checks(spark, sf):
+    """PF10: counts over whole inputs - pairs without a label (the label file lacks every seventh), documents without labels
+    and labels without a document - and the broken rules of the documents, observed while the first check reads them."""
     bench = FX.table(spark, sf, "benchmark")
-    docs = FX.table(spark, sf, "documents").select("doc_id")
+    docs, seen = CK.observed(FX.table(spark, sf, "documents"), _document_rules())
     labels = FX.table(spark, sf, "labels").select("doc_id")
-    n_pairs = FX.pair_items(bench).agg(F.count(F.lit(1)).alias("n"))
-    n_labels = FX.pair_labels(bench).agg(F.count(F.lit(1)).alias("n"))
-    c1 = n_pairs.select(F.lit("pair_label_count").alias("check"), F.abs(F.col("n") - n_labels.scalar()).alias("n_violations"))
-    c2 = docs.join(labels, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_violations")).select(
-        F.lit("docs_without_label_row").alias("check"), "n_violations")
-    c3 = labels.join(docs, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_violations")).select(
-        F.lit("label_rows_without_doc").alias("check"), "n_violations")
-    return c1.unionByName(c2).unionByName(c3)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("check"), "n_violations")
+    short = FX.pair_labels(bench).where(F.pmod("item_id", F.lit(7)) != 3)
+    unlabelled = count(FX.pair_items(bench).join(short, "item_id", "left_anti"), "pair_without_label")
+    with_row = docs.join(labels.distinct().withColumn("known", F.lit(True)), "doc_id", "left")
+    missing = materialize(with_row.groupBy().agg(F.count_if(F.col("known").isNull()).alias("n_violations")).select(F.lit("docs_without_label_row").alias("check"), "n_violations"), "data-check")
+    rules = spark.createDataFrame([(f"rule_{name}", n) for name, n in seen.get.items() if name != "n_rows"], "check string, n_violations long")
+    lost = count(labels.join(FX.table(spark, sf, "documents").select("doc_id"), "doc_id", "left_anti"), "label_rows_without_doc")
+    return unlabelled.unionByName(missing).unionByName(lost).unionByName(rules)
 
 
 def q_sentence_pair_columns(spark, sf):
@@ -151,6 +170,7 @@ QUERIES = {
     "regression_metrics": q_regression_metrics,
     "prediction_table": q_prediction_table,
     "data_checks": q_data_checks,
+    "rule_violations": q_rule_violations,
     "sentence_pair_columns": q_sentence_pair_columns,
 }
 
@@ -245,6 +265,12 @@ mt AS (SELECT *, CASE WHEN tp + off1 > 0 THEN 2 * tp / (2 * tp + off1) ELSE 0 EN
               CASE WHEN (s * s - p2) * (s * s - t2) > 0 THEN (c * s - tp2) / sqrt((s * s - p2) * (s * s - t2)) ELSE 0 END AS mcc FROM acc JOIN mg USING (task))"""
 
 
+_RULES = """broken AS (
+  SELECT 'n_chars_is_length' AS rule, doc_id FROM documents WHERE NOT coalesce(n_chars = length(text), false)
+  UNION ALL SELECT 'no_blank_ends', doc_id FROM documents WHERE NOT coalesce(text = trim(text, ' '), false)
+  UNION ALL SELECT 'ends_a_sentence', doc_id FROM documents WHERE NOT coalesce(regexp_matches(text, '[.!?]$'), false)
+  UNION ALL SELECT 'known_source', doc_id FROM documents WHERE source IS NULL)"""
+
 ORACLE = {
     "task_metrics": f"WITH {_TASKS}" + """
 SELECT task, 'accuracy' || CASE WHEN task = 'mnli-mm' THEN '_mm' ELSE '' END AS metric, round(accuracy + 3.1e-12, 9) AS value FROM mt WHERE task <> 'cola'
@@ -307,9 +333,12 @@ SELECT CASE WHEN doc_id % 2 = 0 THEN 'test_matched' ELSE 'test_mismatched' END A
        ROW_NUMBER() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS index,
        printf('%.3f', ({Q.hexint("md5(CAST(doc_id AS VARCHAR))", 1, 4)} % 5001) / 1000.0) AS prediction
 FROM labels""",
-    "data_checks": """
-SELECT 'pair_label_count' AS "check", CAST(0 AS BIGINT) AS n_violations
+    "rule_violations": f"WITH {_RULES} SELECT rule, doc_id FROM broken",
+    "data_checks": f"""WITH {_RULES}
+SELECT 'pair_without_label' AS "check", COUNT(*) AS n_violations FROM benchmark WHERE item_id % 7 = 3
 UNION ALL SELECT 'docs_without_label_row', COUNT(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
-UNION ALL SELECT 'label_rows_without_doc', COUNT(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)""",
+UNION ALL SELECT 'label_rows_without_doc', COUNT(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)
+UNION ALL SELECT 'rule_' || r.rule, COUNT(b.rule) FROM (SELECT unnest(['n_chars_is_length', 'no_blank_ends', 'ends_a_sentence', 'known_source']) AS rule) r
+          LEFT JOIN broken b ON b.rule = r.rule GROUP BY r.rule""",
     "sentence_pair_columns": "WITH " + _PAIRS + "\nSELECT goal AS text_a, sol1 AS text_b, label FROM pairs",
 }
