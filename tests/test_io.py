@@ -150,3 +150,11 @@ def test_bad_label_lines(spark):
         "line_no long, value string")
     assert [(r["cluster"], r["labels"]) for r in T.cluster_labels_last(lines).collect()] == [(3, ["Law"])]
     assert sorted(r["line_no"] for r in T.bad_label_lines(lines).collect()) == [2, 3, 5]
+
+
+def test_csv_labels_are_numbers(spark, tmp_path):
+    (tmp_path / "train.csv").write_text("sentence1,label\na,0\nb,1\n")
+    (tmp_path / "dev.csv").write_text("sentence1,label\nc,2.5\n")
+    df = IO.read_user_files(spark, {"train": str(tmp_path / "train.csv"), "dev": str(tmp_path / "dev.csv")})
+    assert {(r.sentence1, float(r.label), r.split) for r in df.collect()} == {("a", 0.0, "train"), ("b", 1.0, "train"), ("c", 2.5, "dev")}
+    assert df.schema["label"].dataType.typeName() == "double"

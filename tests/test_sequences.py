@@ -142,3 +142,11 @@ def test_dynamic_pad_fills_to_the_longest_of_its_batch(spark):
     df = spark.createDataFrame([(0, [5] * 3), (0, [6] * 9), (1, [7])], "batch long, ids array<bigint>")
     got = sorted((r.batch, r.padded_len, r.padded_ids) for r in SQ.dynamic_pad(df, "batch").collect())
     assert got == [(0, 16, [5] * 3 + [0] * 13), (0, 16, [6] * 9 + [0] * 7), (1, 8, [7] + [0] * 7)]
+
+
+def test_separators_are_special_and_never_masked(spark):
+    df = spark.createDataFrame([(1, [10, SQ.SEP, 11, 12, SQ.SEP] * 20)], "doc_id long, ids array<long>")
+    row = SQ.mlm_mask(SQ.pad_sequences(df, 110), 1000, p=1.0).first()
+    assert row.special_tokens_mask == [int(x == SQ.SEP) for x in row.ids] + [1] * 10
+    assert [x for x, s in zip(row.mlm_input_ids, row.special_tokens_mask) if s] == [SQ.SEP] * 40 + [SQ.PAD] * 10
+    assert all((y == SQ.IGNORE) == bool(s) for y, s in zip(row.mlm_labels, row.special_tokens_mask))

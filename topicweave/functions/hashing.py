@@ -7,6 +7,8 @@ lets the oracle reproduce every sample, shuffle and mask.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ def hex_uniform(hex_col: Column, start: int = 1, digits: int = 8) -> Column:
     return F.conv(F.substring(hex_col, start, digits), 16, 10).cast("long") / F.lit(scale)
 
 
+def hex_below(hex_col: Column, start: int, share: float, digits: int = 8) -> Column:
+    """Whether the uniform that ``digits`` hex digits give is below ``share``; digits order as numbers do, so none is parsed."""
+    bound = math.ceil(share * 16**digits)
+    if bound >= 16**digits:
+        return F.lit(True)
+    return F.substring(hex_col, start, digits) < f"{bound:0{digits}x}"
+
+
 def hex_int(hex_col: Column, start: int, digits: int) -> Column:
     """Integer value of ``digits`` hex digits of an md5 string starting at ``start`` (1-based)."""
     return F.conv(F.substring(hex_col, start, digits), 16, 10).cast("long")

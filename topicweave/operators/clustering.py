@@ -8,7 +8,6 @@ far. No cross join of rows with centroids is ever materialised.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicweave.functions.hashing import hex_int, md5_key
+from topicweave.functions.hashing import hex_below, hex_int, md5_key
 from topicweave.functions.text import is_non_blank, normalise_words, words
 from topicweave.functions.tokens import token_pieces
 
@@ -152,7 +151,7 @@ def first_centroids(vectors: DataFrame, k: int, seed: str = "kmeans", key: str =
 
 def minibatch_of(vectors: DataFrame, step: int, share: float, seed: str = "kmeans", key: str = "vec_id") -> DataFrame:
     """The rows of one mini-batch: those whose md5(seed, step, key) falls below ``share``."""
-    return vectors.where(F.substring(md5_key(seed, F.lit(step), F.col(key)), 1, 8) < f"{math.ceil(share * 16**8):08x}") if share < 1 else vectors
+    return vectors.where(hex_below(md5_key(seed, F.lit(step), F.col(key)), 1, share))
 
 
 def minibatch_step(batch: DataFrame, centroids: DataFrame, vec_col: str = "embedding") -> DataFrame:

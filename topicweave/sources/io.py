@@ -113,14 +113,15 @@ def read_pair_file(spark: SparkSession, jsonl: str, labels_txt: str) -> DataFram
 
 
 def read_user_files(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """SC7: user CSV or JSON split files; every file must have the same extension."""
+    """SC7: user CSV or JSON split files; every file must have the same extension. Numbers in CSV columns (labels) are
+    read as numbers, which takes a second pass over the file; where splits differ in that, the wider type holds."""
     exts = {p.rsplit(".", 1)[-1] for p in paths.values()}
     if len(exts) != 1 or not exts <= {"csv", "json"}:
         raise ValueError(f"split files must share one extension, csv or json: {sorted(exts)}")
     ext = exts.pop()
     frames = []
     for split, p in paths.items():
-        r = spark.read.option("header", True).csv(p) if ext == "csv" else spark.read.json(p)
+        r = spark.read.option("header", True).option("inferSchema", True).csv(p) if ext == "csv" else spark.read.json(p)
         frames.append(r.withColumn("split", F.lit(split)))
     out = frames[0]
     for f in frames[1:]:
