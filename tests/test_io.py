@@ -158,3 +158,28 @@ def test_csv_labels_are_numbers(spark, tmp_path):
     df = IO.read_user_files(spark, {"train": str(tmp_path / "train.csv"), "dev": str(tmp_path / "dev.csv")})
     assert {(r.sentence1, float(r.label), r.split) for r in df.collect()} == {("a", 0.0, "train"), ("b", 1.0, "train"), ("c", 2.5, "dev")}
     assert df.schema["label"].dataType.typeName() == "double"
+
+
+def test_tables_splits_and_named_datasets(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "doc_id long, text string, category string")
+    IO.write_table(df, f"{tmp_path}/t", ["category"])
+    assert sorted(tuple(r) for r in IO.read_table(spark, f"{tmp_path}/t", ["doc_id", "category"]).collect()) == [(1, "x"), (2, "y")]
+    assert "category=x" in os.listdir(f"{tmp_path}/t")
+    IO.write_table(df.select("text"), f"{tmp_path}/train")
+    for name, texts in (("dev", ["d1"]), ("test", ["t1", "t2"])):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
+    splits = IO.read_splits(spark, f"{tmp_path}/train", f"{tmp_path}/dev.json", f"{tmp_path}/test.json")
+    assert sorted((r.split, r.text) for r in splits.collect()) == [("dev", "d1"), ("test", "t1"), ("test", "t2"), ("train", "a"), ("train", "b")]
+    splits.write.parquet(f"{tmp_path}/all")
+    registry = {"corpus": f"{tmp_path}/all", "plain": f"{tmp_path}/train"}
+    assert IO.read_dataset(spark, registry, "corpus", "test").count() == 2 and IO.read_dataset(spark, registry, "plain", "test").count() == 2
+
+
+def test_one_folder_per_target(spark, tmp_path):
+    from topicweave.operators import sampling as S
+
+    sample = spark.createDataFrame([(10, "books", i, 0, "t", 1) for i in range(5)] + [(20, "books", i, 0, "t", 1) for i in range(9)],
+                                   "target long, category string, doc_id long, chunk_no int, text string, effective_tokens int")
+    S.write_sample(sample.repartition(2), f"{tmp_path}/s", max_records_per_file=2)
+    assert spark.read.parquet(f"{tmp_path}/s/target=10").count() == 5 and spark.read.parquet(f"{tmp_path}/s/target=20").count() == 9
+    assert len([f for f in os.listdir(f"{tmp_path}/s/target=20") if f.startswith("part")]) >= 5

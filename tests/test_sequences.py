@@ -150,3 +150,16 @@ def test_separators_are_special_and_never_masked(spark):
     assert row.special_tokens_mask == [int(x == SQ.SEP) for x in row.ids] + [1] * 10
     assert [x for x, s in zip(row.mlm_input_ids, row.special_tokens_mask) if s] == [SQ.SEP] * 40 + [SQ.PAD] * 10
     assert all((y == SQ.IGNORE) == bool(s) for y, s in zip(row.mlm_labels, row.special_tokens_mask))
+
+
+def test_a_vocabulary_of_the_users_own(spark):
+    from topicweave.functions.tokens import token_pieces
+
+    texts = spark.createDataFrame([(1, "b a. b"), (2, " a. b c"), (3, None), (4, "")], "doc_id long, text string")
+    vocab = SQ.build_vocabulary(texts, 3)
+    rows = {r.piece: r.id for r in vocab.collect()}
+    assert rows == {" a.": SQ.FIRST_ID, " b": SQ.FIRST_ID + 1, " c": SQ.FIRST_ID + 2}  # by count, then by piece
+    got = {r.doc_id: r.ids for r in SQ.piece_ids(texts, vocab, ["doc_id"], token_pieces(F.col("text")), sep_after_sentence=True).collect()}
+    assert got[3] == got[4] == []
+    want = lambda ps: [x for p in ps for x in ([rows.get(p, SQ.UNK)] + ([SQ.SEP] if p[-1] in ".!?" else []))]
+    assert got[1] == want(["b", " a.", " b"]) and got[2] == want([" a.", " b", " c"])

@@ -296,3 +296,10 @@ def test_term_counts_and_hot_terms(spark, monkeypatch):
     assert few.keys() == want.keys() and all(math.isclose(few[k], want[k], rel_tol=1e-12) for k in want)
     model = _tfidf_model([t for i, t in enumerate(texts) if i % 2 == 0], [])
     assert all(math.isclose(want[0, k], v, rel_tol=1e-9) for k, v in model.items())
+
+
+def test_the_keyword_job_with_and_without_stop_words(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", 0), (2, "the cat", 0), (3, None, 1)], "doc_id long, text string, cluster int")
+    with_stops = {r.cluster: r.keywords for r in K.extract_keywords(docs, 5).collect()}
+    assert set(with_stops[0]) == {"cat", "dog"} and with_stops[1] == []
+    assert "the" in {r.cluster: r.keywords for r in K.extract_keywords(docs, 5, remove_stopwords=False).collect()}[0]

@@ -42,8 +42,3 @@ def hex_below(hex_col: Column, start: int, share: float, digits: int = 8) -> Col
 def hex_int(hex_col: Column, start: int, digits: int) -> Column:
     """Integer value of ``digits`` hex digits of an md5 string starting at ``start`` (1-based)."""
     return F.conv(F.substring(hex_col, start, digits), 16, 10).cast("long")
-
-
-def uniform(seed, *parts) -> Column:
-    """Deterministic uniform in [0, 1) for a key."""
-    return hex_uniform(md5_key(seed, *parts))

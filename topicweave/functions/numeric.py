@@ -18,7 +18,3 @@ DIGITS = 9
 def rounded(col, digits: int = DIGITS) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c + F.lit(TIE_OFFSET), digits)
-
-
-def rounded_sql(expr: str, digits: int = DIGITS) -> str:
-    return f"round(({expr}) + {TIE_OFFSET!r}, {digits})"
