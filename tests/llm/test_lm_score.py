@@ -115,3 +115,32 @@ def test_words_outside_the_vocabulary_are_predicted_as_themselves(make_docs, mon
     got = L.score(docs, words, net, L.rest_shares(counts, words)).collect()
     assert sorted(((r.id, r.n_tokens, round(r.log_likelihood, 2)) for r in got if r.id not in (0, 1, 2)), key=str) == sorted((w for w in want if w[0] not in (0, 1, 2)), key=str)
     assert len(got) == len(rows)
+
+
+def test_every_place_trains(make_docs):
+    rows = [(i, " ".join(f"w{(i * j) % 90}" for j in range(i * 13 % 70))) for i in range(200)] + [(7, "w1"), (7, "w1"), (None, None), (8, "  ")]
+    docs = make_docs(rows)
+    words = L.vocabulary(docs)
+    got = Counter()
+    for r in L.training_tokens(docs, words).collect():
+        got.update(map(tuple, L.training_windows(r.packed).tolist()))
+    want, number = Counter(), {}
+    for _, t in rows:
+        for w in (t or "").split():
+            if w not in number:
+                a = np.frombuffer(w.encode(), np.uint8)
+                number[w] = int(np.flatnonzero(words == L.tb.span_hash(L.tb.prefix_hash(a), np.array([0]), np.array([len(a)]))[0])[0]) + 1
+        pad = [0] * L.SIDE
+        toks = pad + [number[w] for w in (t or "").split()] + pad
+        for i in range(L.SIDE, len(toks) - L.SIDE):
+            want[(*toks[i - L.SIDE : i], *toks[i + 1 : i + L.SIDE + 1], toks[i])] += 1
+    assert got == want and sum(want.values()) > 5000
+
+
+def test_the_query_trains_on_all_places(make_docs, monkeypatch):
+    seen = []
+    train = L.train
+    monkeypatch.setattr(L, "train", lambda parts, rounds: (seen.append(sum(len(L.training_windows(r.packed)) for r in parts.collect())), train(parts, rounds))[1])
+    rows = [(i, "some words of a text " * (i + 1)) for i in range(30)]
+    L.lm_scores(make_docs(rows))
+    assert seen == [sum(5 * (i + 1) for i in range(30))]

@@ -10,10 +10,11 @@ class times its share of the class, from the counts over all documents, so every
 predicted as itself: the shares of the ``KNOWN`` most frequent of these words are sent to the tasks, those
 of all others joined.
 
-Training gathers a fixed share ``SHARE`` of all places of all documents, chosen by a hash, so it grows
-with the corpus. The windows are written once, dealt over partitions by a hash, and in each round
-every partition improves the shared weights by mini-batch gradient descent in numpy on its part;
-the weights of a round are the mean over partitions, weighted by windows, summed by Spark. Weights, vocabulary and so what is sent to executors have one size at any input.
+Every place of every document trains, in each of ``ROUNDS`` rounds. The tokens are written once, two bytes each, dealt
+by a hash of their slice, and in each round every partition improves the shared weights by mini-batch gradient descent in numpy on all its
+places, those of a slice in a fixed random order; the weights of a round are the mean over partitions, weighted by
+places, summed by Spark. A mini-batch has ``BATCH`` places, and up to ``LARGEST_BATCH`` once a partition has seen
+many more. Weights, vocabulary and so what is sent to executors have one size at any input.
 
 Defined results: null and empty texts have 0 tokens and score 0; repeated rows score alike; an empty
 table gives no rows; where there is nothing to train on, the untrained network scores; other columns
@@ -22,6 +23,7 @@ are ignored. Scores depend on the order of partial sums only in the last digits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +43,11 @@ KNOWN = 1 << 16
 SIDE = 2
 DIM = 16
 HIDDEN = 32
-SHARE = 1 / 16
 ROUNDS = 3
 BATCH = 512
+LARGEST_BATCH = 4096
 RATE = 0.5
+UNUSED = 1 << 15  # marks a written token as context only
 
 
 def token_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,49 +148,66 @@ class Network:
 
     @staticmethod
     def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+        z -= z.max(1, keepdims=True)
+        z -= np.log(np.exp(z).sum(1, keepdims=True))
+        return z
+
+    @staticmethod
+    def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order in which targets of one class are neighbours, and where each class stands in it."""
+        group = (target % CLASSES).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+        return order, [(g, slice(cut[g], cut[g + 1])) for g in range(CLASSES) if cut[g] < cut[g + 1]]
+
+    def _members(self, h: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """Log-probabilities of the members of each row's class."""
+        z = np.empty((len(h), MEMBERS), h.dtype)
+        for g, rows in parts:
+            np.matmul(h[rows], self.wm[g].T, out=z[rows])
+            z[rows] += self.bm[g]
+        return self._log_softmax(z)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(token | neighbours): frequent tokens are spread over all classes."""
-        group, member = target % CLASSES, target // CLASSES
+        order, parts = self._by_class(target)
+        context, chosen, rows = context[order], target[order], np.arange(len(target))
         _, h = self._hidden(context)
-        out = self._log_softmax(h @ self.wc.T + self.bc)[np.arange(len(target)), group]
-        for g in range(CLASSES):
-            own = np.flatnonzero(group == g)
-            if len(own):
-                out[own] += self._log_softmax(h[own] @ self.wm[g].T + self.bm[g])[np.arange(len(own)), member[own]]
+        found = self._log_softmax(h @ self.wc.T + self.bc)[rows, chosen % CLASSES] + self._members(h, parts)[rows, chosen // CLASSES]
+        out = np.empty(len(target), found.dtype)
+        out[order] = found
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability."""
         n = len(target)
-        group, member = target % CLASSES, target // CLASSES
+        order, parts = self._by_class(target)
+        context, target, rows = context[order], target[order], np.arange(n)
         x, h = self._hidden(context)
         dz = np.exp(self._log_softmax(h @ self.wc.T + self.bc))
-        dz[np.arange(n), group] -= 1
+        dz[rows, target % CLASSES] -= 1
+        dm = np.exp(self._members(h, parts))
+        dm[rows, target // CLASSES] -= 1
         dh = dz @ self.wc
         gains = [(self.wc, dz.T @ h), (self.bc, dz.sum(0))]
-        for g in range(CLASSES):
-            own = np.flatnonzero(group == g)
-            if len(own):
-                dm = np.exp(self._log_softmax(h[own] @ self.wm[g].T + self.bm[g]))
-                dm[np.arange(len(own)), member[own]] -= 1
-                dh[own] += dm @ self.wm[g]
-                gains += [(self.wm[g], dm.T @ h[own]), (self.bm[g], dm.sum(0))]
+        for g, own in parts:
+            dh[own] += dm[own] @ self.wm[g]
+            gains += [(self.wm[g], dm[own].T @ h[own]), (self.bm[g], dm[own].sum(0))]
         da = dh * (1 - h * h)
         dx = (da @ self.w1.T).reshape(n * 2 * SIDE, DIM)
         gains += [(self.w1, x.T @ da), (self.b1, da.sum(0))]
         flat = context.ravel()
-        order = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.append(True, np.diff(flat[order]) > 0))
-        self.embed[flat[order][heads]] -= rate / n * np.add.reduceat(dx[order], heads)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        self.embed[flat[heads]] -= rate / n * np.add.reduceat(dx[order], heads)
         for weight, gain in gains:
             weight -= rate / n * gain
 
 
-def training_windows(docs: DataFrame, words: np.ndarray, share: float = SHARE) -> DataFrame:
-    """(part, round, packed): packed holds the neighbours and the token of the chosen places of a slice, as 16-bit numbers."""
+def training_tokens(docs: DataFrame, words: np.ndarray, share: float = 1.0) -> DataFrame:
+    """(deal, packed): a number to deal rows by, and the tokens of a slice as 16-bit numbers, with ``SIDE`` zeros before, between and after its texts. Below a
+    ``share`` of 1, the places that are not to be trained on carry ``UNUSED``."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,22 +215,33 @@ def training_windows(docs: DataFrame, words: np.ndarray, share: float = SHARE) -
         for b in batches:
             for _, data, offs in tb.text_slices(b.column(0)):
                 doc, h = token_words(data, offs)
-                token = tokens(h)
-                # the draw depends on the word, its place and the text's length alone, so reruns agree
-                place = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.uint64)
-                draw = tb.mix(h ^ tb.mix(place + np.uint64(1)) ^ np.diff(offs)[doc].astype(np.uint64))
-                at = np.flatnonzero((draw >> np.uint64(11)).astype(np.float64) < share * 2.0**53)
-                rows = np.column_stack([windows(doc, token, at), token[at]]).astype(np.uint16)
-                deal = (draw[at] % np.uint64(64)).astype(np.int64)
-                for k in np.unique(deal):
-                    part = rows[deal == k]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["deal", "packed"])
-
-    return docs.select("text").mapInArrow(run, "deal int, packed binary")
+                if not len(doc):
+                    continue
+                token = tokens(h).astype(np.uint16)
+                if share < 1:
+                    # the draw depends on the word, its place and the text's length alone, so reruns agree
+                    place = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.uint64)
+                    draw = tb.mix(h ^ tb.mix(place + np.uint64(1)) ^ np.diff(offs)[doc].astype(np.uint64))
+                    token[(draw >> np.uint64(11)).astype(np.float64) >= share * 2.0**53] |= UNUSED
+                text = np.cumsum(np.append(0, doc[1:] != doc[:-1]))  # texts without words leave no trace
+                row = np.zeros(len(doc) + SIDE * (int(text[-1]) + 2), np.uint16)
+                row[np.arange(len(doc)) + SIDE * (text + 1)] = token
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(row)], pa.int64()), pa.array([row.tobytes()], pa.binary())], names=["deal", "packed"])
+
+    return docs.select("text").mapInArrow(run, "deal bigint, packed binary")
+
+
+def training_windows(packed: bytes) -> np.ndarray:
+    """The neighbours and the token of every place to be trained on, in a fixed random order."""
+    row = np.frombuffer(packed, np.uint16)
+    at = np.flatnonzero((row > 0) & (row < UNUSED))
+    at = at[np.random.default_rng(len(row)).permutation(len(at))]
+    row = row & np.uint16(UNUSED - 1)
+    return np.column_stack([row[at + step] for step in (*range(-SIDE, 0), *range(1, SIDE + 1), 0)])
 
 
 def train(parts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Network:
-    """Rounds of local descent and averaging. ``parts``: rows of packed windows, in partitions."""
+    """Rounds of local descent and averaging, each over all places of ``parts``: rows of packed tokens, in partitions."""
     net = Network.fresh()
     spark = parts.sparkSession
     for k in range(rounds):
@@ -219,16 +250,15 @@ def train(parts: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Network
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped, pace=pace) -> Iterator[pa.RecordBatch]:
             local, seen = Network(shipped.value.copy()), 0
-            rest = np.zeros((0, 2 * SIDE + 1), np.int64)
+            rest = np.zeros((0, 2 * SIDE + 1), np.uint16)
             for b in batches:
                 for packed in b.column(0):
-                    rows = np.frombuffer(packed.as_py(), np.uint16).reshape(-1, 2 * SIDE + 1)
-                    rest = np.concatenate([rest, rows])
-                    while len(rest) >= BATCH:
-                        local.step(rest[:BATCH, :-1], rest[:BATCH, -1], pace)
-                        seen, rest = seen + BATCH, rest[BATCH:]
+                    rest = np.concatenate([rest, training_windows(packed.as_py())])
+                    while len(rest) >= (size := min(max(BATCH, seen // 128), LARGEST_BATCH)):
+                        local.step(rest[:size, :-1], rest[:size, -1], pace)
+                        seen, rest = seen + size, rest[size:]
             if len(rest):
-                local.step(rest[:, :-1], rest[:, -1], pace * len(rest) / BATCH)
+                local.step(rest[:, :-1], rest[:, -1], pace * min(len(rest) / BATCH, 1))
                 seen += len(rest)
             if seen:
                 cells = np.append(local.flat.astype(np.float64) * seen, float(seen))
@@ -291,10 +321,10 @@ def score(docs: DataFrame, words: np.ndarray, net: Network, shares: DataFrame |
     return scored.select("id", "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("per_token"))
 
 
-def lm_scores(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """Train on the corpus, then score every row of it."""
+def lm_scores(docs: DataFrame, share: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
+    """Train on the whole corpus (or a ``share`` of its places), then score every row of it."""
     counts = written(word_counts(docs), "word-counts")
     words = most_frequent(counts)
     shares = written(rest_shares(counts, words), "rest-shares")
-    parts = written(training_windows(docs, words, share).repartition("deal"), "training-windows")
+    parts = written(training_tokens(docs, words, share).repartition("deal").sortWithinPartitions("deal"), "training-tokens")
     return score(docs, words, train(parts, rounds), shares)
