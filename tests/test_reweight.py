@@ -179,3 +179,21 @@ def test_a_feed_that_goes_on_after_a_flush(spark, tmp_path):
     assert {r.window_id for r in read("closed").collect()} == {1}
     windows.on_batch(spark.createDataFrame([(4, 99, ["a"], 0.5), *rows[4:]], "step long, sample_id long, labels array<string>, loss double"), 1)
     assert {r.window_id: r.loss_sum for r in read("closed").collect()} == {1: 10.5}
+
+
+def test_blocks_of_windows_fold_as_one_sequence(spark, monkeypatch):
+    rows = [(step, step * 3 + j, lab, ((step * 7 + j * 5) % 11) / 4.0) for step in range(1, 47) for j, lab in enumerate((["a"], ["a", "b"], []))]
+    log = spark.createDataFrame(rows, "step long, sample_id long, labels array<string>, loss double")
+    vocab = spark.createDataFrame([("a",), ("b",), ("never",)], "label string")
+    model = _loop_model([(s, labs, x) for s, _, labs, x in rows], ["a", "b", "never"], 2, R.first_stage1_step(16, 2))
+    for block in (1, 4, 23, 24):  # 23 windows
+        monkeypatch.setattr(R, "FOLD_BLOCK", block)
+        stats = R.window_stats(log, vocab, 2, 16)
+        got = {(r.label, r.window_id): (r.weight, r.loss_ema) for r in R.fold_weights(stats).collect()}
+        assert set(got) == set(model)
+        assert all(math.isclose(x, y, rel_tol=1e-9) for k in model for x, y in zip(got[k], model[k]))
+        ema, want = 0.0, {}
+        for r in stats.where("label = 'a'").orderBy("window_id").collect():
+            ema = r.global_avg if ema == 0 else 0.9 * ema + (1 - 0.9) * r.global_avg
+            want[r.window_id] = ema
+        assert {r.window_id: round(r.global_ema, 9) for r in R.global_ema(stats).collect()} == {k: round(v, 9) for k, v in want.items()}

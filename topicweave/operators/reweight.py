@@ -37,6 +37,7 @@ ALPHA = 0.9
 MIN_WEIGHT = 0.1
 MAX_WEIGHT = 5.0
 INIT_WEIGHT = 1.0
+FOLD_BLOCK = 256  # windows that are folded into one array before it joins the others
 
 _REC = T.StructType([
     T.StructField("window_id", T.LongType()),
@@ -177,6 +178,27 @@ def _step(acc: Column, x: Column, min_w: float, max_w: float, alpha: float) -> C
     return F.struct(new_w.cast("double").alias("w"), new_ema.cast("double").alias("ema"), F.concat(acc["out"], F.array(rec)).alias("out"))
 
 
+def _blocks(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(keys..., _seq): each group's windows in order, as an array of blocks of ``FOLD_BLOCK`` windows."""
+    block = F.floor(F.col("window_id") / FOLD_BLOCK).alias("_block")
+    parts = rows.groupBy(*keys, block).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_part"))
+    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_part"))).alias("_seq"))
+
+
+def _fold_blocks(start: Column, step) -> Column:
+    """``step`` folded over ``_seq``; the records it appends to ``out``, in order. An array that grows is copied by each
+    step, so records join their block's array and only whole blocks the long one: work stays near the number of windows."""
+    none = start["out"]
+    names = lambda acc, out: F.struct(*[acc[c].alias(c) for c in start if c != "out"], out.alias("out"))
+
+    def fold_block(acc, b):
+        done = F.aggregate(b["_part"], names(acc, none), step)
+        return F.get(F.transform(F.array(done), lambda d: names(d, F.concat(acc["out"], F.array(d["out"])))), F.lit(0))
+
+    begin = F.struct(*[v.alias(c) for c, v in start.items() if c != "out"], F.slice(F.array(none), 1, 0).alias("out"))
+    return F.flatten(F.aggregate("_seq", begin, fold_block)["out"])
+
+
 def fold_weights(
     stats: DataFrame,
     group_cols: Sequence[str] = (),
@@ -191,25 +213,20 @@ def fold_weights(
     (WT12): the fold starts from the stored weight and EMA instead of 1.0 / 0.0.
     Output: group..., label, window_id, stage, sample_count, loss_avg, global_avg, loss_ema, weight.
     """
-    seq = stats.groupBy(*group_cols, "label").agg(
-        F.array_sort(F.collect_list(F.struct("window_id", "stage", "sample_count", "loss_avg", "global_avg"))).alias("_seq")
-    )
+    seq = _blocks(stats, [*group_cols, "label"], ["window_id", "stage", "sample_count", "loss_avg", "global_avg"])
     w0, e0 = F.lit(INIT_WEIGHT), F.lit(0.0)
     if state is not None:
         st = state.select(*group_cols, "label", F.col("weight").alias("_w0"), F.col("loss_ema").alias("_e0"))
         seq = seq.join(st, [*group_cols, "label"], "left")
         w0, e0 = F.coalesce("_w0", w0), F.coalesce("_e0", e0)
-    init = F.struct(
-        w0.cast("double").alias("w"), e0.cast("double").alias("ema"), F.array().cast(T.ArrayType(_REC)).alias("out")
-    )
-    folded = F.aggregate("_seq", init, lambda acc, x: _step(acc, x, min_w, max_w, alpha))
-    return seq.select(*group_cols, "label", F.inline(folded["out"]))
+    init = {"w": w0.cast("double"), "ema": e0.cast("double"), "out": F.array().cast(T.ArrayType(_REC))}
+    return seq.select(*group_cols, "label", F.inline(_fold_blocks(init, lambda acc, x: _step(acc, x, min_w, max_w, alpha))))
 
 
 def global_ema(stats: DataFrame, group_cols: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
     """WN3 for the global mean: one fold per group over its windows."""
     per_win = stats.groupBy(*group_cols, "window_id").agg(F.first("global_avg").alias("global_avg"))
-    seq = per_win.groupBy(*group_cols).agg(F.array_sort(F.collect_list(F.struct("window_id", "global_avg"))).alias("_seq"))
+    seq = _blocks(per_win, group_cols, ["window_id", "global_avg"])
     rec_t = T.ArrayType(T.StructType([T.StructField("window_id", T.LongType()), T.StructField("global_ema", T.DoubleType())]))
 
     def step(acc, x):
@@ -218,8 +235,7 @@ def global_ema(stats: DataFrame, group_cols: Sequence[str] = (), alpha: float =
         rec = F.struct(x["window_id"].cast("long").alias("window_id"), new.alias("global_ema"))
         return F.struct(new.alias("e"), F.concat(acc["out"], F.array(rec)).alias("out"))
 
-    init = F.struct(F.lit(0.0).alias("e"), F.array().cast(rec_t).alias("out"))
-    return seq.select(*group_cols, F.inline(F.aggregate("_seq", init, step)["out"]))
+    return seq.select(*group_cols, F.inline(_fold_blocks({"e": F.lit(0.0), "out": F.array().cast(rec_t)}, step)))
 
 
 def topic_weights(
