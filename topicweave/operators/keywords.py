@@ -75,6 +75,38 @@ def term_counts(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
 
+def row_terms(rows: DataFrame, stops: Sequence[str] | None = None) -> DataFrame:
+    """(cluster, row, terms) from (cluster, row, words): structs (term, tf) of each row's words of two and more characters.
+    Empty strings and stop words count as no words, and rows without any word are left out. Words are numbered
+    within an Arrow batch and counted as numbers; rows stay where they are."""
+    dropped = ["", *(stops or ())]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            lists = b.column(2)
+            word = lists.flatten().dictionary_encode()
+            known, code = word.dictionary, word.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            counts = ~pc.is_in(known, pa.array(dropped, known.type)).to_numpy(zero_copy_only=False)
+            long = pc.greater_equal(pc.utf8_length(known), 2).to_numpy(zero_copy_only=False)
+            row, code = row[counts[code]], code[counts[code]]
+            kept = np.unique(row)  # a one-letter word counts as text
+            row, code = row[long[code]], code[long[code]]
+            pair, tf = np.unique(row * max(len(known), 1) + code, return_counts=True)
+            row, code = pair // max(len(known), 1), pair % max(len(known), 1)
+            cut = np.append(np.searchsorted(row, kept), len(row)).astype(np.int32)
+            terms = pa.StructArray.from_arrays([known.take(pa.array(code)).cast(pa.string()), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+            at = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.ListArray.from_arrays(pa.array(cut), terms)], names=["cluster", "row", "terms"])
+
+    kind = rows.schema["cluster"].dataType.simpleString()
+    return rows.select("cluster", "row", "words").mapInArrow(run, f"cluster {kind}, row bigint, terms array<struct<term:string,tf:int>>")
+
+
 def _with_idf(tf: DataFrame, idf: DataFrame) -> DataFrame:
     """The term rows with their idf. Those of the ``HOT_TERMS`` terms in most documents meet it on the map side (a table of
     fixed size), so no task gets all rows of a common term; the rest is joined as the planner sees fit."""
@@ -94,10 +126,9 @@ def cluster_tfidf(clustered: DataFrame, stops: Sequence[str] | None = None) -> D
     """
     from topicweave.sources.io import materialize
 
-    tokens = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), NON_WORD_RUN), lambda w: (w != "") & ~w.isin(*stops) if stops else w != "")
-    rows = clustered.select("cluster", tokens.alias("tokens")).where(F.size("tokens") > 0)  # one-letter words count as text
     # a number for each row: ids may be missing or used twice
-    docs = materialize(rows.select("cluster", F.monotonically_increasing_id().alias("row"), F.filter(term_counts(F.col("tokens")), lambda t: F.length(t["term"]) >= 2).alias("terms")), "doc-terms")
+    rows = clustered.select("cluster", F.monotonically_increasing_id().alias("row"), F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), NON_WORD_RUN).alias("words"))
+    docs = materialize(row_terms(rows, stops), "doc-terms")
     tf = docs.select("cluster", "row", F.inline("terms"))
     n_docs = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_docs"))
     dfreq = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"))
