@@ -163,3 +163,16 @@ def test_a_vocabulary_of_the_users_own(spark):
     assert got[3] == got[4] == []
     want = lambda ps: [x for p in ps for x in ([rows.get(p, SQ.UNK)] + ([SQ.SEP] if p[-1] in ".!?" else []))]
     assert got[1] == want(["b", " a.", " b"]) and got[2] == want([" a.", " b", " c"])
+
+
+def test_span_infill_is_one_pass_in_the_tasks_and_takes_null_keys_and_null_rows(spark):
+    ids = list(range(10, 50))
+    df = spark.createDataFrame([(None, 0, ids, [0] * 40), (5, 1, None, None)], "doc_id long, chunk_no int, input_ids array<long>, special_tokens_mask array<int>")
+    out = SQ.span_infill(df, key=("doc_id", "chunk_no"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "array_sort" not in plan
+    got = {r.chunk_no: (r.infill_input_ids, r.infill_labels) for r in out.collect()}
+    assert got[1] == ([], []) and len(got[0][0]) == 40
+    masked = {i for i, y in enumerate(got[0][1]) if y != SQ.IGNORE}
+    assert 0 < len(masked) <= 12
+    assert [x for x in got[0][0] if x not in (SQ.MASK, SQ.PAD)] == [x for i, x in enumerate(ids) if i not in masked]

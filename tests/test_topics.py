@@ -303,3 +303,21 @@ def test_the_keyword_job_with_and_without_stop_words(spark):
     with_stops = {r.cluster: r.keywords for r in K.extract_keywords(docs, 5).collect()}
     assert set(with_stops[0]) == {"cat", "dog"} and with_stops[1] == []
     assert "the" in {r.cluster: r.keywords for r in K.extract_keywords(docs, 5, remove_stopwords=False).collect()}[0]
+
+
+def test_row_terms_count_each_rows_words(spark):
+    rows = [(1, 10, ["b", "the", "cat", "cat", ""]), (1, 11, ["the", ""]), (2, 12, ["x"]), (2, 13, ["é1", "cat", "é1", "𝒳"]), (None, 14, ["cat"]), (2, 15, [])]
+    df = spark.createDataFrame(rows, "cluster int, row long, words array<string>").coalesce(1)
+    got = {(r.cluster, r.row): sorted((t.term, t.tf) for t in r.terms) for r in K.row_terms(df, ["the"]).collect()}
+    assert got == {(1, 10): [("cat", 2)], (2, 12): [], (2, 13): [("cat", 1), ("é1", 2)], (None, 14): [("cat", 1)]}
+    assert K.row_terms(df.limit(0)).count() == 0
+
+
+def test_noise_sends_only_the_topics_texts_to_python(spark):
+    df = spark.createDataFrame([(1, "abc 𝒳é", ["A"]), (2, "other", []), (None, "xyz", ["A"]), (4, None, ["A"])], "doc_id long, text string, labels array<string>")
+    out = NZ.inject_noise(df, "A")
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    def model(prefix, t):
+        key = lambda i: hashlib.md5(f"{prefix}{i // 4}".encode()).hexdigest()[i % 4 * 8 : i % 4 * 8 + 8]
+        return "".join(t[i] for i in sorted(range(len(t)), key=lambda i: (key(i), i)))
+    assert {r.doc_id: r.text for r in out.collect() if r.doc_id != 4} == {1: model("noise:1:", "abc 𝒳é"), 2: "other", None: model("noise:", "xyz")}
