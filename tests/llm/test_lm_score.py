@@ -144,3 +144,46 @@ def test_the_query_trains_on_all_places(make_docs, monkeypatch):
     rows = [(i, "some words of a text " * (i + 1)) for i in range(30)]
     L.lm_scores(make_docs(rows))
     assert seen == [sum(5 * (i + 1) for i in range(30))]
+
+
+def test_a_step_follows_the_definition_place_by_place():
+    rng = np.random.default_rng(4)
+    for scale, sizes in ((0.2, (40, 7, 300)), (9.0, (40, 90))):  # large weights: exp alone would pass a float
+        net = L.Network(rng.normal(0, scale, L.Network.SIZE))
+        for n in sizes:  # arrays of an earlier, larger step are used again
+            context, target = rng.integers(0, L.TOKENS, (n, 2 * L.SIDE)), rng.integers(0, 70, n)
+            old, want = L.Network(net.flat.copy()), net.flat.copy()
+            gain = L.Network(np.zeros(L.Network.SIZE))
+            for c, t in zip(context, target):
+                x = old.embed[c].ravel()
+                h = np.tanh(x @ old.w1 + old.b1)
+                g, k = t % L.CLASSES, t // L.CLASSES
+                z, m = old.wc @ h + old.bc, old.wm[g] @ h + old.bm[g]
+                dz, dm = np.exp(z - z.max()), np.exp(m - m.max())
+                dz, dm = dz / dz.sum(), dm / dm.sum()
+                logs = np.log(dz[g]) + np.log(dm[k])
+                assert np.isclose(old.log_probability(c[None], np.array([t]))[0], logs, rtol=1e-6, atol=1e-9)
+                dz[g] -= 1
+                dm[k] -= 1
+                da = (dz @ old.wc + dm @ old.wm[g]) * (1 - h * h)
+                gain.wc[:] += np.outer(dz, h)
+                gain.bc[:] += dz
+                gain.wm[g] += np.outer(dm, h)
+                gain.bm[g] += dm
+                gain.w1[:] += np.outer(x, da)
+                gain.b1[:] += da
+                np.add.at(gain.embed, c, (old.w1 @ da).reshape(-1, L.DIM))
+            net.step(context, target, 0.3)
+            assert np.allclose(net.flat, want - 0.3 / n * gain.flat, rtol=1e-9, atol=1e-9)
+
+
+def test_a_task_counts_its_words_together(make_docs, monkeypatch):
+    monkeypatch.setattr(L, "SLICE", 20, raising=False)
+    docs = make_docs([(i, "a few words a few") for i in range(50)] + [(None, None)]).coalesce(1)
+    batches, group_by = [], type(docs).groupBy
+    monkeypatch.setattr(type(docs), "groupBy", lambda df, *a: batches.append(df.collect()) or group_by(df, *a))
+    got = sorted(r.n for r in L.word_counts(docs).collect())
+    assert got == [50, 100, 100]
+    assert sorted(r.n for r in batches[0]) == [50, 100, 100]  # one row for each word, not one for each slice
+    monkeypatch.setattr(L, "HELD", 7)
+    assert sorted(r.n for r in L.word_counts(docs).collect()) == [50, 100, 100] and len(batches[1]) > 3

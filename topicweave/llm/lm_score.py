@@ -47,24 +47,35 @@ ROUNDS = 3
 BATCH = 512
 LARGEST_BATCH = 4096
 RATE = 0.5
+HELD = 1 << 20  # words that a task counts at once
+SLICE = 1 << 17  # bytes of text whose words a task holds at once
 UNUSED = 1 << 15  # marks a written token as context only
 
 
 def token_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the lower-cased words of a slice."""
-    low = tb.lower_table()[data]
-    starts, ends = tb.runs(~tb.space_table()[low], offsets)
+    low = tb.lower_table().take(data)
+    starts, ends = tb.runs((~tb.space_table()).take(low), offsets)
     return tb.owner(starts, offsets), tb.span_hash(tb.prefix_hash(low), starts, ends)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word bigint, n) over all texts; counted inside a task first."""
+    """(word bigint, n) over all texts; counted inside a task first, ``HELD`` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+        held, size = [np.zeros(0, np.uint64)], 0
         for b in batches:
-            for _, data, offs in tb.text_slices(b.column(0)):
-                word, n = np.unique(token_words(data, offs)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+            for _, data, offs in tb.text_slices(b.column(0), SLICE):
+                held.append(token_words(data, offs)[1])
+                size += len(held[-1])
+                if size >= HELD:
+                    yield counted()
+                    held, size = [np.zeros(0, np.uint64)], 0
+        yield counted()
 
     return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -110,15 +121,19 @@ def rest_shares(counts: DataFrame, words: np.ndarray) -> DataFrame:
     return rest.join(F.broadcast(totals), "token").selectExpr("word", "n", "ln(n / total) as log_share")
 
 
-def windows(doc: np.ndarray, token: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 2 * SIDE neighbours of the tokens at the given places; 0 beyond the text."""
-    out = np.zeros((len(at), 2 * SIDE), np.int64)
-    for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        there = at + step
-        ok = (there >= 0) & (there < len(token))
-        there = np.clip(there, 0, max(len(token) - 1, 0))
-        out[:, k] = np.where(ok & (doc[there] == doc[at]), token[there], 0)
-    return out
+def padded(doc: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens with ``SIDE`` zeros before, between and after their texts, and the place of each."""
+    text = np.cumsum(np.append(0, doc[1:] != doc[:-1])) if len(doc) else np.zeros(1, np.int64)  # texts without words leave no trace
+    row = np.zeros(len(doc) + SIDE * (int(text[-1]) + 2), token.dtype)
+    place = np.arange(len(doc)) + SIDE * (text[: len(doc)] + 1)
+    row[place] = token
+    return row, place
+
+
+def windows(doc: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The 2 * SIDE neighbours of each token; 0 beyond the text."""
+    row, place = padded(doc, token)
+    return np.stack([row.take(place + step) for step in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
 class Network:
@@ -128,7 +143,7 @@ class Network:
     SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
+        self.flat, self.room, at = flat, {}, 0
         for name, shape in self.SHAPES:
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
@@ -142,38 +157,47 @@ class Network:
         net.w1[:] = rng.normal(0, (2 * SIDE * DIM) ** -0.5, net.w1.shape)
         return net
 
-    def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.embed[context].reshape(len(context), -1)
-        return x, np.tanh(x @ self.w1 + self.b1)
+    def _room(self, name: str, rows: int, *shape: int) -> np.ndarray:
+        """An array that the next call may use again."""
+        if name not in self.room or len(self.room[name]) < rows:
+            self.room[name] = np.empty((rows, *shape), self.flat.dtype)
+        return self.room[name][:rows]
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
-
-    @staticmethod
-    def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-        """An order in which targets of one class are neighbours, and where each class stands in it."""
+    def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """An order in which targets of one class are neighbours, their classes, and where each class stands."""
         group = (target % CLASSES).astype(np.uint16)
         order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
-        return order, [(g, slice(cut[g], cut[g + 1])) for g in range(CLASSES) if cut[g] < cut[g + 1]]
-
-    def _members(self, h: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
-        """Log-probabilities of the members of each row's class."""
-        z = np.empty((len(h), MEMBERS), h.dtype)
+        group = group.take(order)
+        cut = np.searchsorted(group, np.arange(CLASSES + 1, dtype=np.uint16)).tolist()
+        return order, group, [(g, slice(cut[g], cut[g + 1])) for g in range(CLASSES) if cut[g] < cut[g + 1]]
+
+    def _forward(self, context: np.ndarray, group: np.ndarray, parts: list[tuple[int, slice]]) -> tuple[np.ndarray, ...]:
+        """Inputs, hidden layer, and the outputs over classes and over members of each row's class; rows stand by class."""
+        n = len(context)
+        x = np.take(self.embed, context, axis=0, out=self._room("x", n, 2 * SIDE, DIM), mode="clip").reshape(n, -1)
+        h = np.dot(x, self.w1, out=self._room("h", n, HIDDEN))
+        h += self.b1
+        np.tanh(h, out=h)
+        z = np.dot(h, self.wc.T, out=self._room("z", n, CLASSES))
+        z += self.bc
+        m = self._room("m", n, MEMBERS)
         for g, rows in parts:
-            np.matmul(h[rows], self.wm[g].T, out=z[rows])
-            z[rows] += self.bm[g]
-        return self._log_softmax(z)
+            np.dot(h[rows], self.wm[g].T, out=m[rows])
+        m += self.bm.take(group, axis=0)
+        # |h| <= 1 bounds the outputs; only where exp could pass a float are they shifted
+        if max((np.abs(w).sum(-1) + np.abs(b)).max() for w, b in ((self.wc, self.bc), (self.wm, self.bm))) > 80:
+            z -= z.max(1, keepdims=True)
+            m -= m.max(1, keepdims=True)
+        return x, h, z, m
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(token | neighbours): frequent tokens are spread over all classes."""
-        order, parts = self._by_class(target)
-        context, chosen, rows = context[order], target[order], np.arange(len(target))
-        _, h = self._hidden(context)
-        found = self._log_softmax(h @ self.wc.T + self.bc)[rows, chosen % CLASSES] + self._members(h, parts)[rows, chosen // CLASSES]
+        order, group, parts = self._by_class(target)
+        chosen, rows = target.take(order), np.arange(len(target))
+        _, _, z, m = self._forward(context.take(order, axis=0), group, parts)
+        found = z[rows, chosen % CLASSES] + m[rows, chosen // CLASSES]
+        found -= np.log((np.exp(z, out=z) @ np.ones(CLASSES, z.dtype)) * (np.exp(m, out=m) @ np.ones(MEMBERS, m.dtype)))
         out = np.empty(len(target), found.dtype)
         out[order] = found
         return out
@@ -181,28 +205,36 @@ class Network:
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability."""
         n = len(target)
-        order, parts = self._by_class(target)
-        context, target, rows = context[order], target[order], np.arange(n)
-        x, h = self._hidden(context)
-        dz = np.exp(self._log_softmax(h @ self.wc.T + self.bc))
-        dz[rows, target % CLASSES] -= 1
-        dm = np.exp(self._members(h, parts))
-        dm[rows, target // CLASSES] -= 1
-        dh = dz @ self.wc
-        gains = [(self.wc, dz.T @ h), (self.bc, dz.sum(0))]
+        order, group, parts = self._by_class(target)
+        context, target, rows, ones = context.take(order, axis=0).astype(np.intp), target.take(order).astype(np.intp), np.arange(n), np.ones(n, self.flat.dtype)
+        x, h, z, m = self._forward(context, group, parts)
+        for p, chosen in ((z, target % CLASSES), (m, target // CLASSES)):
+            np.exp(p, out=p)
+            p *= (1 / (p @ np.ones(p.shape[1], p.dtype)))[:, None]
+            p[rows, chosen] -= 1
+        dh = np.dot(z, self.wc, out=self._room("dh", n, HIDDEN))
+        back, gain_wm, gain_bm = self._room("back", n, HIDDEN), np.zeros_like(self.wm), np.zeros_like(self.bm)
         for g, own in parts:
-            dh[own] += dm[own] @ self.wm[g]
-            gains += [(self.wm[g], dm[own].T @ h[own]), (self.bm[g], dm[own].sum(0))]
-        da = dh * (1 - h * h)
-        dx = (da @ self.w1.T).reshape(n * 2 * SIDE, DIM)
-        gains += [(self.w1, x.T @ da), (self.b1, da.sum(0))]
-        flat = context.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        flat = flat[order]
+            np.dot(m[own], self.wm[g], out=back[own])
+            np.dot(m[own].T, h[own], out=gain_wm[g])
+            np.dot(ones[own], m[own], out=gain_bm[g])
+        dh += back
+        gains = [(self.wm, gain_wm), (self.bm, gain_bm), (self.wc, z.T @ h), (self.bc, ones @ z)]
+        np.multiply(h, h, out=h)
+        np.subtract(1, h, out=h)
+        dh *= h
+        dx = np.dot(dh, self.w1.T, out=self._room("dx", n, 2 * SIDE * DIM)).reshape(-1, DIM)
+        gains += [(self.w1, x.T @ dh), (self.b1, ones @ dh)]
+        flat = context.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")
+        flat = flat.take(order)
         heads = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        self.embed[flat[heads]] -= rate / n * np.add.reduceat(dx[order], heads)
+        dx = np.take(dx, order, axis=0, out=self._room("by_token", len(flat), DIM), mode="clip")
+        pairs = dx.view(np.result_type(dx, np.complex64))  # two cells to a sum
+        self.embed[flat[heads]] -= rate / n * np.add.reduceat(pairs, heads).view(dx.dtype)
         for weight, gain in gains:
-            weight -= rate / n * gain
+            gain *= rate / n
+            weight -= gain
 
 
 def training_tokens(docs: DataFrame, words: np.ndarray, share: float = 1.0) -> DataFrame:
@@ -223,9 +255,7 @@ def training_tokens(docs: DataFrame, words: np.ndarray, share: float = 1.0) -> D
                     place = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.uint64)
                     draw = tb.mix(h ^ tb.mix(place + np.uint64(1)) ^ np.diff(offs)[doc].astype(np.uint64))
                     token[(draw >> np.uint64(11)).astype(np.float64) >= share * 2.0**53] |= UNUSED
-                text = np.cumsum(np.append(0, doc[1:] != doc[:-1]))  # texts without words leave no trace
-                row = np.zeros(len(doc) + SIDE * (int(text[-1]) + 2), np.uint16)
-                row[np.arange(len(doc)) + SIDE * (text + 1)] = token
+                row = padded(doc, token)[0]
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(row)], pa.int64()), pa.array([row.tobytes()], pa.binary())], names=["deal", "packed"])
 
     return docs.select("text").mapInArrow(run, "deal bigint, packed binary")
@@ -289,12 +319,13 @@ def score(docs: DataFrame, words: np.ndarray, net: Network, shares: DataFrame |
         tokens, net = Tokens(shipped.value[0]), Network(shipped.value[1])
         known, log_share = shipped.value[2:]
         for b in batches:
-            for row, data, offs in tb.text_slices(b.column(1)):
+            for row, data, offs in tb.text_slices(b.column(1), SLICE):
                 doc, h = token_words(data, offs)
                 token, logs = tokens(h), np.zeros(len(doc))
-                for k in range(0, len(doc), 8192):
-                    at = np.arange(k, min(k + 8192, len(doc)))
-                    logs[at] = net.log_probability(windows(doc, token, at), token[at])
+                around = windows(doc, token)
+                for k in range(0, len(doc), 2048):
+                    at = slice(k, k + 2048)
+                    logs[at] = net.log_probability(around[at], token[at])
                 tail = np.zeros(0, np.int64)
                 if len(known):
                     rest = np.flatnonzero(token > VOCABULARY)
