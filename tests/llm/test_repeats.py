@@ -96,3 +96,25 @@ def test_cut_text_is_valid_and_lost_documents_go(make_docs):
     out = {r.doc_id: (r.text, r.n_chars) for r in R.without_repeats(make_docs(rows)).collect()}
     assert out[1] == ("a clean text", 12) and out[2] == ("start  end", 10)
     assert out[5] == ("", 0) and out[6] == (None, 0) and set(out) == {1, 2, 5, 6}
+
+
+def test_suffix_order_and_least_match_against_brute_force():
+    rng = random.Random(9)
+    for trial in range(12):
+        base = bytes(rng.choice(b"ab\x00\xff") for _ in range(60))
+        strings = [base[rng.randrange(30) : 30 + rng.randrange(31)] * rng.choice((1, 1, 2)) for _ in range(rng.randrange(1, 6))]
+        strings = [s + bytes(rng.choice(b"ab") for _ in range(rng.randrange(6))) for s in strings]
+        full, few = R.RunLengthIndex(strings, 10_000), R.RunLengthIndex(strings, 10_000, least=12)
+        order = R.suffix_order(full.symbols, full.left)
+        suffixes = [s[i:] for s in strings for i in range(len(s) + 1)]
+        assert sorted(order.tolist()) == list(range(len(suffixes)))
+        placed = [suffixes[i] for i in order.tolist()]
+        assert placed == sorted(placed)
+
+        def common(a, b):
+            return next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+        want = [max([common(a, b) for j, b in enumerate(suffixes) if j != i], default=0) for i, a in enumerate(suffixes)]
+        assert full.matching_statistics().tolist() == want
+        got = few.matching_statistics().tolist()
+        assert all(g == w if w >= 12 else g < 12 for g, w in zip(got, want))
